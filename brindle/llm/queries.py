@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import simhash
+from brindle.llm import labelled, quality, simhash, toxicity
 from brindle.llm.storage import table
 
 
+#: Labelled documents of each class that a classifier learns from at most.
+PER_CLASS = 3000
+
+
+def _decided(found: DataFrame, held_out: Column) -> DataFrame:
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    known = labelled.known(labels, "toxic", labelled.remainder("doc_id", 4) != 2)
+    return toxicity.fit(labelled.sample(docs, known, PER_CLASS), labelled.shares(known))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return _decided(toxicity.scores(docs, model), labelled.remainder("doc_id", 4) == 2)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = labelled.known(table(spark, sf_dir, "labels"), "quality", labelled.remainder("doc_id", 5) != 0)
+    model = quality.fit(labelled.sample(docs, known, PER_CLASS), labelled.shares(known))
+    return _decided(quality.scores(docs, model), labelled.remainder("doc_id", 5) == 0)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import labelled, licenses, neighbours, quality, simhash, toxicity
+from brindle.llm import labelled, licenses, neighbours, quality, simhash, toxicity, warc
 from brindle.llm.storage import table
 
 
@@ -30,6 +30,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.scores(docs, model), labelled.remainder("doc_id", 4) == 2)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN head END AS refers_to
+FROM (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS head
+      FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = labelled.known(table(spark, sf_dir, "labels"), "quality", labelled.remainder("doc_id", 5) != 0)
@@ -56,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}

@@ -7,7 +7,7 @@ fingerprints in range share a unit cell in at least one of the 35 grids spanned
 are tested by the Manhattan bound, then by the exact Hamming distance.
 
 A cell of thousands of fingerprints gives a spanning forest of its links, never all pairs; a cell beyond
-``CELL_ROWS`` is dealt out as pairs of blocks, so that no task holds an unbounded group.
+``CELL_ROWS`` is passed on as it streams by and dealt out as pairs of blocks, so that no task holds an unbounded group.
 
 Defined cases: a null or empty text has no words and the fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle; repeated rows get the same component; an empty table gives an empty result; other columns
@@ -84,8 +84,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _forest(points: np.ndarray, axes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def unary(prints: np.ndarray) -> np.ndarray:
+    """Bit counts of two-bit segments written in unary, so that XOR and a bit count give the Manhattan distance."""
+    low, odd = np.uint64(_LOW), prints >> np.uint64(1)
+    return (prints | odd) & low | (prints & odd & low) << np.uint64(1)
+
+
+def _forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among a cell's fingerprints, breadth first."""
+    axes = unary(points)
     left = np.arange(len(points))
     out = []
     while len(left) > 1:
@@ -96,43 +103,76 @@ def _forest(points: np.ndarray, axes: np.ndarray, radius: int) -> list[tuple[int
             near &= np.bitwise_count(points[left] ^ points[at]) <= radius
             if near.any():
                 got = left[near]
-                out.extend((int(points[at]), int(points[g])) for g in got)
+                out.extend((at, g) for g in got)
                 queue.extend(got)
                 left = left[~near]
     return out
 
 
-def _cell_links(radius: int):
-    """Forests of the cells of a partition sorted by cell; rows: (grid, cell, i, j, axes, fp)."""
+def _cell_links(radius: int, most: int):
+    """Over a partition sorted by cell, rows (cell, fp): links (null, a, b) of each cell's forest.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    Rows of a cell of more than ``most`` come out as they are, (cell, fp, null), for :func:`_dealt`; no more than
+    ``most`` rows and one batch are held.
+    """
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1), True])
-            found: list[tuple[int, int]] = []
-            for a, b in zip(new[:-1], new[1:]):
-                if b - a > 1:
-                    found += _forest(rows[a:b, 5], rows[a:b, 4], radius)
-            pairs = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def batch_of(cells: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        columns = [none if cells is None else pa.array(cells), pa.array(a), none if b is None else pa.array(b)]
+        return pa.RecordBatch.from_arrays(columns, names=["cell", "a", "b"])
+
+    def links(cells: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
+        pairs = []
+        for k in np.flatnonzero(np.diff(new) > 1):
+            start, end = new[k], new[k + 1]
+            if end - start > most:
+                yield batch_of(cells[start:end], prints[start:end], None)
+            else:
+                own = prints[start:end]
+                pairs += [(own[x], own[y]) for x, y in _forest(own.view(np.uint64), radius)]
+        if pairs:
+            found = np.array(pairs, np.int64)
+            yield batch_of(None, found[:, 0], found[:, 1])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        streaming = None  # the cell too large to hold
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            if not len(rows):
+            cells = np.concatenate([cells, batch.column(0).to_numpy()])
+            prints = np.concatenate([prints, batch.column(1).to_numpy()])
+            if not len(cells):
                 continue
-            same = (rows[:, :4] == rows[-1, :4]).all(axis=1)
-            cut_at = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-            if cut_at or (held and (held[-1][-1, :4] != rows[0, :4]).any()):
-                yield links(np.concatenate([*held, rows[:cut_at]]))
-                held = []
-            held.append(rows[cut_at:])
-        if held:
-            yield links(np.concatenate(held))
+            if streaming is not None:
+                same = int(np.searchsorted(cells, streaming, "right"))
+                if same:
+                    yield batch_of(cells[:same], prints[:same], None)
+                    cells, prints = cells[same:], prints[same:]
+                if len(cells):
+                    streaming = None
+                else:
+                    continue
+            last = int(np.searchsorted(cells, cells[-1]))
+            yield from links(cells[:last], prints[:last])
+            cells, prints = cells[last:], prints[last:]
+            if len(cells) > most:
+                streaming = cells[0]
+                yield batch_of(cells, prints, None)
+                cells, prints = cells[:0], prints[:0]
+        yield from links(cells, prints)
 
     return run
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """(cell, fp) of large cells, each cell dealt out as all pairs of blocks of about half of CELL_ROWS."""
+    blocks = rows.groupBy("cell").agg(F.ceil(2 * F.count(F.lit(1)) / CELL_ROWS).cast("long").alias("k"))
+    own = rows.join(blocks, "cell").select("cell", "a", "k", F.pmod(F.xxhash64("a"), F.col("k")).alias("own"))
+    dealt = own.select("cell", "a", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    cell = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(cell.alias("cell"), F.col("a").alias("fp")).repartition(n, "cell").sortWithinPartitions("cell")
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that span every group of distinct fingerprints in range.
 
@@ -142,21 +182,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     low = F.lit(_LOW)
     x = F.col("fp")
     odd = F.shiftrightunsigned(x, 1)
-    # Bit counts of two-bit segments written in unary, so that a XOR counts the Manhattan distance.
-    unary = x.bitwiseOR(odd).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(odd).bitwiseAND(low), 1))
-    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.col("axes").bitwiseAND(F.lit(_signed(m))).alias("cell")) for g, m in enumerate(_masks(radius))])
-    cells = prints.select("fp", unary.alias("axes")).select("fp", "axes", F.explode(grids).alias("c")).select("c.grid", "c.cell", "axes", "fp")
-    met = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    met = cut(met, "cells")
-    two = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    blocks = F.ceil(F.col("n") / CELL_ROWS).cast("long")
-    many = cells.join(met.where("n > 2").select("grid", "cell", blocks.alias("k")), ["grid", "cell"])
-    own = F.pmod(F.xxhash64("fp"), F.col("k"))
-    dealt = many.select("grid", "cell", "axes", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    keys = ["grid", "cell", "i", "j"]
-    dealt = dealt.select(F.col("grid").cast("long"), "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "axes", "fp")
-    forest = dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_cell_links(radius), "a long, b long")
-    return two.unionByName(forest).distinct()
+    axes = x.bitwiseOR(odd).bitwiseAND(low).bitwiseOR(F.shiftleft(x.bitwiseAND(odd).bitwiseAND(low), 1))
+    grids = F.array(*[F.xxhash64(F.lit(g), F.col("axes").bitwiseAND(F.lit(_signed(m)))) for g, m in enumerate(_masks(radius))])
+    cells = prints.select("fp", axes.alias("axes")).select(F.explode(grids).alias("cell"), "fp")
+    schema = "cell long, a long, b long"
+    first = cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, CELL_ROWS), schema)
+    first = cut(first, "links")
+    large = _dealt(first.where("cell is not null"), n).mapInArrow(_cell_links(radius, 1 << 62), schema)
+    return first.where("cell is null").select("a", "b").unionByName(large.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = RADIUS) -> DataFrame:

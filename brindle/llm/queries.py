@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import labelled, licenses, neighbours, quality, simhash, toxicity, warc
+from brindle.llm import labelled, licenses, neighbours, quality, simhash, tokens, toxicity, warc
 from brindle.llm.storage import table
 
 
@@ -44,6 +44,13 @@ FROM (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_diges
 """
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokens.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = labelled.known(table(spark, sf_dir, "labels"), "quality", labelled.remainder("doc_id", 5) != 0)

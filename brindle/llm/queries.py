@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import labelled, licenses, neighbours, quality, simhash, tokens, toxicity, warc
+from brindle.llm import labelled, licenses, neighbours, passages, quality, simhash, tokens, toxicity, warc
 from brindle.llm.storage import table
 
 
@@ -67,6 +67,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections").withColumnRenamed("id", "doc_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.cleaned(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
     return found.withColumnRenamed("id", "vec_id")

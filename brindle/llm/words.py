@@ -7,6 +7,7 @@ document larger than a slab is cut at white space, so that memory doesn't follow
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -84,20 +85,28 @@ def pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def slabs(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """(word hashes, end of each document's words in them, positions of the documents) for groups of documents.
+class Slab(NamedTuple):
+    """Words of some documents, all in one buffer."""
 
-    A document larger than a slab is a group of its own.
-    """
+    docs: list[int]  # positions of the documents in the batch
+    ends: np.ndarray  # for each document, the number of words up to its end
+    text: bytes
+    first: np.ndarray  # of each word, its first byte in text and the byte after its last
+    after: np.ndarray
+    hashes: np.ndarray
+
+
+def slabs(texts: list[bytes | None]) -> Iterator[Slab]:
+    """The words of a batch, for groups of documents of about a slab; a larger document is a group of its own."""
     group: list[int] = []
     size = 0
 
-    def flush():
+    def flush() -> Slab:
         joined = b" ".join(texts[i] or b"" for i in group)
         raw = np.frombuffer(joined, np.uint8)
         first, after = spans(raw)
         ends = np.cumsum([len(texts[i] or b"") + 1 for i in group])
-        return word_hashes(raw, first, after), np.searchsorted(first, ends), list(group)
+        return Slab(group, np.searchsorted(first, ends), joined, first, after, word_hashes(raw, first, after))
 
     for i, text in enumerate(texts):
         n = len(text or b"") + 1
@@ -105,12 +114,14 @@ def slabs(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, l
             yield flush()
             group, size = [], 0
         if n > SLAB:
-            parts = []
+            at, parts = 0, []
             for piece in pieces(text):
                 raw = np.frombuffer(piece, np.uint8)
-                parts.append(word_hashes(raw, *spans(raw)))
-            hashes = np.concatenate(parts)
-            yield hashes, np.array([len(hashes)]), [i]
+                first, after = spans(raw)
+                parts.append((first + at, after + at, word_hashes(raw, first, after)))
+                at += len(piece)
+            first, after, hashes = (np.concatenate(c) for c in zip(*parts))
+            yield Slab([i], np.array([len(first)]), text, first, after, hashes)
             continue
         group.append(i)
         size += n

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import labelled, licenses, neighbours, passages, quality, simhash, tokens, toxicity, warc
+from brindle.llm import decontaminate, labelled, licenses, neighbours, passages, quality, simhash, tokens, toxicity, warc
 from brindle.llm.storage import table
 
 
@@ -58,6 +58,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.scores(docs, model), labelled.remainder("doc_id", 5) == 0)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id", "start": "start_word"})
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

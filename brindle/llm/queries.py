@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, labelled, licenses, neighbours, passages, quality, simhash, tokens, toxicity, warc
+from brindle.llm import decontaminate, labelled, licenses, mixing, neighbours, passages, quality, simhash, tokens, toxicity, warc
 from brindle.llm.storage import table
 
 
@@ -58,6 +59,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.scores(docs, model), labelled.remainder("doc_id", 5) == 0)
 
 
+#: Domains are the labels' combinations quality + 2 * toxic; their share of the words of the mix.
+DOMAIN_TARGETS = [0.15, 0.8, 0.01, 0.04]
+PER_DOMAIN = 2000
+
+
+def domain_model(docs: DataFrame, labels: DataFrame, domain: Column, domains: int) -> mixing.Model:
+    """A model of labelled documents, at most PER_DOMAIN of each domain."""
+    known = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.max(domain.cast("int")).alias("label"))
+    counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
+    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_DOMAIN) for k in range(domains)]
+    ids = F.broadcast(reduce(DataFrame.unionByName, chosen).select(F.col("doc_id").alias("_id"), "label"))
+    sample = docs.select(F.col("doc_id").alias("id"), "text").join(ids, F.col("id") == F.col("_id")).select("id", "text", "label")
+    return mixing.fit(sample, [counts.get(k, 0) + 1 for k in range(domains)])
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = domain_model(docs, table(spark, sf_dir, "labels"), F.col("quality") + 2 * F.col("toxic"), 4)
+    found = mixing.rates(docs, model, DOMAIN_TARGETS)
+    shares = [F.col("posterior")[k].alias(f"p{k}") for k in range(len(DOMAIN_TARGETS))]
+    return found.select(F.col("id").alias("doc_id"), "n_words", *shares, "mix_rate", "mix_copies")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id", "start": "start_word"})

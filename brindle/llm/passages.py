@@ -333,3 +333,53 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     both = marks.unionByName(texts).repartition(n, "id", "row").sortWithinPartitions("id", "row", "kind")
     return both.mapInArrow(run, "id long, row long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with what :func:`occurrences` finds cut out of their texts.
+
+    A text that loses words becomes its other words, joined by one space; others stay as they are, nulls included.
+    ``size_col`` names a column that holds the text's length in characters and follows it.
+    """
+    rows = _kept(docs, id_col, text_col)
+    gone = occurrences(rows)
+    n = partitions(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    carried = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.lit(1).alias("_kind"), F.lit(0).alias("_start"), F.lit(0).alias("_size"), "*")
+    marks = gone.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.lit(0).alias("_kind"), F.col("start").alias("_start"), F.col("n").alias("_size"))
+    place = docs.columns.index(text_col)
+    sized = docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, marked = None, []
+        for batch in batches:
+            own = batch.columns[5:]
+            column = own[place]
+            texts, changed, keep = raw_texts(column), {}, []
+            for at, (i, row, kind, start, length) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
+                if (i, row) != current:
+                    current, marked = (i, row), []
+                if kind == 0:
+                    marked.append((start, length))
+                    continue
+                keep.append(at)
+                if marked:
+                    words = (texts[at] or b"").split()
+                    edge = np.zeros(len(words) + 1, np.int32)
+                    for a, m in marked:
+                        edge[a] += 1
+                        edge[a + m] -= 1
+                    covered = np.cumsum(edge[:-1]) > 0
+                    changed[at] = b" ".join(w for w, c in zip(words, covered.tolist()) if not c).decode("utf-8", "replace")
+            if not keep:
+                continue
+            if changed:
+                kind = column.type
+                own[place] = pa.array([changed.get(k) if k in changed else (t.decode("utf-8", "replace") if t is not None else None) for k, t in enumerate(texts)], kind)
+                if sized is not None:
+                    sizes = own[sized].to_pylist()
+                    own[sized] = pa.array([len(changed[k]) if k in changed else v for k, v in enumerate(sizes)], own[sized].type)
+            yield pa.RecordBatch.from_arrays(own, names=batch.schema.names[5:]).take(pa.array(keep, pa.int64()))
+
+    both = marks.unionByName(carried, allowMissingColumns=True).repartition(n, "_id", "_row").sortWithinPartitions("_id", "_row", "_kind")
+    return both.mapInArrow(run, docs.schema)

@@ -152,3 +152,16 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 
     kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return kept.mapInArrow(run, "id long, score double")
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], most: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is below ``most``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bias = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([score(t or b"", table, bias) < most for t in raw_texts(batch.column(place))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

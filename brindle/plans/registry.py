@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.plans import corpus, relational
+
 #: Modules with ``QUERIES``: name -> (function of (spark, sf_dir), oracle SQL or None).
-MODULES: list = []
+MODULES: list = [corpus, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import corpus, relational
+from brindle.plans import corpus, events, graph, relational
 
 #: Modules with ``QUERIES``: name -> (function of (spark, sf_dir), oracle SQL or None).
-MODULES: list = [corpus, relational]
+MODULES: list = [corpus, relational, events, graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

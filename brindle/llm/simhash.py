@@ -201,3 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_print = rooted.join(component, "root").select("fp", "component")
     return prints.join(by_print, "fp").select("id", "fp", "component")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs``, as it is, of each group: one with the smallest id. Rows without an id stay."""
+    found = near_duplicates(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, size, radius)
+    first = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
+    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -90,6 +90,7 @@ def fit(sample: DataFrame, shares: list[float]) -> Model:
     """
     domains = len(shares)
     half = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == 0
+    sample = sample.repartition(8, "id")  # bounded, and so is what its tasks send
     likely, prior = _counted(sample.where(half), domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,19 +71,26 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
 
 
-def _sums(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Running counts of each bit, modulo 2**16, one row more than there are grams."""
+def _kind(grams: int) -> type:
+    """The narrowest numbers that tell the counts of a window of so many grams apart."""
+    return np.uint8 if grams < 1 << 8 else np.uint16 if grams < 1 << 16 else np.uint32
+
+
+def _sums(hashes: np.ndarray, size: int, kind: type) -> np.ndarray:
+    """Running counts of each bit, modulo what ``kind`` holds, one row more than there are grams."""
     grams = _grams(hashes, size)
-    out = np.zeros((len(grams) + 1, 64), np.uint16)
-    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=out[1:])
+    out = np.zeros((len(grams) + 1, 64), kind)
+    bits = np.unpackbits(grams.view(np.uint8), bitorder="little").reshape(-1, 64)
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
     return out
 
 
 def _prints(counts: np.ndarray, grams: int) -> np.ndarray:
-    return np.packbits(counts > grams // 2, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    return np.packbits((counts > grams // 2).reshape(-1), bitorder="little").view(np.uint64)
 
 
+#: Where the tables of the blocks of STEP windows begin.
+_TABLE = np.tile(np.arange(4, dtype=np.intp) << 16, STEP)
 _NEAR = np.array([0] + [1 << i for i in range(16)] + [1 << i | 1 << j for i in range(16) for j in range(i)], np.uint16)
 
 
@@ -113,7 +120,7 @@ class Index:
     def _print(self, at: int) -> int:
         raw = np.frombuffer(b" ".join(self.words[at]), np.uint8)
         hashes = word_hashes(raw, *spans(raw))
-        sums = _sums(hashes, len(hashes))
+        sums = _sums(hashes, len(hashes), _kind(len(hashes)))
         return int(_prints(sums[-1:] - sums[:1], len(sums) - 1)[0])
 
     def _verified(self, slab: Slab, doc_start: int, doc_end: int, start: int, size: int, item: int, hamming: int) -> Match | None:
@@ -131,11 +138,10 @@ class Index:
 
     def _near(self, length: Length, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item, distance) of all fingerprints within the radius."""
-        blocks = prints.view(np.uint16).reshape(-1, 4)
-        hit = length.tables[0][blocks[:, 0]]
-        for k in (1, 2, 3):
-            hit |= length.tables[k][blocks[:, k]]
-        at = np.flatnonzero(hit)
+        places = prints.view(np.uint16).astype(np.intp)
+        places += _TABLE[: len(places)]
+        # The four answers of a window are the four bytes of one number.
+        at = np.flatnonzero(length.tables.reshape(-1).take(places, mode="wrap").view(np.uint32))
         apart = np.bitwise_count(prints[at, None] ^ length.prints)
         row, column = np.nonzero(apart <= RADIUS)
         return zip(at[row].tolist(), [length.items[k] for k in column.tolist()], apart[row, column].tolist())
@@ -155,11 +161,13 @@ class Index:
         doc_of = np.repeat(np.arange(len(starts)), sizes)
         for at in range(0, n, STEP):
             hashes = slab.hashes[at : at + STEP + self.longest]
-            pairs = _sums(hashes, 2)
-            singles = _sums(hashes, 1) if any(x.words == 1 for x in self.lengths) else pairs
+            made: dict[tuple, np.ndarray] = {}
             for length in self.lengths:
                 grams = max(1, length.words - 1)
-                sums = singles if length.words == 1 else pairs
+                key = (min(length.words, 2), _kind(grams))
+                if key not in made:
+                    made[key] = _sums(hashes, *key)
+                sums = made[key]
                 counts = sums[grams : grams + STEP] - sums[: max(0, len(sums) - grams)][:STEP]
                 for window, item, hamming in self._near(length, _prints(counts, grams)):
                     start = at + window
@@ -175,7 +183,7 @@ class Index:
                 if not SIMILARITY * min(len(self.words[i]) for i in length.items) <= size < length.words:
                     continue
                 if own is None:
-                    sums = _sums(slab.hashes[start : start + size], size)
+                    sums = _sums(slab.hashes[start : start + size], size, _kind(size))
                     own = _prints(sums[-1:] - sums[:1], len(sums) - 1)
                 for _, item, hamming in self._near(length, own):
                     keep(doc, start, size, item, hamming)

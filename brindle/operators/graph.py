@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,29 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
             return have
         n = now
     raise RuntimeError("the closure did not settle")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder the session names; one of its own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, most: int = 64) -> DataFrame:
+    """(v, component): the smallest vertex that each vertex of (s, o) edges reaches in either direction.
+
+    Each round takes the smallest label among neighbours, then that label's own label, so long paths are halved.
+    """
+    both = _cut(edges.select("s", "o").unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct())
+    label = _cut(both.groupBy(F.col("s").alias("v")).agg(F.least(F.min("o"), F.col("s")).alias("component")))
+    for _ in range(most):
+        near = both.join(label, F.col("o") == F.col("v")).groupBy("s").agg(F.min("component").alias("near"))
+        lower = label.join(near, F.col("v") == F.col("s")).select("v", F.least("component", "near").alias("c"), F.col("component").alias("was"))
+        own = label.select(F.col("v").alias("c"), F.col("component").alias("up"))
+        then = _cut(lower.join(own, "c", "left").select("v", F.least("c", F.coalesce("up", "c")).alias("component"), "was"))
+        if then.where("component != was").isEmpty():
+            return then.select("v", "component")
+        label = then.select("v", "component")
+    raise RuntimeError("components did not settle")

@@ -171,7 +171,25 @@ m AS (SELECT *, max("end") OVER (PARTITION BY user_id, day ORDER BY start, "end"
 SELECT event_id, day, start, "end" FROM m WHERE reach IS NULL OR reach < "end"
 """
 
+def range_conflict(spark: SparkSession, sf: str) -> DataFrame:
+    """The first error of a user that begins within a purchase's next hours, as many as its value.
+
+    The first error after each event is a running minimum from the end, so the range join is one ordered pass.
+    """
+    rows = read(spark, sf, "events", "event_id", "user_id", "ts", "event_type", "value")
+    after = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("event_type") == "error", F.col("ts"))).over(after)
+    wanted = rows.withColumn("conflict", first).where("event_type = 'purchase' and conflict > ts")
+    return wanted.where(F.timestamp_diff("SECOND", F.col("ts"), F.col("conflict")) <= F.col("value") * 3600).select("event_id", "user_id", "conflict")
+
+
+CONFLICT = """
+SELECT p.event_id, p.user_id, min(e.ts) AS conflict FROM events p JOIN events e ON e.user_id = p.user_id AND e.event_type = 'error' AND e.ts > p.ts AND date_sub('second', p.ts, e.ts) <= p.value * 3600
+WHERE p.event_type = 'purchase' GROUP BY 1, 2
+"""
+
 QUERIES = {
+    "range_conflict": (range_conflict, CONFLICT),
     "running_best": (running_best, BEST),
     "trailing_failures": (trailing_failures, TRAILING),
     "pace_last_five": (pace_last_five, PACE),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
-from brindle.operators import entities, graph, ordered, verdicts
+from brindle.operators import entities, graph, ordered, spans, verdicts
 
 
 def test_canonical_surface_ties(spark):
@@ -35,3 +35,20 @@ def test_closure_of_a_cycle(spark):
 def test_shingles(spark):
     df = spark.createDataFrame([("A b, c d e f",), ("a b",), ("",)], "t string").select(tx.tokens(F.col("t")).alias("w")).select(tx.shingles(F.col("w"), 5).alias("s"))
     assert [r.s for r in df.collect()] == [["a b c d e", "b c d e f"], [], []]
+
+
+def test_components_of_paths_and_loops(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 50), (60, 61), (61, 60)], "s long, o long")
+    got = {tuple(r) for r in graph.components(edges).collect()}
+    assert got == {(k, 0) for k in range(21)} | {(50, 50), (60, 60), (61, 60)}
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+def test_span_functions():
+    text = "One went, e.g. Two came. Three left et al. Four stayed! five"
+    assert [text[a:b] for a, b in spans.sentences(text)] == ["One went, e.g. Two came.", "Three left et al. Four stayed! five"]
+    assert spans.chunks("", 5) == [] and spans.chunks("abc", 5) == [(0, 3)]
+    long = "Aa bb. Cc dd. Ee ff. Gg hh."
+    assert [long[a:b] for a, b in spans.chunks(long, 14)] == ["Aa bb. Cc dd.", "Cc dd. Ee ff.", "Ee ff. Gg hh."]
+    assert spans.repair("a cat, a cat", "cat", 6) == (9, "span_repaired") and spans.repair("x", "cat", 0) == (None, "not_found") and spans.repair("cat", "cat", 0) == (0, "exact")
+    assert spans.mask("abcdef", [(0, 2), (1, 5)]) == "a[__]f"

@@ -25,13 +25,21 @@ def pattern(graph: DataFrame, predicate: str, s: str, o: str) -> DataFrame:
     return graph.where(F.col("p") == predicate).select(F.col("s").alias(s), F.col("o").alias(o))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder the session names; one of its own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+    return df.checkpoint()
+
+
 def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     """Distinct (s, o) reachable by one edge or more; paths double each round until none is new."""
-    have = edges.select("s", "o").distinct()
+    have = _cut(edges.select("s", "o").distinct())
     n = have.count()
     for _ in range(most):
         longer = have.alias("a").join(have.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
-        have = have.unionByName(longer).distinct()
+        have = _cut(have.unionByName(longer).distinct())
         now = have.count()
         if now == n:
             return have
@@ -39,14 +47,6 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder the session names; one of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, most: int = 64) -> DataFrame:
     """(v, component): the smallest vertex that each vertex of (s, o) edges reaches in either direction.
 

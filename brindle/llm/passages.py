@@ -124,12 +124,15 @@ def bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, whole
 
 
-def _contexts(rows: DataFrame, known: tuple[int, np.ndarray]) -> DataFrame:
-    """(anchor, id, row, start, text) of every stretch of windows whose anchor may recur."""
-    shared = rows.sparkSession.sparkContext.broadcast(known)
+def _contexts(rows: DataFrame, known: tuple[int, np.ndarray], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(anchor, salts, id, row, start, text) of every stretch of windows whose anchor may recur.
+
+    hot: at most HOT_MOST anchors in order, and the number of shards of each; salts is 0 for all others.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((*known, *hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, whole = shared.value
+        bits, whole, many, shards = shared.value
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for slab in slabs([normal(t) for t in raw_texts(batch.column(2))]):
@@ -143,9 +146,12 @@ def _contexts(rows: DataFrame, known: tuple[int, np.ndarray]) -> DataFrame:
                 begin, end = slab.first[base + first], slab.after[base + last + WINDOW - 1]
                 text = [slab.text[a:b] for a, b in zip(begin.tolist(), end.tolist())]
                 source = np.array(slab.docs)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[source]), pa.array(keys[source]), pa.array(first.astype(np.int32)), pa.array(text, pa.binary())], names=["anchor", "id", "row", "start", "text"])
+                anchor = anchor.view(np.int64)
+                at = np.searchsorted(many, anchor)
+                salts = np.where(many[np.minimum(at, len(many) - 1)] == anchor, shards[np.minimum(at, len(many) - 1)], 0) if len(many) else np.zeros(len(anchor), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(salts), pa.array(ids[source]), pa.array(keys[source]), pa.array(first.astype(np.int32)), pa.array(text, pa.binary())], names=["anchor", "salts", "id", "row", "start", "text"])
 
-    return rows.where("id is not null").mapInArrow(run, "anchor long, id long, row long, start int, text binary")
+    return rows.where("id is not null").mapInArrow(run, "anchor long, salts long, id long, row long, start int, text binary")
 
 
 def _windows(text: bytes) -> list[bytes]:
@@ -269,12 +275,12 @@ def occurrences(rows: DataFrame) -> DataFrame:
     known = _recurring(rows)
     release(spark)
     bound = max(HOT, (known.agg(F.sum("n")).first()[0] or 0) // HOT_MOST)
-    hot = known.where(F.col("n") > bound).select("anchor", F.ceil(F.col("n") / bound).cast("long").alias("salts"))
-    found = cut(_contexts(rows, bitmap(known.select("anchor"))), "contexts")
-    marked = found.join(F.broadcast(hot), "anchor", "left")  # at most HOT_MOST anchors
-    shard = F.when(F.col("salts").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", F.pmod(F.xxhash64("row"), "salts")))
-    contexts = marked.select(shard.alias("g"), F.lit(1).alias("kind"), "id", "row", "start", "text")
-    many = marked.where("salts is not null")
+    large = known.where(F.col("n") > bound).select("anchor", F.ceil(F.col("n") / bound).cast("long").alias("salts")).toArrow().sort_by("anchor")
+    hot = (large["anchor"].to_numpy(), large["salts"].to_numpy())
+    found = cut(_contexts(rows, bitmap(known.select("anchor")), hot), "contexts")
+    shard = F.when(F.col("salts") == 0, F.col("anchor")).otherwise(F.xxhash64("anchor", F.pmod(F.xxhash64("row"), F.greatest("salts", F.lit(1)))))
+    contexts = found.select(shard.alias("g"), F.lit(1).alias("kind"), "id", "row", "start", "text")
+    many = found.where("salts > 0")
     split = F.split(F.col("text").cast("string"), " ")
     each = F.transform(F.sequence(F.lit(1), F.size("s") - (WINDOW - 1)), lambda k: F.array_join(F.slice("s", k, F.lit(WINDOW)), " "))
     windows = many.groupBy("anchor", "salts", "text").agg(F.min("id").alias("a"), F.max("id").alias("b")).withColumn("s", split)

@@ -60,7 +60,7 @@ def rows_of(text: bytes) -> Iterator[np.ndarray]:
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of a text and their shares."""
+    """Distinct rows of a text, and their shares in half precision: what a sampled document holds on the driver."""
     total = np.zeros(1 << BITS, np.int64) if len(text) > 4 * SLAB else None
     parts = []
     for rows in rows_of(text):
@@ -73,7 +73,7 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     else:
         rows = np.flatnonzero(total)
         counts = total[rows]
-    return rows.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
+    return rows.astype(np.int32), (counts * SCALE / max(1, counts.sum())).astype(np.float16)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, rate: float = 0.5, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -83,14 +83,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     heads = (random.standard_normal((DIM, 2)) / DIM).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_t, seen_h, seen_b = np.full(1 << BITS, 1e-8, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    scale = np.float32(SCALE)
     for epoch in range(epochs):
         order = random.permutation(len(bags))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             size = [len(bags[i][0]) for i in own]
             rows = np.concatenate([bags[i][0] for i in own])
-            share = np.concatenate([bags[i][1] for i in own]) * scale
+            share = np.concatenate([bags[i][1] for i in own]).astype(np.float32)
             doc = np.repeat(np.arange(len(own)), size)
             taken = table[rows]
             mean = np.stack([np.bincount(doc, share * taken[:, k], len(own)) for k in range(DIM)], axis=1).astype(np.float32)
@@ -109,7 +108,17 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             heads -= rate * 0.1 * g_heads / np.sqrt(seen_h)
             seen_b += g_bias**2
             bias -= rate * 0.1 * g_bias / np.sqrt(seen_b)
-    return (table @ (heads[:, 1] - heads[:, 0]) * scale).astype(np.float32), float(bias[1] - bias[0])
+    return (table @ (heads[:, 1] - heads[:, 0]) * np.float32(SCALE)).astype(np.float32), float(bias[1] - bias[0])
+
+
+def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """Each value of a binary column as an array, without a copy."""
+    out = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        size = np.dtype(kind).itemsize
+        out += [np.frombuffer(chunk.buffers()[2], kind, (b - a) // size, a) if b > a else np.zeros(0, kind) for a, b in zip(ends, ends[1:])]
+    return out
 
 
 def fit(sample: DataFrame, shares: tuple[float, float]) -> tuple[np.ndarray, float]:
@@ -124,11 +133,16 @@ def fit(sample: DataFrame, shares: tuple[float, float]) -> tuple[np.ndarray, flo
             got = [bag(t or b"") for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], names=["id", "label", "rows", "shares"])
 
-    got = sample.mapInArrow(bags, "id long, label int, rows binary, shares binary").toArrow().sort_by("id")
+    got = sample.mapInArrow(bags, "id long, label int, rows binary, shares binary").toArrow()
     labels = got["label"].to_numpy().astype(np.int64)
     if len(set(labels.tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), float(np.log(shares[1] / shares[0]))
-    table, bias = train([(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32)) for r, s in zip(got["rows"].to_pylist(), got["shares"].to_pylist())], labels)
+    # A fixed order, whatever the order that tasks ended in; the table itself isn't copied for it.
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    held = list(zip(_views(got["rows"], np.int32), _views(got["shares"], np.float16)))
+    table, bias = train([held[k] for k in order.tolist()], labels[order])
+    del got, held
+    pa.default_memory_pool().release_unused()
     return table, bias + float(np.log(shares[1] / shares[0]) - np.log(labels.mean() / (1 - labels.mean())))
 
 

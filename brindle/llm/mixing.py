@@ -3,13 +3,15 @@
 A classifier, multinomial naive Bayes over hashed words, learns the domains of labelled documents and predicts for every
 document a posterior over domains. Document rates then solve a least-squares problem: with n_d words and posterior p_d,
 the rates r_d >= 0 should make the expected words of every domain, sum of r_d n_d p_dk, meet its target, errors weighed
-by the words the domain has. It is solved by projected gradient steps in the metric that weighs a document by its words, so a step changes r_d by the inner product of
-p_d with the residual, and by Nesterov's extrapolation of it. A document's rate after any number of steps follows from
-its posterior and the residuals of the steps so far, a number for each domain, so no rates are stored between steps:
-each step is one aggregation of a table, made once, of the words of documents by rounded posterior.
+by the words the domain has. Of the rates that do, those nearest to one are taken, in the metric that weighs a document
+by its words: a rate is then one less the inner product of p_d with one number a domain, or the least rate. These
+numbers are found by Newton steps until they settle, each one aggregation of a table, made once, of the words of
+documents by rounded posterior; no rates are stored. A solver that doesn't settle fails, and targets that can't be met
+are reported by a warning.
 
 The budget is, unless given, the smallest number of words at which no domain has to be thinned, so that targets are met
-by repeating what there is too little of. Rates become whole numbers of copies by rounding at random, by a hash of the
+by repeating what there is too little of. With soft posteriors no rates of one or more meet it: repeating any document
+adds to every domain. So where there is a least rate and no budget, shares of the words are met, whatever their sum. Rates become whole numbers of copies by rounding at random, by a hash of the
 id, so that the expected number is the rate.
 
 Defined cases: null and empty texts have no words and the prior as posterior, and stay with one copy; labels that are
@@ -19,6 +21,7 @@ others; repeated rows each have a rate; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,8 +35,14 @@ from brindle.llm.storage import cut
 from brindle.llm.words import raw_texts, slabs
 
 BITS = 16
-STEPS = 60
+#: Rounds of the solver, an aggregation each, after which it fails.
+MOST_STEPS = 400
+#: Share of all words by which a domain may miss its target.
 TOLERANCE = 1e-4
+#: Share of all words within which a root counts as found.
+SETTLED = 1e-6
+#: Weights of the change of rates against the errors, tried in order until the targets are met.
+EASES = (1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6, 1e-7)
 #: Documents whose posteriors round to the same multiples of this share a rate.
 GRID = 1 / 512
 #: Numbers of words that a text's averaged evidence may count as.
@@ -137,7 +146,8 @@ def posteriors(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
 
 
 class Solution(NamedTuple):
-    steps: list[list[float]]  # slopes by domain of each step
+    slopes: list[float]  # by domain: the rate is one less the posterior's product with them, or least
+    shift: float  # added to every rate before least holds
     least: float
     reached: list[float]  # expected words by domain
     goal: list[float]
@@ -146,53 +156,76 @@ class Solution(NamedTuple):
 def solve(members: DataFrame, targets: list[float], budget: float | None = None, least: float = 0.0) -> Solution:
     """Rates for a table of (q, w0, w1, ...): rounded posterior, and words in each domain expected of its documents.
 
-    Errors are weighed by what a domain has. members stays distributed; a step brings two numbers for each domain to
-    the driver.
+    Errors are weighed by what a domain has. members stays distributed; a step brings k * k + 2 k numbers to the driver.
+    Targets that the solution does not meet within TOLERANCE of all words are reported by a warning.
     """
     k = len(targets)
     own = [F.col(f"w{i}") for i in range(k)]
-    first = members.agg(*[F.sum(own[i]).alias(f"t{i}") for i in range(k)], *[F.sum(own[i] * F.col("q")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+    first = members.agg(*[F.sum(own[i]).alias(f"t{i}") for i in range(k)]).first()
     have = np.array([first[f"t{i}"] or 0.0 for i in range(k)])
     weight = np.where(have > 0, targets, 0.0)
     weight = weight / weight.sum() if weight.sum() else weight
+    # Where nothing may be thinned and the budget is free, shares alone are sought: errors are those of reached - weight * all.
+    free = budget is None and least > 0
     if budget is None:
         budget = float(max((h / w for h, w in zip(have, weight) if w > 0), default=0.0))
-    goal = weight * budget
+    goal = np.zeros(k) if free else weight * budget
     scale = np.where(have > 0, have, 1.0)
-    gram = np.array([[first[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) / np.sqrt(np.outer(scale, scale))
-    top = float(np.abs(np.linalg.eigvals(gram)).max())
-    steps: list[list[float]] = []
-    reached = have
-    while top and len(steps) < STEPS:
-        # The next gradient is taken at the extrapolated rates; what the rates themselves reach is summed beside it.
-        rate, ahead = _rates(steps, least, "q")
-        row = members.agg(*[F.sum(own[i] * ahead).alias(f"a{i}") for i in range(k)], *[F.sum(own[i] * rate).alias(f"r{i}") for i in range(k)]).first()
-        reached = np.array([row[f"r{i}"] for i in range(k)])
-        if np.abs(reached - goal).max() <= TOLERANCE * budget:
+    share = weight if free else np.zeros(k)
+
+    def reach(slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected words by domain, and of the documents above least the words by domain and posterior."""
+        rate = _rate(slopes.tolist(), least, "q", float(share @ slopes))
+        moving = F.when(rate > least, 1.0).otherwise(0.0)
+        row = members.agg(*[F.sum(own[i] * rate).alias(f"r{i}") for i in range(k)], *[F.sum(own[i] * moving).alias(f"m{i}") for i in range(k)], *[F.sum(own[i] * F.col("q")[j] * moving).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+        got = np.array([row[f"r{i}"] or 0.0 for i in range(k)])
+        inner = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+        return got, inner - np.outer([row[f"m{i}"] or 0.0 for i in range(k)], share)
+
+    def errors(got: np.ndarray) -> np.ndarray:
+        return got - share * got.sum() - goal
+
+    slopes = np.zeros(k)
+    reached, inner = reach(slopes)
+    steps = 0
+    for ease in EASES if have.any() else ():
+        # The root of ease * scale * slopes - errors: rates of least change and, as ease goes to zero, of least error.
+        lack = lambda s, got: (ease * scale * s - errors(got)) / np.sqrt(scale)  # noqa: B023, E731
+        now = lack(slopes, reached)
+        while np.abs(now * np.sqrt(scale)).max() > SETTLED * max(budget, reached.sum()):
+            jacobian = np.diag(ease * scale) + inner - np.outer(share, inner.sum(axis=0))
+            move = -np.linalg.solve(jacobian, now * np.sqrt(scale))
+            part = 1.0
+            while True:
+                steps += 1
+                if steps > MOST_STEPS:
+                    raise RuntimeError(f"mixing did not converge: reached {reached.tolist()}, targets {weight.tolist()}")
+                then = slopes + part * move
+                got, inner_then = reach(then)
+                after = lack(then, got)
+                if np.linalg.norm(after) <= (1 - 1e-4 * part) * np.linalg.norm(now):
+                    break
+                part /= 2
+                if part < 1e-6:
+                    break
+            if part < 1e-6:  # rounded posteriors leave nothing to gain
+                break
+            slopes, reached, inner, now = then, got, inner_then, after
+        if np.abs(errors(reached)).max() <= TOLERANCE * max(budget, reached.sum()):
             break
-        steps.append([float((row[f"a{i}"] - goal[i]) / scale[i] / top) for i in range(k)])
-    return Solution(steps, least, reached.tolist(), goal.tolist())
+    goal = weight * reached.sum() if free else goal
+    missed = float(np.abs(reached - goal).max() / max(1.0, goal.sum()))
+    if missed > TOLERANCE:
+        warnings.warn(f"mixing: targets missed by up to {missed:.4f} of all words: reached {reached.tolist()}, goal {goal.tolist()}", stacklevel=2)
+    return Solution(slopes.tolist(), float(share @ slopes), least, reached.tolist(), goal.tolist())
 
 
-def _rates(steps: list[list[float]], least: float, posterior: str) -> tuple[Column, Column]:
-    """Rate after the steps, and its extrapolation, from the posterior: a fold over the steps' slopes."""
-    one = F.lit(float(max(1.0, least)))
-    if not steps:
-        return one, one
-    t, momentum = 1.0, []
-    for _ in steps:
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        momentum.append((t - 1) / after)
-        t = after
-    moves = F.array(*[F.struct(F.array(*[F.lit(g) for g in slopes]).alias("g"), F.lit(m).alias("m")) for slopes, m in zip(steps, momentum)])
-
-    def step(s: Column, x: Column) -> Column:
-        slope = F.aggregate(F.zip_with(F.col(posterior), x["g"], lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b)
-        rate = F.greatest(s["ahead"] - slope, F.lit(least))
-        return F.struct(rate.alias("rate"), (rate + x["m"] * (rate - s["rate"])).alias("ahead"))
-
-    done = F.aggregate(moves, F.struct(one.alias("rate"), one.alias("ahead")), step)
-    return done["rate"], done["ahead"]
+def _rate(slopes: list[float], least: float, posterior: str, shift: float = 0.0) -> Column:
+    """The rate of a posterior: one and shift, less its product with the slopes, but no less than least."""
+    moved = F.lit(max(1.0, least) + shift)
+    for i, slope in enumerate(slopes):
+        moved = moved - F.col(posterior)[i] * F.lit(float(slope))
+    return F.greatest(moved, F.lit(float(least)))
 
 
 def _rounded() -> Column:
@@ -207,7 +240,7 @@ def _solved(found: DataFrame, targets: list[float], budget: float | None, least:
 
 def _decided(found: DataFrame, solution: Solution, row: Column, id_col: str) -> DataFrame:
     """``found`` with ``mix_rate`` and ``mix_copies``; a text without words has the rate one."""
-    rate = F.when(F.col("_n") > 0, _rates(solution.steps, solution.least, "_q")[0]).otherwise(1.0)
+    rate = F.when(F.col("_n") > 0, _rate(solution.slopes, solution.least, "_q", solution.shift)).otherwise(1.0)
     chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), row, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     out = found.withColumn("_q", _rounded()).withColumn("mix_rate", rate)
     return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + chance).cast("int")).drop("_q")

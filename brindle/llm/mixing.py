@@ -263,3 +263,9 @@ def mixed(docs: DataFrame, model: Model, targets: list[float], budget: float | N
     solution = _solved(posteriors(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), model, "text").drop("text"), targets, budget, least)
     out = _decided(posteriors(docs, model, text_col), solution, F.xxhash64(F.col(f"`{text_col}`")), id_col)
     return out.where("mix_copies > 0").drop("_n", "_p")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row of a mix ``mix_copies`` times, in place."""
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
+    return rows.where("mix_copies > 0").select("*", copies.alias("_copy")).drop("_copy")

@@ -51,7 +51,8 @@ NAMES = [
     ("eupl", "eupl|european union public license", "eu", True),
     ("isc", "isc|internet systems consortium", "i", False),
     ("zlib", "zlib(?: libpng)?", "zlib", False),
-    ("boost", "boost software|bsl 1 0", "bs", False),
+    ("boost", "boost software", "boost software", False),
+    ("boost", "bsl 1 0", "bsl 1 0", False),
     ("unlicense", "unlicense", "unlicense", True),
     ("wtfpl", "wtfpl", "wtfpl", True),
     ("artistic-1", "artistic license 1(?: 0)?", "artistic", True),
@@ -61,7 +62,8 @@ NAMES = [
     ("postgresql", "postgresql", "postgresql", False),
     ("openssl", "openssl", "openssl", False),
     ("ofl", "sil open font|open font|ofl 1 1", "o", False),
-    ("odbl", "odbl|open database", "od", False),
+    ("odbl", "odbl", "odbl", False),
+    ("odbl", "open database", "open database", False),
     ("ms-pl", "microsoft public|ms pl", "m", False),
     ("cc0", "cc0(?: 1 0)?|cc zero|creative commons zero", "c", True),
     ("cc-by", "(?:cc by|creative commons attribution)(?! (?:sa|nc|nd|share|non|no))(?: [1-4] [05])?", "c", True),
@@ -99,7 +101,7 @@ SENTENCES = [
 ]
 
 # Words of which one stands in every detection.
-TRIGGERS = ["licen", "spdx", "gpl", "apache", "bsd", "mozilla", "mpl", "eclipse", "epl", "cddl", "eupl", "wtfpl", "cc0", " cc ", "creative commons", "general public", "hereby granted", "permission to use", "redistribution and", "neither the name", "provided as is", "free software", "unencumbered", "public domain", "all rights reserved", "confidential", "copyright", " under ", "bsl"]
+TRIGGERS = ["licen", "spdx", "gpl", "apache", "bsd", "mozilla", "mpl", "eclipse", "epl", "cddl", "eupl", "wtfpl", "cc0", " cc ", "creative commons", "general public", "hereby granted", "permission to use", "redistribution and", "neither the name", "provided as is", "free software", "unencumbered", "public domain", "all rights reserved", "confidential", "copyright", " under ", "bsl", "terms of the ", "conditions of the ", "text of the ", "copy of the "]
 
 
 class Rule(NamedTuple):

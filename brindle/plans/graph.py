@@ -74,7 +74,16 @@ c AS (SELECT s AS v, s AS r FROM b UNION SELECT c.v, b.o FROM c JOIN b ON b.s =
 SELECT v, min(r) AS component FROM c GROUP BY v
 """
 
+
+
+def connected_components_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and parts joined by any line, by component; recursive SQL is too slow for it, a test has brute force."""
+    lines = read(spark, sf, "lineitem", "l_suppkey", "l_partkey")
+    return g.components(lines.select((-F.col("l_suppkey")).alias("s"), F.col("l_partkey").alias("o")))
+
+
 QUERIES = {
+    "connected_components_whole": (connected_components_whole, None),
     "connected_components": (connected_components, COMPONENTS),
     "triple_shared_entities": (triple_shared_entities, SHARED),
     "triple_optional_union_minus": (triple_optional_union_minus, OPTIONAL),

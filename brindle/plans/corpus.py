@@ -128,6 +128,21 @@ FROM p JOIN c ON c.doc_id = p.doc_id JOIN c e ON e.doc_id = p.other_id WHERE sha
 """
 
 
+def near_duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the representative of its text, by which near_duplicates names it; equal texts share one."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    key = F.sha2(F.col("text"), 256)
+    least = docs.groupBy(key.alias("key")).agg(F.min("doc_id").alias("representative"))
+    basis = F.when(F.col("doc_id") == F.col("representative"), "representative").otherwise("identical text")
+    return docs.select("doc_id", key.alias("key")).join(least, "key").select("doc_id", "representative", basis.alias("basis"))
+
+
+MEMBERS = """
+SELECT doc_id, representative, CASE WHEN doc_id = representative THEN 'representative' ELSE 'identical text' END AS basis
+FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS representative FROM documents) WHERE text IS NOT NULL
+"""
+
+
 def relevance_top1_idf(spark: SparkSession, sf: str) -> DataFrame:
     """The benchmark item that each document covers best, by IDF-weighted token coverage."""
     docs = read(spark, sf, "documents", "doc_id", "text")
@@ -265,6 +280,7 @@ QUERIES = {
     "identity_collision_suffix": (identity_collision_suffix, COLLISION),
     "top_k_with_other": (top_k_with_other, TOP_OTHER),
     "near_duplicates": (near_duplicates, NEAR),
+    "near_duplicate_members": (near_duplicate_members, MEMBERS),
     "relevance_top1_idf": (relevance_top1_idf, RELEVANCE),
     "quote_location": (quote_location, QUOTES),
     "quantities_and_pairs": (quantities_and_pairs, QUANTITIES),

@@ -35,3 +35,8 @@ def test_sets_of_all_orders(spark, tmp_path):
         orders=([(1, "HIGH", "F"), (2, "LOW", "O")], "o_orderkey long, o_orderpriority string, o_orderstatus string"),
     )
     assert run(spark, "jaccard_sets_whole", where) == [("HIGH", "LOW", 1, 0.5)]
+
+
+def test_members_of_equal_texts(spark, tmp_path):
+    where = save(spark, tmp_path, documents=([(3, "a"), (1, "a"), (2, "b"), (4, "a")], "doc_id long, text string"))
+    assert run(spark, "near_duplicate_members", where) == [(1, 1, "representative"), (2, 2, "representative"), (3, 1, "identical text"), (4, 1, "identical text")]

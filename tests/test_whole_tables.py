@@ -1,5 +1,6 @@
 """Queries over whole tables, on small tables with what their narrower forms leave out."""
 
+from brindle.functions import quotes
 from brindle.plans import registry
 
 
@@ -40,3 +41,14 @@ def test_sets_of_all_orders(spark, tmp_path):
 def test_members_of_equal_texts(spark, tmp_path):
     where = save(spark, tmp_path, documents=([(3, "a"), (1, "a"), (2, "b"), (4, "a")], "doc_id long, text string"))
     assert run(spark, "near_duplicate_members", where) == [(1, 1, "representative"), (2, 2, "representative"), (3, 1, "identical text"), (4, 1, "identical text")]
+
+
+def test_quotes_by_any_run(spark, tmp_path):
+    quote = "one two three four five six seven eight nine ten eleven 5"
+    docs = [(1, f"x {quote}!"), (2, f"{quote}7"), (3, quote.upper()), (4, quote.replace("one", "other")), (5, "one two three four five six and no more"), (6, "the dose is 15 mg"), (7, "dose 5 mg, 日本語"), (8, None), (9, "")]
+    items = [(1, quote), (2, "5 mg"), (3, "日本"), (4, "日本語"), (5, None), (6, "")]
+    where = save(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    got = run(spark, "quote_location_whole", where)
+    every = sorted((d, i, *quotes.locate(q, t)) for d, t in docs for i, q in items if quotes.locate(q, t)[0] != "absent")
+    assert got == every
+    assert [r[:3] for r in got] == [(1, 1, "exact"), (2, 1, "paraphrase"), (3, 1, "normalized"), (4, 1, "paraphrase"), (7, 2, "exact"), (7, 4, "exact")]

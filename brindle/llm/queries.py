@@ -14,10 +14,12 @@ from brindle.llm.storage import table
 
 #: Labelled documents of each class that a classifier learns from at most.
 PER_CLASS = 3000
+#: Score from which a document is predicted to be of the class.
+DECISION = 0.3
 
 
 def _decided(found: DataFrame, held_out: Column) -> DataFrame:
-    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import shared_dir
+
 
 def triples(*parts: DataFrame) -> DataFrame:
     """Union of (s, p, o) string tables, each triple once."""
@@ -26,10 +26,10 @@ def pattern(graph: DataFrame, predicate: str, s: str, o: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder the session names; one of its own only where none is set."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

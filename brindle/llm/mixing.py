@@ -16,7 +16,8 @@ id, so that the expected number is the rate.
 
 Defined cases: null and empty texts have no words and the prior as posterior, and stay with one copy; labels that are
 null don't count; domains without labelled documents have the posterior 0 and their target weight is shared by the
-others; repeated rows each have a rate; an empty table gives an empty result; other columns are ignored by the model.
+others; repeated rows each have a rate, the same one, as have texts whose posteriors tie; long texts are read whole; an
+empty table gives an empty result; other columns are ignored by the model, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SETTLED = 1e-6
 EASES = (1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6, 1e-7)
 #: Documents whose posteriors round to the same multiples of this share a rate.
 GRID = 1 / 512
+#: What a document's words share between them, in whole numbers.
+UNIT = 1 << 40
 #: Numbers of words that a text's averaged evidence may count as.
 EVIDENCE = (0.5, 1, 2, 4, 8, 16, 32, 64)
 
@@ -65,26 +68,28 @@ def _features(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _counted(sample: DataFrame, domains: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihoods, log priors) of (id, text, label); a fixed-size table for each task comes to the driver."""
+    """(log likelihoods, log priors) of (id, text, label).
+
+    Executors add up the words; domains * 2^BITS sums at most come to the driver, however many tasks there were. Sums
+    are of whole numbers, so that they don't depend on the order of tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((domains, 1 << BITS), np.float64)
-        docs = np.zeros(domains, np.int64)
         for batch in batches:
             labels = batch.column(2).to_pylist()
             for place, rows in _features(raw_texts(batch.column(1))):
-                docs[labels[place]] += 1
-                if len(rows):
-                    # A document counts once, whatever its length.
-                    counts[labels[place]] += np.bincount(rows, minlength=1 << BITS) / len(rows)
-        if docs.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(domains)), pa.array(docs), pa.array([c.astype(np.float32).tobytes() for c in counts], pa.binary())], names=["k", "docs", "counts"])
-
-    got = sample.select("id", "text", "label").mapInArrow(run, "k long, docs long, counts binary").toArrow()
+                # A document counts once, whatever its length; the word -1 counts documents.
+                words, n = np.unique(rows, return_counts=True)
+                words = np.r_[-1, words]
+                share = np.r_[UNIT, np.round(UNIT * (n / max(1, len(rows))))].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), labels[place])), pa.array(words), pa.array(share)], names=["k", "word", "share"])
+
+    made = sample.select("id", "text", "label").mapInArrow(run, "k long, word long, share long")
+    got = made.groupBy("k", "word").agg(F.sum("share").alias("share")).toArrow()
+    k, word, share = (got[c].to_numpy() for c in ("k", "word", "share"))
     counts, docs = np.zeros((domains, 1 << BITS)), np.zeros(domains)
-    for k, n, c in zip(got["k"].to_pylist(), got["docs"].to_pylist(), got["counts"].to_pylist()):
-        docs[k] += n
-        counts[k] += np.frombuffer(c, np.float32)
+    docs[k[word < 0]] = share[word < 0] / UNIT
+    counts[k[word >= 0], word[word >= 0]] = share[word >= 0] / UNIT
     prior = np.where(docs > 0, np.log(np.maximum(docs, 1) / max(1, docs.sum())), -np.inf)
     if not docs.any():
         prior = np.full(domains, -np.log(domains))
@@ -99,7 +104,6 @@ def fit(sample: DataFrame, shares: list[float]) -> Model:
     """
     domains = len(shares)
     half = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == 0
-    sample = sample.repartition(8, "id")  # bounded, and so is what its tasks send
     likely, prior = _counted(sample.where(half), domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +116,8 @@ def fit(sample: DataFrame, shares: list[float]) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(range(len(EVIDENCE)), pa.int64())], names=["fit", "k"])
 
     fits = np.zeros(len(EVIDENCE))
-    got = sample.where(~half).select("id", "text", "label").mapInArrow(run, "fit double, k long").toArrow()
-    np.add.at(fits, got["k"].to_numpy(), got["fit"].to_numpy())
+    for row in sample.where(~half).select("id", "text", "label").mapInArrow(run, "fit double, k long").groupBy("k").agg(F.sum("fit").alias("fit")).collect():
+        fits[row["k"]] = row["fit"]
     likely, prior = _counted(sample, domains)
     with np.errstate(divide="ignore"):
         known = np.where(np.isfinite(prior), np.log(np.array(shares) / sum(shares)), -np.inf)
@@ -127,7 +131,10 @@ def _posterior(likely: np.ndarray, prior: np.ndarray, evidence: float, rows: np.
 
 
 def posteriors(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``rows`` with the columns ``_n``, words of the text, and ``_p``, its posterior. The model is broadcast."""
+    """``rows`` without the text, with the columns ``_n``, words of the text, and ``_p``, its posterior.
+
+    The model, of fixed size, is broadcast.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     place_of_text = rows.columns.index(text_col)
 
@@ -139,9 +146,10 @@ def posteriors(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
             for place, words in _features(raw_texts(batch.column(place_of_text))):
                 sizes[place] = len(words)
                 out[place] = _posterior(own.likely, own.prior, own.evidence, words)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(list(out), pa.list_(pa.float64()))], names=[*batch.schema.names, "_n", "_p"])
+            others = [c for k, c in enumerate(batch.columns) if k != place_of_text]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(sizes), pa.array(list(out), pa.list_(pa.float64()))], names=schema.names)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != text_col], T.StructField("_n", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(run, schema)
 
 
@@ -238,34 +246,47 @@ def _solved(found: DataFrame, targets: list[float], budget: float | None, least:
     return solve(members, targets, budget, least)
 
 
-def _decided(found: DataFrame, solution: Solution, row: Column, id_col: str) -> DataFrame:
+def _decided(found: DataFrame, solution: Solution, key: Column) -> DataFrame:
     """``found`` with ``mix_rate`` and ``mix_copies``; a text without words has the rate one."""
     rate = F.when(F.col("_n") > 0, _rate(solution.slopes, solution.least, "_q", solution.shift)).otherwise(1.0)
-    chance = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), row, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
     out = found.withColumn("_q", _rounded()).withColumn("mix_rate", rate)
     return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + chance).cast("int")).drop("_q")
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """What a row's rounding goes by."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")), F.lit("copies"))
+
+
 def rates(docs: DataFrame, model: Model, targets: list[float], budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, posterior, mix_rate, mix_copies), one row per row of docs; copies rounds the rate at random."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    found = cut(posteriors(narrow, model, "text").drop("text"), "posteriors")
-    out = _decided(found, _solved(found, targets, budget, least), F.col("row"), "id")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    found = cut(posteriors(narrow.select("id", _key("id", "text").alias("key"), "text"), model, "text"), "posteriors")
+    out = _decided(found, _solved(found, targets, budget, least), F.col("key"))
     return out.select("id", F.col("_n").alias("n_words"), F.col("_p").alias("posterior"), "mix_rate", "mix_copies")
 
 
 def mixed(docs: DataFrame, model: Model, targets: list[float], budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mix takes, with ``mix_rate`` and ``mix_copies``, how often each is to be repeated.
 
-    Texts are read and scored twice, once for the sums and once for the rows themselves, rather than shuffled or kept.
+    These two take the place of columns of docs with such names, all others stay. Texts are read and scored twice, once for the sums and once for the rows themselves, rather than shuffled or kept.
     """
-    solution = _solved(posteriors(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), model, "text").drop("text"), targets, budget, least)
-    out = _decided(posteriors(docs, model, text_col), solution, F.xxhash64(F.col(f"`{text_col}`")), id_col)
-    return out.where("mix_copies > 0").drop("_n", "_p")
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    solution = _solved(posteriors(docs.select(text), model, "text"), targets, budget, least)
+    others = [c for c in docs.columns if c not in ("mix_rate", "mix_copies")]
+    packed = docs.select(_packed(others), _key(id_col, text_col).alias("key"), text)
+    out = _decided(posteriors(packed, model, "text"), solution, F.col("key"))
+    return out.where("mix_copies > 0").select("row.*", "mix_rate", "mix_copies")
+
+
+def _packed(columns: list[str]) -> Column:
+    """Columns as one struct, out of the way of names that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """Each row of a mix ``mix_copies`` times, in place."""
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return rows.where("mix_copies > 0").select("*", copies.alias("_copy")).drop("_copy")
+    return rows.where("mix_copies > 0").select(_packed(rows.columns), copies.alias("copy")).select("row.*")

@@ -12,8 +12,9 @@ queries are searched once. The sample has at most ``SAMPLE_ROWS`` rows, leaves h
 while the table has fewer than ``SAMPLE_ROWS * LEAF_ROWS / 2`` rows, and grow with it beyond.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
-another length than most; fewer than ``k`` candidates give fewer rows; an empty table gives an empty result; a row whose
-id is repeated counts as many rows; other columns are ignored.
+another length than most; fewer than ``k`` candidates give fewer rows; an empty table gives an empty result; rows of one
+id are one query and one candidate, with the best score of any of their vectors; ties go to smaller ids; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -280,7 +281,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     found = found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("r", best).where(F.col("r") <= k + 1)
     # Every query with the vector of a searched one.
-    names = asked.join(searched.select(F.col("id").alias("query"), F.col("v").alias("w")), F.col("v") == F.col("w")).select(F.col("id").alias("query_id"), "query")
+    names = asked.join(searched.select(F.col("id").alias("query"), F.col("v").alias("w")), F.col("v") == F.col("w")).select(F.col("id").alias("query_id"), "query").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    mine = names.join(found, "query").where("id != query_id").select("query_id", place.cast("int").alias("rank"), "id", "score")
-    return mine.where(F.col("rank") <= k)
+    mine = names.join(found.drop("r"), "query").where("id != query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return mine.select("query_id", place.cast("int").alias("rank"), "id", "score").where(F.col("rank") <= k)

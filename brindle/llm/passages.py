@@ -351,10 +351,13 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
     gone = occurrences(rows)
     n = partitions(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    carried = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.lit(1).alias("_kind"), F.lit(0).alias("_start"), F.lit(0).alias("_size"), "*")
+    # Columns go by number inside, out of the way of the operator's names.
+    numbered = [F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(docs.columns)]
+    carried = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.lit(1).alias("_kind"), F.lit(0).alias("_start"), F.lit(0).alias("_size"), *numbered)
     marks = gone.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.lit(0).alias("_kind"), F.col("start").alias("_start"), F.col("n").alias("_size"))
-    place = docs.columns.index(text_col)
-    sized = docs.columns.index(size_col) if size_col in docs.columns else None
+    names = docs.columns
+    place = names.index(text_col)
+    sized = names.index(size_col) if size_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, marked = None, []
@@ -385,7 +388,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_
                 if sized is not None:
                     sizes = own[sized].to_pylist()
                     own[sized] = pa.array([len(changed[k]) if k in changed else v for k, v in enumerate(sizes)], own[sized].type)
-            yield pa.RecordBatch.from_arrays(own, names=batch.schema.names[5:]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays(own, names=names).take(pa.array(keep, pa.int64()))
 
     both = marks.unionByName(carried, allowMissingColumns=True).repartition(n, "_id", "_row").sortWithinPartitions("_id", "_row", "_kind")
     return both.mapInArrow(run, docs.schema)

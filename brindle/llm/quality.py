@@ -6,7 +6,9 @@ dictionary did; the difference of the sizes over the text's own size becomes a s
 labelled documents that neither dictionary has seen.
 
 Defined cases: null and empty texts have the difference zero; without labels, or with one class only, every score is
-that class's share with one of each class added; repeated rows are scored alike; other columns are ignored.
+that class's share with one of each class added; repeated rows are scored alike; long texts are compressed whole, block
+by block, and teach dictionaries with all their blocks; a class with too few blocks for the library's builder has its
+blocks themselves as dictionary; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from brindle.llm.words import raw_texts
 BLOCK = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 112 << 10
-#: Blocks of one labelled document, spread evenly over its whole text, that dictionaries are built from.
-PER_DOCUMENT = 8
 
 
 class Model(NamedTuple):
@@ -35,19 +35,16 @@ class Model(NamedTuple):
     curve: tuple[float, ...]
 
 
-def spread(text: bytes) -> list[bytes]:
-    """At most PER_DOCUMENT blocks of a text, evenly spread."""
-    n = -(-len(text) // BLOCK)
-    take = range(n) if n <= PER_DOCUMENT else [i * (n - 1) // (PER_DOCUMENT - 1) for i in range(PER_DOCUMENT)]
-    return [text[i * BLOCK : (i + 1) * BLOCK] for i in take]
+def blocks_of(text: bytes) -> list[bytes]:
+    return [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
 
 
 def dictionary(blocks: list[bytes]) -> bytes:
-    """A dictionary of ``blocks``, by the library's builder where it finds enough text, else their tail as raw content."""
+    """A dictionary of ``blocks``, by the library's builder; if it refuses them as too few, they are the dictionary."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(blocks)[-DICTIONARY_BYTES:]
+        return b"".join(blocks)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -61,8 +58,7 @@ def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdC
     if not text:
         return 0.0
     gain = 0
-    for at in range(0, len(text), BLOCK):
-        block = text[at : at + BLOCK]
+    for block in blocks_of(text):
         gain += len(bad.compress(block)) - len(good.compress(block))
     return gain / len(text)
 
@@ -92,7 +88,7 @@ def fit(sample: DataFrame, shares: tuple[float, float]) -> Model:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [spread(t or b"") for t in raw_texts(batch.column(1))]
+            got = [blocks_of(t or b"") for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.binary()))], names=["id", "label", "blocks"])
 
     build = sample.where(half).select(F.col("id").cast("long"), "text", "label").mapInArrow(blocks, "id long, label int, blocks array<binary>").toArrow().sort_by("id")

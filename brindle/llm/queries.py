@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ DECISION = 0.3
 
 
 def _decided(found: DataFrame, held_out: Column) -> DataFrame:
+    """The classifiers' columns; a row without an id is not held out."""
+    held_out = F.coalesce(held_out, F.lit(False))
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
 
 
@@ -70,9 +71,7 @@ def domain_model(docs: DataFrame, labels: DataFrame, domain: Column, domains: in
     """A model of labelled documents, at most PER_DOMAIN of each domain."""
     known = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.max(domain.cast("int")).alias("label"))
     counts = {row["label"]: row["count"] for row in known.groupBy("label").count().collect()}
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_DOMAIN) for k in range(domains)]
-    ids = F.broadcast(reduce(DataFrame.unionByName, chosen).select(F.col("doc_id").alias("_id"), "label"))
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(ids, F.col("id") == F.col("_id")).select("id", "text", "label")
+    sample = labelled.sample(docs, known, PER_DOMAIN, classes=domains)
     return mixing.fit(sample, [counts.get(k, 0) + 1 for k in range(domains)])
 
 

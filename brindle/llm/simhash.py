@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.components import roots
 from brindle.llm.storage import cut, partitions
@@ -192,20 +193,41 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return first.where("cell is null").select("a", "b").unionByName(large.select("a", "b")).distinct()
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, least) of every fingerprint: its group, and the smallest id that has it."""
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    tree = roots(links(least.select("fp"), radius)).withColumnRenamed("vertex", "fp")
+    return cut(least.join(tree, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component): one row per row of docs; component is the smallest id that links reach."""
     prints = cut(fingerprints(docs, id_col, text_col, size), "prints")
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    tree = roots(links(least.select("fp"), radius)).withColumnRenamed("vertex", "fp")
-    rooted = cut(least.join(tree, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    rooted = _rooted(prints, radius)
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_print = rooted.join(component, "root").select("fp", "component")
     return prints.join(by_print, "fp").select("id", "fp", "component")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs``, as it is, of each group: one with the smallest id. Rows without an id stay."""
-    found = near_duplicates(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, size, radius)
-    first = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """One row of ``docs``, as it is, of each group: one with the smallest id. Rows without an id stay.
+
+    Groups are told apart by their fingerprints, so that rows of one id in different groups each stand for their own.
+    """
+    sound = docs.where(F.col(f"`{id_col}`").isNotNull())
+    # Columns go by number inside, out of the way of the operator's names.
+    names = docs.columns
+    numbered = sound.select(*[F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(names)])
+    own, place = str(names.index(id_col)), names.index(text_col)
+    schema = T.StructType([*numbered.schema.fields, T.StructField("fp", T.LongType())])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t or b"", size) for t in raw_texts(batch.column(place))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=schema.names)
+
+    rooted = _rooted(cut(fingerprints(sound, id_col, text_col, size), "prints"), radius)
+    first = rooted.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("one")).select(F.col("one.least").alias("id"), F.col("one.fp").alias("fp"))
+    rows = numbered.mapInArrow(marked, schema).withColumnRenamed("fp", "print")
+    kept = rows.join(first, (F.col(own).cast("long") == F.col("id")) & (F.col("print") == F.col("fp")), "left_semi").dropDuplicates([own, "print"])
+    return kept.drop("print").toDF(*names).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -7,17 +7,22 @@ executors and driver share it, so a lost executor costs a re-read and not a reco
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session has none (tests)."""
+    """The shared folder. In local mode, where all share one disk, one is made if none is set; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,10 +32,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written inside each open :func:`intermediates`, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`cut` writes inside are deleted at the end; what is to last is written before or after."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`cut`, but the table outlives the :func:`intermediates` it is written in."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,12 +73,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` that nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/brindle/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                _delete(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:

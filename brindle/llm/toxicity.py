@@ -2,14 +2,17 @@
 
 Every word gives itself and its character n-grams of 3 to 5 bytes, word borders included, as hashed rows of one
 embedding table; a text is the average of its rows, and a linear softmax over that average gives the classes. Table
-and softmax are trained jointly, in numpy, on a bounded labelled sample. A misspelling never seen in training still
-shares most of its n-grams, and so its vectors, with the word it comes from.
+and softmax are trained jointly, in numpy, on a bounded labelled sample, in one task of an executor; the driver gets the
+trained model only. A misspelling never seen in training still shares most of its n-grams, and so its vectors, with the
+word it comes from.
 
 As averaging and softmax are linear up to the last step, the trained model is applied as one number per table row:
 scoring a text is a gather and a mean.
 
 Defined cases: null, empty and blank texts score the bias alone; without labels, or with one class only, every score
-is that class's share with one of each class added; repeated rows are scored alike; other columns are ignored.
+is that class's share with one of each class added; repeated rows are scored alike, and so are texts with equal counts of
+words and n-grams; a long text is read whole, a slab at a time; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,39 +114,35 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return (table @ (heads[:, 1] - heads[:, 0]) * np.float32(SCALE)).astype(np.float32), float(bias[1] - bias[0])
 
 
-def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    """Each value of a binary column as an array, without a copy."""
-    out = []
-    for chunk in column.chunks:
-        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
-        size = np.dtype(kind).itemsize
-        out += [np.frombuffer(chunk.buffers()[2], kind, (b - a) // size, a) if b > a else np.zeros(0, kind) for a, b in zip(ends, ends[1:])]
-    return out
-
-
 def fit(sample: DataFrame, shares: tuple[float, float]) -> tuple[np.ndarray, float]:
     """Model of a sample of (id, text, label) from labels whose classes 0 and 1 have the given shares.
 
-    The sample's bags are made on the executors. Its classes may be as large as each other; the bias is moved to the
-    shares of all labels.
+    The sample, of bounded bytes, is made into bags by all executors and then trained on by one task, in the order of
+    its ids and texts, so that a task that is run again gives the same model. Classes may be as large as each other;
+    the bias is moved to the shares of all labels.
     """
+    base = float(np.log(shares[1] / shares[0]))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [bag(t or b"") for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], names=["id", "label", "rows", "shares"])
 
-    got = sample.mapInArrow(bags, "id long, label int, rows binary, shares binary").toArrow()
-    labels = got["label"].to_numpy().astype(np.int64)
-    if len(set(labels.tolist())) < 2:
-        return np.zeros(1 << BITS, np.float32), float(np.log(shares[1] / shares[0]))
-    # A fixed order, whatever the order that tasks ended in; the table itself isn't copied for it.
-    order = np.argsort(got["id"].to_numpy(), kind="stable")
-    held = list(zip(_views(got["rows"], np.int32), _views(got["shares"], np.float16)))
-    table, bias = train([held[k] for k in order.tolist()], labels[order])
-    del got, held
-    pa.default_memory_pool().release_unused()
-    return table, bias + float(np.log(shares[1] / shares[0]) - np.log(labels.mean() / (1 - labels.mean())))
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, labels = [], []
+        for batch in batches:
+            labels += batch.column(1).to_pylist()
+            held += [(np.frombuffer(r, np.int32), np.frombuffer(s, np.float16)) for r, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        if 0 < sum(labels) < len(labels):
+            table, bias = train(held, np.array(labels, np.int64))
+            mean = sum(labels) / len(labels)
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias + base - float(np.log(mean / (1 - mean)))])], names=["model", "bias"])
+
+    made = sample.mapInArrow(bags, "id long, label int, rows binary, shares binary")
+    got = made.repartition(1).sortWithinPartitions("id", "rows", "shares").mapInArrow(trained, "model binary, bias double").collect()
+    if not got:
+        return np.zeros(1 << BITS, np.float32), base
+    return np.frombuffer(bytes(got[0]["model"]), np.float32), got[0]["bias"]
 
 
 def score(text: bytes, table: np.ndarray, bias: float) -> float:

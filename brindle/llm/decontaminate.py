@@ -3,18 +3,20 @@
 Words are taken in lower case (A-Z). For every length among the benchmark's items, the fingerprints of all windows of
 that many words come from running bit counts of word-pair hashes, so a window costs the same whatever its length. A
 multi-index finds all windows within ``RADIUS`` bits of an item: a fingerprint is four blocks of 16 bits, and within 11
-bits one of them is within two, so a window is looked at only if one of its blocks is in a table of all values within
-two bits of an item's block. What is in range is verified by the exact similarity of five-word shingles, weighted by
-how often each occurs (sum of minima over sum of maxima), at ``SIMILARITY`` or more.
+bits one of them is within two. So an index of each block holds every item under all values within two bits of its own;
+a window looks its four blocks up and meets the items found there alone. What is in range is verified by the exact
+similarity of five-word shingles, weighted by how often each occurs (sum of minima over sum of maxima), at
+``SIMILARITY`` or more.
 
-The items are a stated set: they are broadcast in blocks of at most ``ITEM_BYTES`` of text, each run over all documents;
-documents are never shuffled. Items of 50 words or more are grouped by lengths that differ by two per cent at most; the
+The items are a stated set: they are broadcast in blocks of at most ``ITEM_BYTES`` of text and about ``ITEMS`` items, each
+run over all documents; documents are never shuffled. Items of 50 words or more are grouped by lengths that differ by two per cent at most; the
 group's windows are as long as its longest item, and verification tries every window of the item's own length inside.
 A document shorter than an item is a single window.
 
 Defined cases: null and empty texts have no windows, items without words none either; sequences of fewer words than a
-shingle are one shingle; ties of a document's windows for an item go to the first; repeated rows are each reported; an
-empty table on either side gives an empty result; other columns are ignored.
+shingle are one shingle; ties of a document's windows for an item go to the first; repeated rows are each reported; a long
+text is read in steps of STEP windows, plus the longest item's words, whose running counts take 64 numbers a word; an
+empty table on either side gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 11
 ITEM_BYTES = 16 << 20
+ITEMS = 20_000
 #: Windows whose bit counts are held at once.
 STEP = 1 << 13
 
@@ -50,7 +53,9 @@ class Length(NamedTuple):
     words: int
     items: list[int]  # places in the list of items
     prints: np.ndarray
-    tables: np.ndarray  # 4 x 65536: whether a block's value is near an item's
+    tables: np.ndarray  # 4 x 65536: whether the index of a block has the value
+    values: list[np.ndarray]  # of each block's index, in order
+    owners: list[np.ndarray]  # places in items, for each value
 
 
 def similarity(a: list[bytes], b: list[bytes]) -> float:
@@ -111,10 +116,14 @@ class Index:
         self.lengths = []
         for top, items in sorted(groups.items()):
             prints = np.array([self._print(at) for at in items], np.uint64)
-            tables = np.zeros((4, 1 << 16), bool)
+            tables, values, owners = np.zeros((4, 1 << 16), bool), [], []
             for k, block in enumerate(prints.view(np.uint16).reshape(-1, 4).T):
-                tables[k, (block[:, None] ^ _NEAR).ravel()] = True
-            self.lengths.append(Length(top, items, prints, tables))
+                near = (block[:, None] ^ _NEAR).ravel()
+                order = np.argsort(near, kind="stable")
+                values.append(near[order])
+                owners.append(np.repeat(np.arange(len(items), dtype=np.int32), len(_NEAR))[order])
+                tables[k, near] = True
+            self.lengths.append(Length(top, items, prints, tables, values, owners))
         self.longest = max(groups, default=0)
 
     def _print(self, at: int) -> int:
@@ -138,13 +147,24 @@ class Index:
 
     def _near(self, length: Length, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item, distance) of all fingerprints within the radius."""
-        places = prints.view(np.uint16).astype(np.intp)
+        blocks = prints.view(np.uint16)
+        places = blocks.astype(np.intp)
         places += _TABLE[: len(places)]
-        # The four answers of a window are the four bytes of one number.
-        at = np.flatnonzero(length.tables.reshape(-1).take(places, mode="wrap").view(np.uint32))
-        apart = np.bitwise_count(prints[at, None] ^ length.prints)
-        row, column = np.nonzero(apart <= RADIUS)
-        return zip(at[row].tolist(), [length.items[k] for k in column.tolist()], apart[row, column].tolist())
+        # Four answers a window; most windows have none.
+        held = np.flatnonzero(length.tables.reshape(-1).take(places, mode="wrap"))
+        found = []
+        for k in range(4):
+            own = held[held & 3 == k]
+            value = blocks[own]
+            first = np.searchsorted(length.values[k], value)
+            n = np.searchsorted(length.values[k], value, "right") - first
+            at = np.repeat(own >> 2, n)
+            item = length.owners[k][np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+            near = np.bitwise_count(prints[at] ^ length.prints[item]) <= RADIUS
+            found.append(at[near] * len(length.items) + item[near])
+        at, item = np.divmod(np.unique(np.concatenate(found)), len(length.items))
+        apart = np.bitwise_count(prints[at] ^ length.prints[item])
+        return zip(at.tolist(), [length.items[k] for k in item.tolist()], apart.tolist())
 
     def matches(self, slab: Slab) -> dict[int, dict[int, Match]]:
         """For each document of the slab, by its place in it, the best window for each item that it leaks."""
@@ -193,8 +213,8 @@ class Index:
 def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes of blocks of items of about ITEM_BYTES each."""
     kept = items.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // ITEM_BYTES)
+    size, n = kept.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("text")).first()
+    blocks = max(-(-size // ITEM_BYTES), -(-n // ITEMS))
     for k in range(blocks):
         got = kept.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
         yield Index(got["id"].to_pylist(), [t.encode() for t in got["text"].to_pylist()])

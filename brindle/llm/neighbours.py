@@ -5,8 +5,8 @@ of each tree. A query walks all trees through one priority queue, ordered by the
 that it crosses, until the leaves that it has taken hold ``share`` of the rows, counted once per tree. Rows of those
 leaves are compared exactly, in double precision.
 
-Leaves stay where they are dealt to; a query goes to a bucket of leaves once, with the list of leaves it wants there.
-A task holds one block of at most ``QUERY_BLOCK`` queries and one leaf, whatever the size of the table. Of rows with the
+Every row goes to its bucket of leaves once, and no more: a task holds one bucket, about ``BUCKET_ROWS`` rows, while queries
+stream by, each with the list of leaves it wants there. Of rows with the
 same vector only the ``k`` + 1 smallest ids are indexed, as no others can be among the nearest of any row; equal
 queries are searched once. The sample has at most ``SAMPLE_ROWS`` rows, leaves have about ``LEAF_ROWS`` rows of the table
 while the table has fewer than ``SAMPLE_ROWS * LEAF_ROWS / 2`` rows, and grow with it beyond.
@@ -34,7 +34,9 @@ TREES = 3
 SHARE = 0.95
 LEAF_ROWS = 256
 SAMPLE_ROWS = 65_536
-QUERY_BLOCK = 65_536
+BUCKET_ROWS = 65_536
+#: Queries of a task that are compared at once.
+STEP = 4096
 
 
 class Tree(NamedTuple):
@@ -157,93 +159,67 @@ def _routed(queries: DataFrame, shared, buckets: int, share: float) -> DataFrame
     return queries.mapInArrow(run, "tree long, bucket long, leaves array<long>, id long, v array<double>")
 
 
-def _compared(k: int):
-    """Best ``k`` of each query in each group of leaves; rows sorted by (g, kind, leaf), queries before candidates."""
-
-    class Group:
-        def __init__(self) -> None:
-            self.ids: list[np.ndarray] = []
-            self.rows: list[np.ndarray] = []
-            self.wants: list[pa.Array] = []
-            self.ready = False
-
-        def close(self) -> None:
-            self.query_ids, self.query_rows = np.concatenate(self.ids), np.concatenate(self.rows)
-            self.query_units = _units(self.query_rows)
-            lists = pa.concat_arrays(self.wants)
-            leaf = lists.flatten().to_numpy()
-            query = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            order = np.argsort(leaf, kind="stable")
-            self.leaf, self.query = leaf[order], query[order]
-            self.best = np.full((len(self.query_ids), k), -np.inf)
-            self.best_ids = np.full((len(self.query_ids), k), np.iinfo(np.int64).max)
-            self.ready = True
-
-        def compare(self, leaf: int, ids: np.ndarray, rows: np.ndarray) -> None:
-            own = self.query[np.searchsorted(self.leaf, leaf) : np.searchsorted(self.leaf, leaf, "right")]
-            units = _units(rows)
-            for at in range(0, len(own), 4096):
-                q = own[at : at + 4096]
-                rough = self.query_units[q] @ units.T
-                keep = min(k, len(ids))
-                floor = np.maximum(np.partition(rough, -keep, axis=1)[:, -keep], self.best[q, -1]) - 1e-9
-                i, j = np.nonzero(rough >= floor[:, None])
-                a, b = self.query_rows[q[i]], rows[j]
-                exact = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                score = np.concatenate([self.best[q].ravel(), exact])
-                found = np.concatenate([self.best_ids[q].ravel(), ids[j]])
-                owner = np.concatenate([np.repeat(np.arange(len(q)), k), i])
-                order = np.lexsort((found, -score, owner))
-                first = np.searchsorted(owner[order], np.arange(len(q)))
-                top = order[first[:, None] + np.arange(k)]
-                self.best[q], self.best_ids[q] = score[top], found[top]
-
-        def result(self) -> pa.RecordBatch:
-            real = np.isfinite(self.best)
-            query = np.repeat(self.query_ids, k).reshape(real.shape)
-            return pa.RecordBatch.from_arrays([pa.array(query[real]), pa.array(self.best_ids[real]), pa.array(self.best[real])], names=["query", "id", "score"])
+class _Bucket:
+    """The rows of one bucket, sorted by leaf."""
+
+    def __init__(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.leaf, self.ids, self.rows = (np.concatenate([h[k] for h in held]) for k in range(3))
+        self.units = _units(self.rows)
+
+    def best(self, ids: np.ndarray, rows: np.ndarray, wants: pa.Array, k: int) -> pa.RecordBatch:
+        """(query, id, score): of each query's wanted leaves the best ``k`` rows."""
+        units = _units(rows)
+        leaf = wants.flatten().to_numpy()
+        query = np.repeat(np.arange(len(wants)), wants.value_lengths().to_numpy())
+        order = np.argsort(leaf, kind="stable")
+        leaf, query = leaf[order], query[order]
+        best, best_ids = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for at in np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]).tolist() if len(leaf) else ():
+            q = query[at : np.searchsorted(leaf, leaf[at], "right")]
+            a, b = np.searchsorted(self.leaf, leaf[at]), np.searchsorted(self.leaf, leaf[at], "right")
+            if a == b:
+                continue
+            rough = units[q] @ self.units[a:b].T
+            keep = min(k, b - a)
+            floor = np.maximum(np.partition(rough, -keep, axis=1)[:, -keep], best[q, -1]) - 1e-9
+            i, j = np.nonzero(rough >= floor[:, None])
+            x, y = rows[q[i]], self.rows[a:b][j]
+            exact = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+            score = np.concatenate([best[q].ravel(), exact])
+            found = np.concatenate([best_ids[q].ravel(), self.ids[a:b][j]])
+            owner = np.concatenate([np.repeat(np.arange(len(q)), k), i])
+            rank = np.lexsort((found, -score, owner))
+            top = rank[np.searchsorted(owner[rank], np.arange(len(q)))[:, None] + np.arange(k)]
+            best[q], best_ids[q] = score[top], found[top]
+        real = np.isfinite(best)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(real.shape)[real]), pa.array(best_ids[real]), pa.array(best[real])], names=["query", "id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, current = None, None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        held_leaf = None
 
-        def flush() -> None:
-            nonlocal held
-            if held and group is not None and group.ready:
-                group.compare(held_leaf, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            held = []
+def _compared(k: int):
+    """Best ``k`` of each query in each bucket; rows sorted by (g, kind, leaf), candidates before queries."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, bucket = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
             new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist()
             for a, b in zip(new, [*new[1:], len(keys)]):
-                g, kind, leaf = keys[a].tolist()
-                part = batch.slice(a, b - a)
-                ids, rows = part.column("id").to_numpy(), _matrix(part.column("v"))
+                g, kind = keys[a].tolist()
                 if g != current:
-                    flush()
-                    if group is not None and group.ready:
-                        yield group.result()
-                    group, current = (Group() if kind == 0 else None), g
-                if group is None:
-                    continue  # leaves that no query wants
+                    current, held, bucket = g, [], None
+                part = batch.slice(a, b - a)
                 if kind == 0:
-                    group.ids.append(ids)
-                    group.rows.append(rows)
-                    group.wants.append(part.column("leaves"))
+                    held.append((part.column("leaf").to_numpy(), part.column("id").to_numpy(), _matrix(part.column("v"))))
                     continue
-                if not group.ready:
-                    group.close()
-                if leaf != held_leaf or sum(len(h[0]) for h in held) > 8192:
-                    flush()
-                    held_leaf = leaf
-                held.append((ids, rows))
-        flush()
-        if group is not None and group.ready:
-            yield group.result()
+                if bucket is None:
+                    if not held:
+                        continue  # leaves without rows
+                    bucket, held = _Bucket(held), []
+                for at in range(0, b - a, STEP):
+                    some = part.slice(at, STEP)
+                    yield bucket.best(some.column("id").to_numpy(), _matrix(some.column("v")), some.column("leaves"), k)
 
     return run
 
@@ -264,18 +240,15 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     random = np.random.default_rng(seed)
     shared = spark.sparkContext.broadcast([build(units, leaf, random) for _ in range(trees)])
     groups = partitions(spark)
-    buckets = max(1, -(-groups // trees))
+    buckets = max(1, -(-groups // trees), -(-n // BUCKET_ROWS))
 
     asked = rows.where(is_query)
     searched = cut(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "queries")
-    blocks = max(1, -(-searched.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     none = F.lit(None).cast("array<long>")
-    group = F.xxhash64("tree", "bucket", "block").alias("g")
-    wanted = _routed(searched.repartition(groups, "id"), shared, buckets, share).withColumn("block", block)
-    wanted = wanted.select(group, F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("leaf"), "leaves", "id", "v")
-    placed = _placed(index, shared, buckets).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    placed = placed.select(group, F.lit(1).cast("long").alias("kind"), "leaf", none.alias("leaves"), "id", "v")
+    group = F.xxhash64("tree", "bucket").alias("g")
+    wanted = _routed(searched.repartition(groups, "id"), shared, buckets, share)
+    wanted = wanted.select(group, F.lit(1).cast("long").alias("kind"), F.lit(0).cast("long").alias("leaf"), "leaves", "id", "v")
+    placed = _placed(index, shared, buckets).select(group, F.lit(0).cast("long").alias("kind"), "leaf", none.alias("leaves"), "id", "v")
     both = wanted.unionByName(placed).repartition(groups, "g").sortWithinPartitions("g", "kind", "leaf")
     found = both.mapInArrow(_compared(k + 1), "query long, id long, score double")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))

@@ -6,12 +6,19 @@ can read characters and emit, with each, by how many tokens the count of the tex
 the piece beginnings that are still open, each with the class of the piece before it and the count there; they are
 made when first met and kept in a hash table of transitions.
 
-A slab of texts is cut into chunks that all run side by side. A chunk doesn't know the state that it begins in, but the
-machine restarts at every space after another character, so the map from entry state to exit state is constant for
-nearly all chunks; a scan over the chunks composes their maps, evaluating only what stands before the first restart.
+Texts are cut into segments, and these into chunks that all run side by side. A chunk doesn't know the state that it begins
+in, but the machine restarts at every space after another character, so the map from entry state to exit state is
+constant for nearly all chunks. A parallel scan composes the maps: every chunk's map is evaluated at the state that the
+chunk before it leaves, all chunks at once, up to its first restart; where a chunk has none its exit is guessed, and
+evaluated again while the guess before it changes, which is seldom, as states that read the same characters soon agree.
+
+States are made when first met. A machine that has MOST_STATES of them before a segment forgets them all and begins
+anew, so its memory is bounded, whatever the texts: a segment of SEGMENT characters makes twice as many states at most.
 
 Defined cases: null and empty texts have no tokens; special tokens' strings inside texts are ordinary text; characters
-outside the vocabulary count a token per UTF-8 byte; repeated rows are counted alike; other columns are ignored.
+outside the vocabulary count a token per UTF-8 byte; texts of any length are counted whole, segment by segment, with or
+without spaces; repeated rows are counted alike; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from brindle.llm.words import raw_texts
 SPACE = "▁"
 SLAB = 1 << 21
 CHUNK = 256
+SEGMENT = 1 << 18
+MOST_STATES = 1 << 19
 _WIDTH = 4096
 _UNKNOWN = 1
 #: Subtrees of more pieces than this keep the preceding piece itself, not its class.
@@ -70,10 +79,15 @@ class Transducer:
         self.allowed: dict[tuple[int, int], bool] = {}
         self.classes: dict[tuple, object] = {}
         self.first_of: dict[tuple, int] = {}
+        self.width = len(singles) + 2
+        self._forget()
+
+    def _forget(self) -> None:
+        """No states but the initial and the unknown one."""
         self.states: dict[tuple, int] = {((0, -1, 0),): 0, (): _UNKNOWN}
         self.list: list[tuple] = [((0, -1, 0),), ()]
         self.moves: dict[int, tuple[int, int]] = {0: (0, 0)}
-        self.moves |= {_UNKNOWN * _WIDTH + k: (_UNKNOWN, 0) for k in range(len(singles) + 2)}
+        self.moves |= {_UNKNOWN * _WIDTH + k: (_UNKNOWN, 0) for k in range(self.width)}
         self._empty(1 << 20)
         self._put(self.moves)
 
@@ -181,8 +195,6 @@ class Transducer:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
     def _put(self, moves: dict[int, tuple[int, int]]) -> None:
-        if len(self.list) >= 1 << 22:
-            raise OverflowError("the transducer has more states than its table can number")
         if (self.held + len(moves)) * 8 > len(self.table):
             self._empty(4 * len(self.table))
             moves = self.moves | moves
@@ -214,32 +226,64 @@ class Transducer:
         """Tokens emitted at each character of a sequence of columns; column 0 is a break."""
         before = np.r_[0, columns[:-1]]
         restart = (columns == 0) | (before == 0) | ((columns == 1) & (before != 1))
+        out, open_state = [], self.list[0]
+        for at in range(0, len(columns), SEGMENT):
+            if len(self.list) > MOST_STATES:
+                self._forget()
+            entry = self.states.setdefault(open_state, len(self.list))
+            if entry == len(self.list):
+                self.list.append(open_state)
+            made, leave = self._segment(columns[at : at + SEGMENT], restart[at : at + SEGMENT], entry)
+            open_state = self.list[leave]
+            out.append(made)
+        return np.concatenate(out) if out else np.zeros(0, np.int8)
+
+    def _segment(self, columns: np.ndarray, restart: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """(tokens emitted at each character, state at the end) of a segment that begins in a state."""
         n = len(columns)
         chunks = -(-n // CHUNK)
         pad = chunks * CHUNK - n
         side = np.ascontiguousarray(np.r_[columns, np.zeros(pad, columns.dtype)].reshape(chunks, CHUNK).T)
-        fresh = np.ascontiguousarray(np.r_[restart, np.ones(pad, bool)].reshape(chunks, CHUNK).T)
-        goes_on = ~fresh
+        fresh = np.ascontiguousarray(np.r_[restart, np.zeros(pad, bool)].reshape(chunks, CHUNK).T)
+        size = np.full(chunks, CHUNK)
+        size[-1] -= pad
         out = np.zeros((CHUNK, chunks), np.int8)
-        state = np.full(chunks, _UNKNOWN, np.int64)
-        for k in range(CHUNK):
-            state *= goes_on[k]
-            got = self._find(state * _WIDTH + side[k])
-            out[k] = got  # its low byte
-            state = (got >> 8) & ((1 << 22) - 1)
-        flat = np.ascontiguousarray(out.T).reshape(-1)
-        # The scan: exit states of chunks with a restart are known, the others' maps are applied to what arrives.
-        head = np.where(fresh.any(axis=0), fresh.argmax(axis=0), CHUNK)
-        state[head == CHUNK] = -1
-        leave = state.tolist()
-        for c in np.flatnonzero(head).tolist():
-            now = leave[c - 1]
-            at = c * CHUNK
-            for k, column in enumerate(columns[at : at + int(head[c])].tolist()):
-                now, flat[at + k] = self.move(now, column)
-            if leave[c] < 0:
-                leave[c] = now
-        return flat[:n]
+
+        def run(own: np.ndarray, state: np.ndarray, until: np.ndarray) -> np.ndarray:
+            """States of some chunks after their first ``until`` characters, from given ones; output is kept."""
+            order = np.argsort(-until, kind="stable")
+            own, until, left = own[order], until[order], state[order].copy()
+            for k in range(int(until[0]) if len(until) else 0):
+                m = int(np.searchsorted(-until, -k))  # chunks that go on
+                lane = own[:m]
+                left[:m] *= ~fresh[k, lane]
+                got = self._find(left[:m] * _WIDTH + side[k, lane])
+                out[k, lane] = got  # its low byte
+                left[:m] = (got >> 8) & ((1 << 22) - 1)
+            state = np.empty_like(left)
+            state[order] = left
+            return state
+
+        every = np.arange(chunks)
+        head = np.where(fresh.any(axis=0), fresh.argmax(axis=0), size)
+        closed = head == size  # no restart: what leaves the chunk depends on what enters it
+        leave = run(every, np.where(closed, 0, _UNKNOWN), size)
+        came = np.full(chunks, -1)
+        came[closed] = 0  # the guess
+        waiting = every[head > 0]
+        while len(waiting):
+            enters = np.where(waiting > 0, leave[waiting - 1], entry)
+            stale = came[waiting] != enters
+            own, enters = waiting[stale], enters[stale]
+            if not len(own):
+                break
+            came[own] = enters
+            after = run(own, enters, head[own])
+            leave[own[closed[own]]] = after[closed[own]]
+            # Only chunks behind one whose exit may have changed can be stale again.
+            behind = own[closed[own]] + 1
+            waiting = behind[(behind < chunks) & (head[np.minimum(behind, chunks - 1)] > 0)]
+        return np.ascontiguousarray(out.T).reshape(-1)[:n], int(leave[-1])
 
     def counts(self, texts: list[bytes | None]) -> list[int]:
         totals = [0] * len(texts)

@@ -1,12 +1,14 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
-A text is brought to its words, joined by single spaces, once; every rule is a regular expression over that form.
-Rules come from names of licenses and from phrasings; each has a keyword, and its expression runs only over texts that
-hold the keyword, behind a gate of a few trigger words that most texts fail. Of overlapping detections the one of
-higher priority stays where it contains the other, the longer one at equal priority, the earlier rule at equal length.
-
-Defined cases: null and empty texts have no words and no detections; repeated rows are scanned alike; other columns are
-ignored; a text is scanned whole, whatever its length.
+A text is brought to its words, joined by single spaces, once; every rule is a regular expression over that form, written
+by hand in :mod:`brindle.llm.license_rules`. A rule's expression runs only over texts that hold its keyword, a literal
+part of every match, and rules with one keyword are asked for it together. Of overlapping detections the one of higher
+priority stays where it contains the other, the longer one at equal priority, the earlier rule at equal length.
+
+Defined cases: null and empty texts have no words and no detections; repeated rows are scanned alike; ties between rules
+over the same words go to the earlier rule; a text is scanned whole, whatever its length: detections are spans of words,
+found in one pass over the words, and each is held against those that begin at most MOST_WORDS words before it; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,92 +18,21 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.license_rules import SIGNATURES
+
 #: What separates words once A-Z is lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases of the base scan and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# License names as they stand in word form, their labels, a keyword each name holds, and whether the
-# bare name is telling enough by itself.
-NAMES = [
-    ("mit", "mit|expat|x11", "", False),
-    ("apache-2", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache", True),
-    ("apache-1", "apache(?: software)?(?: license)?(?: version)? 1(?: [01])?", "apache", True),
-    ("bsd-2", "(?:simplified|freebsd|2 clause|two clause) bsd|bsd (?:2|two) clause", "bsd", True),
-    ("bsd-3", "(?:new|modified|revised|3 clause|three clause) bsd|bsd (?:3|three) clause", "bsd", True),
-    ("bsd-4", "(?:original|4 clause|four clause) bsd|bsd (?:4|four) clause", "bsd", True),
-    ("bsd", "bsd(?: style)?", "bsd", False),
-    ("gpl-2", "(?:gnu )?(?:gpl|general public license) ?(?:v|version )?2(?: 0)?(?: only| or later)?", "g", True),
-    ("gpl-3", "(?:gnu )?(?:gpl|general public license) ?(?:v|version )?3(?: 0)?(?: only| or later)?", "g", True),
-    ("gpl", "gnu gpl|gpl|gnu general public", "g", False),
-    ("lgpl-2", "(?:gnu )?(?:lgpl|(?:lesser|library) general public license) ?(?:v|version )?2(?: [01])?", "l", True),
-    ("lgpl-3", "(?:gnu )?(?:lgpl|lesser general public license) ?(?:v|version )?3(?: 0)?", "l", True),
-    ("lgpl", "gnu lgpl|lgpl|gnu lesser general public", "l", False),
-    ("agpl-3", "(?:gnu )?(?:agpl|affero general public license) ?(?:v|version )?3(?: 0)?", "a", True),
-    ("agpl", "gnu agpl|agpl|gnu affero general public", "a", False),
-    ("mpl-1", "(?:mpl|mozilla public license) ?(?:v|version )?1(?: [01])?", "m", True),
-    ("mpl-2", "(?:mpl|mozilla public license) ?(?:v|version )?2(?: 0)?", "m", True),
-    ("mpl", "mpl|mozilla public", "m", False),
-    ("epl-1", "(?:epl|eclipse public license) ?(?:v|version )?1(?: 0)?", "e", True),
-    ("epl-2", "(?:epl|eclipse public license) ?(?:v|version )?2(?: 0)?", "e", True),
-    ("epl", "epl|eclipse public", "e", False),
-    ("cddl", "cddl|common development and distribution license", "d", True),
-    ("cpl", "common public license", "common", True),
-    ("eupl", "eupl|european union public license", "eu", True),
-    ("isc", "isc|internet systems consortium", "i", False),
-    ("zlib", "zlib(?: libpng)?", "zlib", False),
-    ("boost", "boost software", "boost software", False),
-    ("boost", "bsl 1 0", "bsl 1 0", False),
-    ("unlicense", "unlicense", "unlicense", True),
-    ("wtfpl", "wtfpl", "wtfpl", True),
-    ("artistic-1", "artistic license 1(?: 0)?", "artistic", True),
-    ("artistic-2", "artistic license 2(?: 0)?", "artistic", True),
-    ("artistic", "artistic", "artistic", False),
-    ("python", "python software foundation|psf", "p", False),
-    ("postgresql", "postgresql", "postgresql", False),
-    ("openssl", "openssl", "openssl", False),
-    ("ofl", "sil open font|open font|ofl 1 1", "o", False),
-    ("odbl", "odbl", "odbl", False),
-    ("odbl", "open database", "open database", False),
-    ("ms-pl", "microsoft public|ms pl", "m", False),
-    ("cc0", "cc0(?: 1 0)?|cc zero|creative commons zero", "c", True),
-    ("cc-by", "(?:cc by|creative commons attribution)(?! (?:sa|nc|nd|share|non|no))(?: [1-4] [05])?", "c", True),
-    ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "c", True),
-    ("cc-by-nc", "cc by nc(?! (?:sa|nd))|creative commons attribution non ?commercial(?! (?:share|no))", "c", True),
-    ("cc-by-nc-sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike", "c", True),
-    ("cc-by-nc-nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?", "c", True),
-    ("cc-by-nd", "cc by nd|creative commons attribution no ?deriv(?:ative)?s?", "c", True),
-]
-
-# Phrasings round a name, highest priority first: expression, a keyword, priority, weight.
-PHRASINGS = [
-    ("spdx license identifier (?:{name})", "spdx", 6, 0.99),
-    ("(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)?", "under ", 5, 0.95),
-    ("under (?:the )?(?:terms of (?:the )?)?(?:{name}) licen[sc]e", "under ", 5, 0.95),
-    ("(?:terms|conditions|text|copy) of the (?:{name})(?: licen[sc]e)?", " of the ", 4, 0.85),
-    ("licen[sc]e (?:is )?(?:the )?(?:{name})", "licen", 3, 0.7),
-    ("(?:{name}) licen[sc]e[sd]?", "licen", 2, 0.6),
-]
-
-# Sentences of license texts themselves: label, expression, keyword.
-SENTENCES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
-    ("bsd-3", "neither the name of .{1,80}? may be used to endorse or promote products", "neither the name"),
-    ("zlib", "this software is provided as is without any express or implied warranty", "provided as is"),
-    ("gpl", "this program is free software you can redistribute it and or modify it", "free software you can"),
-    ("boost", "permission is hereby granted free of charge to any person or organization", "hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", "(?:released into|placed in|dedicated to|is in) the public domain", "public domain"),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
-]
-
-# Words of which one stands in every detection.
-TRIGGERS = ["licen", "spdx", "gpl", "apache", "bsd", "mozilla", "mpl", "eclipse", "epl", "cddl", "eupl", "wtfpl", "cc0", " cc ", "creative commons", "general public", "hereby granted", "permission to use", "redistribution and", "neither the name", "provided as is", "free software", "unencumbered", "public domain", "all rights reserved", "confidential", "copyright", " under ", "bsl", "terms of the ", "conditions of the ", "text of the ", "copy of the "]
+#: How sure a detection of each priority is.
+WEIGHTS = {6: 0.99, 5: 0.95, 4: 0.9, 3: 0.8, 2: 0.7, 1: 0.5}
+#: More words than any rule's match has.
+MOST_WORDS = 64
+#: What marks the first and the last character of a match; no word has them.
+_OPEN, _SHUT = "\x01", "\x02"
+_SPANS = "array<struct<s:int,e:int,label:string,p:int,w:double,i:int>>"
 
 
 class Rule(NamedTuple):
@@ -114,47 +45,71 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules in order: phrasings of every name, bare telling names, sentences."""
-    found = [Rule(label, f"(?<= )(?:{text.format(name=name)})(?= )", key, need, priority, weight) for label, name, key, _ in NAMES for text, need, priority, weight in PHRASINGS]
-    found += [Rule(label, f"(?<= )(?:{name})(?= )", key, "", 1, 0.5) for label, name, key, telling in NAMES if telling]
-    found += [Rule(label, f"(?<= )(?:{text})(?= )", key, "", 4, 0.9) for label, text, key in SENTENCES]
-    return found
+    """All rules in order."""
+    return [Rule(label, f"(?<= )(?:{text})(?= )", key, "", p, WEIGHTS[p]) for label, text, key, p in SIGNATURES]
+
+
+#: Keywords of which one stands in every detection: those that hold no other one.
+TRIGGERS = sorted({r.keyword for r in rules() if not any(o.keyword in r.keyword for o in rules() if o.keyword != r.keyword)})
 
 
 def words_form(text: Column) -> Column:
     """The text's words, each between single spaces; one space if there is none."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), GAPS, " "), F.lit(" "))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.concat(F.lit(" "), F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), upper, lower), GAPS, " "), F.lit(" "))
+
+
+def _hits(form: Column) -> Column:
+    """Array of (m, i): for every rule that matches, the form with its matches marked, and the rule's number."""
+    by_key: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules()):
+        marked = F.struct(F.regexp_replace(form, F.lit(r.expression), F.lit(f"{_OPEN}$0{_SHUT}")).alias("m"), F.lit(i).alias("i"))
+        by_key.setdefault(r.keyword, []).append(F.when(form.contains(r.need) & form.rlike(r.expression), marked))
+    none = F.array().cast("array<struct<m:string,i:int>>")
+    return F.concat(*[F.when(form.contains(key), F.array_compact(F.array(*found))).otherwise(none) for key, found in by_key.items()])
 
 
-def _rule_array() -> Column:
-    spelled = [f"named_struct('label', '{r.label}', 'rx', r'{r.expression}', 'k', '{r.keyword}', 'need', '{r.need}', 'p', {r.priority}, 'w', {r.weight}D, 'i', {i})" for i, r in enumerate(rules())]
-    return F.expr(f"array({', '.join(spelled)})")
+def _detections(hits: Column) -> Column:
+    """Array of (s, e, label, p, w, i): spans of words, from words whose marks open and shut."""
+    own = rules()
+    labels, priorities, weights = (F.array(*[F.lit(r[k]) for r in own]) for k in (0, 4, 5))
 
+    def places(words: Column, there) -> Column:
+        return F.filter(F.transform(words, lambda w, k: F.when(there(w), k)), lambda k: k.isNotNull())
 
-def _detections(form: Column) -> Column:
-    """Array of (s, e, label, p, w, i): every match of every rule whose keyword the text holds, as character spans."""
-    held = F.filter(_rule_array(), lambda r: form.contains(r["k"]) & form.contains(r["need"]))
+    def spans(hit: Column) -> Column:
+        words = F.split(F.trim(hit["m"]), " ")
+        found = F.zip_with(places(words, lambda w: w.startswith(_OPEN)), places(words, lambda w: w.endswith(_SHUT)), lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+        i = hit["i"]
+        return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(labels, i).alias("label"), F.get(priorities, i).alias("p"), F.get(weights, i).alias("w"), i.alias("i")))
 
-    def spans(r: Column) -> Column:
-        found = F.regexp_extract_all(form, r["rx"], F.lit(0))
-        between = F.split(form, r["rx"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("got"))
-        pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("b"), F.length(f).alias("f")))
-        ends = F.aggregate(pairs, start, lambda a, x: F.struct((a["at"] + x["b"] + x["f"]).alias("at"), F.array_append(a["got"], F.struct((a["at"] + x["b"]).alias("s"), (a["at"] + x["b"] + x["f"]).alias("e"))).alias("got")))
-        return F.transform(ends["got"], lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), r["label"].alias("label"), r["p"].alias("p"), r["w"].alias("w"), r["i"].alias("i")))
+    return F.flatten(F.transform(hits, spans)).cast(_SPANS)
 
-    return F.flatten(F.transform(held, spans))
 
+def _ordered(found: Column) -> Column:
+    """Detections by start, longest first, and of each span the one of highest rank, first."""
+    return F.transform(F.array_sort(F.transform(found, lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-d["p"]).alias("p"), d["i"].alias("i"), d["label"].alias("label"), d["w"].alias("w")))), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), d["label"].alias("label"), (-d["p"]).alias("p"), d["w"].alias("w"), d["i"].alias("i")))
+
+
+def _first_of_span(ordered: Column) -> Column:
+    return F.filter(ordered, lambda d, k: ~F.coalesce((F.get(ordered, k - 1)["s"] == d["s"]) & (F.get(ordered, k - 1)["e"] == d["e"]), F.lit(False)))
+
+
+def _suppressed(spans: Column) -> Column:
+    """Detections, one of each span and in order, that no other one of higher rank contains.
+
+    What contains one begins no more than MOST_WORDS words before it, and stands at most MOST_WORDS^2 places before.
+    """
+    reach = MOST_WORDS * MOST_WORDS
 
-def _suppressed(found: Column) -> Column:
-    """Detections that no other one of higher rank contains."""
+    def beaten(d: Column, k: Column) -> Column:
+        before = F.slice(spans, F.greatest(k - reach, F.lit(0)) + 1, F.least(k, F.lit(reach)))
+        return F.exists(before, lambda o: (o["e"] >= d["e"]) & (o["p"] >= d["p"]))
 
-    def beaten(d: Column) -> Column:
-        size = lambda x: x["e"] - x["s"]
-        higher = lambda o: (o["p"] > d["p"]) | ((o["p"] == d["p"]) & ((size(o) > size(d)) | ((size(o) == size(d)) & (o["i"] < d["i"]))))
-        return F.exists(found, lambda o: (o["s"] <= d["s"]) & (o["e"] >= d["e"]) & higher(o))
+    def behind(d: Column, k: Column) -> Column:
+        return F.filter(F.array(d), lambda x: ~beaten(x, k))
 
-    return F.filter(found, lambda d: ~beaten(d))
+    return F.flatten(F.transform(spans, behind))
 
 
 def _word_at(form: Column, place: Column) -> Column:
@@ -166,7 +121,7 @@ def _word_at(form: Column, place: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections), one row per row of docs.
 
-    detections: array of (s, e, label, p, w, i), character spans in the words' form, after suppression.
+    detections: array of (s, e, label, p, w, i), spans of words from s to before e, after suppression.
     """
     form = F.col("form")
     formed = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_replace(words_form(F.col(f"`{text_col}`")), "^ +", " ").alias("form"))
@@ -182,8 +137,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = [F.when(form.contains(s), F.regexp_count(form, F.lit(f"(?={s})"))).otherwise(0).cast("long").alias(f"n{k}") for k, (s, _) in base.items()]
     firsts = [F.when(form.contains(s), _word_at(form, F.instr(form, s))).alias(f"f{k}") for k, (s, _) in base.items()]
     lasts = [F.when(form.contains(s), _word_at(form, F.length(form) - F.instr(F.reverse(form), s[::-1]) - len(s) + 2)).alias(f"l{k}") for k, (s, _) in base.items()]
-    found = gated.select("id", "n_words", *counts, *firsts, *lasts, F.when(F.col("gate"), _detections(form)).otherwise(F.expr("array()").cast("array<struct<s:int,e:int,label:string,p:int,w:double,i:int>>")).alias("found"))
-    kept = found.withColumn("detections", F.when(F.size("found") > 1, _suppressed(F.col("found"))).otherwise(F.col("found")))
+    hits = gated.select("id", "n_words", *counts, *firsts, *lasts, F.when(F.col("gate"), _hits(form)).otherwise(F.array().cast("array<struct<m:string,i:int>>")).alias("hits"))
+    names = ["id", "n_words", *[f"{c}{k}" for c in "nfl" for k in base]]
+    none = F.array().cast(_SPANS)
+    found = hits.select(*names, F.when(F.size("hits") > 0, _detections(F.col("hits"))).otherwise(none).alias("found"))
+    ordered = found.select(*names, F.when(F.size("found") > 1, _ordered(F.col("found"))).otherwise(F.col("found")).alias("ordered"))
+    single = ordered.select(*names, F.when(F.size("ordered") > 1, _first_of_span(F.col("ordered"))).otherwise(F.col("ordered")).alias("spans"))
+    kept = single.select(*names, F.when(F.size("spans") > 1, _suppressed(F.col("spans"))).otherwise(F.col("spans")).alias("detections"))
     base_labels = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, F.lit(label)) for k, (_, label) in base.items()])))
     own = F.array_distinct(F.transform("detections", lambda d: d["label"]))
     weights = F.transform("detections", lambda d: d["w"])

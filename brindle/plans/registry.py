@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import corpus, events, graph, relational, streams, texts
+from brindle.plans import corpus, entity_graph, events, graph, relational, resource_graph, streams, texts
 
 #: Modules with ``QUERIES``: name -> (function of (spark, sf_dir), oracle SQL or None).
-MODULES: list = [corpus, relational, events, graph, texts, streams]
+MODULES: list = [corpus, relational, events, graph, texts, streams, entity_graph, resource_graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -181,7 +181,7 @@ def contribution_text(by: Column) -> Column:
 
 def markdown_row(*cells: Column, width: int = 60) -> Column:
     """Cells between bars, bars and line breaks in them made harmless, cut to ``width`` characters."""
-    plain = [F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\|", r"\\\\|"), r"\s*\n\s*", " ") for c in cells]
+    plain = [F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ") for c in cells]
     cut = [F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 1), F.lit("…"))).otherwise(c) for c in plain]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cut), F.lit(" |"))
 

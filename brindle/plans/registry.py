@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import cluster, corpus, entity_graph, events, graph, mentions, relational, resource_graph, streams, texts, work
+from brindle.plans import cluster, corpus, entity_graph, events, evidence, graph, matching, mentions, relational, resource_graph, streams, texts, work
 
 #: Modules with ``QUERIES``: name -> (function of (spark, sf_dir), oracle SQL or None).
-MODULES: list = [corpus, relational, events, graph, texts, streams, entity_graph, resource_graph, cluster, work, mentions]
+MODULES: list = [corpus, relational, events, graph, texts, streams, entity_graph, resource_graph, cluster, work, mentions, matching, evidence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,9 +53,9 @@ class Length(NamedTuple):
     words: int
     items: list[int]  # places in the list of items
     prints: np.ndarray
-    tables: np.ndarray  # 4 x 65536: whether the index of a block has the value
-    values: list[np.ndarray]  # of each block's index, in order
-    owners: list[np.ndarray]  # places in items, for each value
+    tables: np.ndarray  # whether the index of a block has the value, by block << 16 | value
+    keys: np.ndarray  # of all four indexes, block << 16 | value, in order
+    owners: np.ndarray  # places in items, for each key
 
 
 def similarity(a: list[bytes], b: list[bytes]) -> float:
@@ -116,14 +116,12 @@ class Index:
         self.lengths = []
         for top, items in sorted(groups.items()):
             prints = np.array([self._print(at) for at in items], np.uint64)
-            tables, values, owners = np.zeros((4, 1 << 16), bool), [], []
-            for k, block in enumerate(prints.view(np.uint16).reshape(-1, 4).T):
-                near = (block[:, None] ^ _NEAR).ravel()
-                order = np.argsort(near, kind="stable")
-                values.append(near[order])
-                owners.append(np.repeat(np.arange(len(items), dtype=np.int32), len(_NEAR))[order])
-                tables[k, near] = True
-            self.lengths.append(Length(top, items, prints, tables, values, owners))
+            keys = (prints.view(np.uint16).reshape(-1, 4)[:, :, None] ^ _NEAR).astype(np.int32) | (np.arange(4, dtype=np.int32) << 16)[:, None]
+            tables = np.zeros(4 << 16, bool)
+            tables[keys.ravel()] = True
+            order = np.argsort(keys.ravel(), kind="stable")
+            owners = np.repeat(np.arange(len(items), dtype=np.int32), 4 * len(_NEAR))[order]
+            self.lengths.append(Length(top, items, prints, tables, keys.ravel()[order], owners))
         self.longest = max(groups, default=0)
 
     def _print(self, at: int) -> int:
@@ -147,22 +145,21 @@ class Index:
 
     def _near(self, length: Length, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item, distance) of all fingerprints within the radius."""
-        blocks = prints.view(np.uint16)
-        places = blocks.astype(np.intp)
+        places = prints.view(np.uint16).astype(np.intp)
         places += _TABLE[: len(places)]
-        # Four answers a window; most windows have none.
-        held = np.flatnonzero(length.tables.reshape(-1).take(places, mode="wrap"))
-        found = []
-        for k in range(4):
-            own = held[held & 3 == k]
-            value = blocks[own]
-            first = np.searchsorted(length.values[k], value)
-            n = np.searchsorted(length.values[k], value, "right") - first
-            at = np.repeat(own >> 2, n)
-            item = length.owners[k][np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-            near = np.bitwise_count(prints[at] ^ length.prints[item]) <= RADIUS
-            found.append(at[near] * len(length.items) + item[near])
-        at, item = np.divmod(np.unique(np.concatenate(found)), len(length.items))
+        # The four answers of a window are the four bytes of one number.
+        hit = length.tables.take(places, mode="wrap")
+        windows = np.flatnonzero(hit.view(np.uint32))
+        row, block = np.nonzero(hit.reshape(-1, 4)[windows])
+        key = places.reshape(-1, 4)[windows[row], block].astype(np.int32)
+        first = np.searchsorted(length.keys, key)
+        n = np.searchsorted(length.keys, key, "right") - first
+        at = np.repeat(windows[row], n)
+        item = length.owners[np.arange(len(at)) + np.repeat(first - np.cumsum(n) + n, n)]
+        near = np.flatnonzero(np.bitwise_count(prints[at] ^ length.prints[item]) <= RADIUS)
+        if not near.size:
+            return iter(())
+        at, item = np.divmod(np.unique(at[near] * len(length.items) + item[near]), len(length.items))
         apart = np.bitwise_count(prints[at] ^ length.prints[item])
         return zip(at.tolist(), [length.items[k] for k in item.tolist()], apart.tolist())
 

@@ -19,7 +19,7 @@ def corpus_token_index(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "lang", "text")
     mentions = docs.select("doc_id", "lang", F.explode(tx.tokens(F.col("text"))).alias("token")).where(F.length("token") > 2)
     index = entities.cross_document_index(mentions, ["token", "lang"], "doc_id")
-    return index.where("document_count >= 2").orderBy(F.desc("mention_count"), F.desc("document_count"), "token", "lang")
+    return index.where("document_count >= 2")
 
 
 TOKEN_INDEX = """
@@ -104,12 +104,15 @@ SELECT CASE WHEN k <= 5 THEN source ELSE 'Other' END AS source, sum(n)::BIGINT A
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different texts whose sampled five-word shingles overlap by half or more of the smaller set.
 
-    Equal texts are one entry, named by its smallest id. A shingle's postings meet only entries whose sets are no
-    smaller, and identical sets of postings are not joined twice.
+    Equal texts are one entry, named by its smallest id: hashes of texts are grouped, not the texts. A pair is met in the
+    postings of every shingle that both have, by the smaller id first.
     """
-    docs = read(spark, sf, "documents", "doc_id", "text").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    runs = docs.select("doc_id", tx.tokens(F.col("text")).alias("w")).select("doc_id", tx.shingles(F.col("w"), 5).alias("s"))
-    hashed = runs.select("doc_id", F.transform("s", lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")).alias("s"))
+    every = read(spark, sf, "documents", "doc_id", "text").where("text is not null")
+    first = every.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    docs = every.join(first, "doc_id", "left_semi")
+    words = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    five = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda k: F.conv(F.substring(F.md5(F.array_join(F.slice("w", k, F.lit(5)), " ")), 1, 8), 16, 10).cast("long"))
+    hashed = words.select("doc_id", F.when(F.size("w") >= 5, five).otherwise(F.array().cast("array<bigint>")).alias("s"))
     sets = hashed.select("doc_id", F.array_distinct(F.filter("s", lambda h: h % 8 == 0)).alias("s"))
     # The outer form keeps the optimizer from pushing a filter on s, and with it all of s, below the projections.
     postings = sets.select("doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
@@ -180,8 +183,9 @@ def quote_location(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text")
     items = read(spark, sf, "benchmark", "item_id", "text")
     wanted = items.select("item_id", F.col("text").alias("quote"), tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    wanted = wanted.select("item_id", "quote", F.array_join(F.slice("w", 1, 6), " ").alias("g"))
-    runs = docs.select("doc_id", tx.tokens(F.col("text")).alias("w")).select("doc_id", F.explode_outer(tx.shingles(F.col("w"), 6)).alias("g")).join(wanted.select("item_id", "g"), "g").select("doc_id", "item_id")
+    wanted = wanted.select("item_id", "quote", F.xxhash64(F.slice("w", 1, 6)).alias("g"))
+    # Runs are hashes; what they propose is verified on the texts.
+    runs = docs.select("doc_id", tx.tokens(F.col("text")).alias("w")).select("doc_id", F.explode_outer(tx.shingle_hashes(F.col("w"), 6)).alias("g")).join(wanted.select("item_id", "g"), "g").select("doc_id", "item_id")
     # A document is read again only for its candidates.
     pairs = runs.distinct().join(docs, "doc_id").join(wanted.select("item_id", "quote"), "item_id")
     exact = F.expr("instr(text, quote)")

@@ -20,8 +20,47 @@ def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "1 day"
 
 
 def replay(counts: DataFrame, checkpoint: str, name: str) -> DataFrame:
-    """Run a stream over what is there now, into a table in memory."""
-    spark = counts.sparkSession
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Run a stream over what is there now, into files: each batch's whole result replaces that of the one before."""
+    spark, path = counts.sparkSession, f"{checkpoint}/{name}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+def throttled(beats: DataFrame, seconds: int) -> DataFrame:
+    """(user_id, ts, payload) of the beats that are pushed: the first, and any whose payload changed or whose
+    interval passed since the last push. State is one row a user."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def push(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "payload"])
+        last, payload = state.get if state.exists else (None, None)
+        out = []
+        for at, value in zip(rows["ts"], rows["payload"]):
+            second = at.value // 10**9
+            if last is None or value != payload or second - last >= seconds:
+                out.append((key[0], at, value))
+                last, payload = second, value
+        state.update((last, payload))
+        yield pd.DataFrame(out, columns=["user_id", "ts", "payload"])
+
+    kept = beats.select("user_id", "ts", "payload")
+    return kept.groupBy("user_id").applyInPandasWithState(push, "user_id long, ts timestamp, payload string", "last long, payload string", "append", GroupStateTimeout.NoTimeout)
+
+
+def fresh_ids(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Events whose id was not seen within the watermark; older ids are forgotten, so that state is bounded by time."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def collected(stream: DataFrame, checkpoint: str, name: str) -> DataFrame:
+    """Run an appending stream over what is there now, into files."""
+    spark, path = stream.sparkSession, f"{checkpoint}/{name}"
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

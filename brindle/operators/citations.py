@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions import evidence as ev
 
@@ -17,7 +18,7 @@ SEVERITY = ["info", "warning", "error"]
 UNVERIFIED = ["no-identifier", "registry-unavailable"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -65,12 +65,12 @@ def frequencies(rows: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(n)).select("token", "df", F.log(F.col("rows") / F.col("df")).alias("idf"))
 
 
-def scores(mentions: DataFrame, rows: DataFrame, least_hits: int = 2, rarest: int = 3) -> DataFrame:
+def scores(mentions: DataFrame, rows: DataFrame, least_hits: int = 2, rare: int = 200) -> DataFrame:
     """(mention, row, ..., score, coverage) of rows that mentions (mention, text, auxiliary, context) meet.
 
-    Only postings of a mention's ``rarest`` tokens, by frequency, propose rows: a row that has none of them lacks most of
-    the weight. Proposed rows are then scored over all tokens: coverage is the tokens' weight that the label has, a stem
-    counting 0.85, a weak word 0.30; precision the label's share that is met.
+    Postings of tokens that ``rare`` labels or fewer have propose rows; a mention without such a token is proposed the
+    rows that have its two least common ones. Proposed rows are then scored over all tokens: coverage is the tokens'
+    weight that the label has, a stem counting 0.85, a weak word 0.30; precision the label's share that is met.
     """
     known = frequencies(rows)
     asked = mentions.withColumn("tokens", tokens(F.col("text")))
@@ -78,10 +78,15 @@ def scores(mentions: DataFrame, rows: DataFrame, least_hits: int = 2, rarest: in
     most = known.agg(F.coalesce(F.max("idf"), F.lit(0.0)).alias("top"))
     weight = F.when(F.col("token").isin(*WEAK_TOKENS), WEAK).otherwise(1.0) * F.coalesce("idf", "top")
     weighed = each.join(F.broadcast(most)).select("mention", "token", stem(F.col("token")).alias("stem"), "df", weight.alias("w"), (~F.col("token").isin(*WEAK_TOKENS)).alias("strong"))
-    place = F.row_number().over(Window.partitionBy("mention").orderBy(F.col("df").asc_nulls_last(), "token"))
-    probes = weighed.withColumn("k", place).where(F.col("k") <= rarest).select("mention", "stem").distinct()
+    few = F.col("stem_df") <= rare
     postings = rows.select("row", F.explode(F.array_distinct("stems")).alias("stem"))
-    proposed = probes.join(postings, "stem").select("mention", "row").distinct()
+    held = postings.groupBy("stem").agg(F.count(F.lit(1)).alias("stem_df"))
+    known_stems = weighed.select("mention", "stem").distinct().join(held, "stem")
+    place = F.row_number().over(Window.partitionBy("mention").orderBy("stem_df", "stem"))
+    probes = known_stems.withColumn("k", place).withColumn("any", F.max(few).over(Window.partitionBy("mention"))).where(few | (~F.col("any") & (F.col("k") <= 2)))
+    needed = probes.groupBy("mention").agg(F.when(F.bool_or("any"), 1).otherwise(F.count(F.lit(1))).alias("needed"))
+    met = probes.select("mention", "stem").join(postings, "stem").groupBy("mention", "row").agg(F.count(F.lit(1)).alias("got"))
+    proposed = met.join(needed, "mention").where("got >= needed").select("mention", "row")
     labels = rows.select("row", "name", "label", "table", "domain", "study", "release", F.col("tokens").alias("label_tokens"), F.col("stems").alias("label_stems"))
     query = weighed.groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("token", "stem", "w", "strong"))).alias("q"), F.sum("w").alias("total"), F.count_if("strong").alias("strong"))
     pairs = proposed.join(query, "mention").join(labels, "row").join(mentions.select("mention", tokens(F.col("auxiliary")).alias("aux"), tokens(F.col("context")).alias("ctx")), "mention")

@@ -107,15 +107,15 @@ SELECT p_partkey, 'RR', 'red ' || p_type || ' ring' FROM part WHERE p_size % 2 =
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "part").selectExpr("p_partkey AS row", "concat('v_', lower(p_type), '_', p_partkey % 30) AS name", "concat(p_name, ' ', lower(p_type), ' externalizing score ', CASE WHEN p_size % 2 = 0 THEN 'summary' ELSE 'rated' END) AS label", "concat('t', p_size % 6) AS table", "concat('d', p_size % 2) AS domain", "'study' AS study", "concat(p_partkey % 3, '.0') AS release")
+    rows = read(spark, sf, "part").selectExpr("p_partkey AS row", "concat('v_', lower(p_type), '_', p_partkey % 30) AS name", "concat(p_name, ' ', lower(p_type), ' externalizing score ', CASE WHEN p_size % 2 = 0 THEN 'summary' ELSE 'rated' END, ' code', cast(floor(p_partkey / 8) AS int)) AS label", "concat('t', p_size % 6) AS table", "concat('d', p_size % 2) AS domain", "'study' AS study", "concat(p_partkey % 3, '.0') AS release")
     return context.dictionary(rows)
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "customer").join(read(spark, sf, "part"), F.col("c_custkey") == F.col("p_partkey")).selectExpr("c_custkey AS mention", "concat(p_name, ' ', CASE WHEN c_custkey % 2 = 0 THEN lower(p_type) ELSE 'external' END, CASE WHEN c_custkey % 3 = 0 THEN ' scores' ELSE '' END) AS text", "CASE WHEN c_custkey % 4 = 0 THEN 'summary' ELSE '' END AS auxiliary", "CASE WHEN c_custkey % 5 = 0 THEN 'rated externally' ELSE '' END AS context")
+    return read(spark, sf, "customer").join(read(spark, sf, "part"), F.col("c_custkey") == F.col("p_partkey")).selectExpr("c_custkey AS mention", "concat(p_name, ' ', CASE WHEN c_custkey % 2 = 0 THEN lower(p_type) ELSE 'external' END, CASE WHEN c_custkey % 3 = 0 THEN ' scores' ELSE '' END, ' code', cast(floor(c_custkey / 8) AS int)) AS text", "CASE WHEN c_custkey % 4 = 0 THEN 'summary' ELSE '' END AS auxiliary", "CASE WHEN c_custkey % 5 = 0 THEN 'rated externally' ELSE '' END AS context")
 
 
-_CTX = """d AS (SELECT p_partkey AS row, 'v_' || lower(p_type) || '_' || p_partkey % 30 AS name, 't' || p_size % 6 AS "table", 'd' || p_size % 2 AS domain, p_partkey % 3 || '.0' AS release, list_distinct(string_split(p_name || ' ' || lower(p_type) || ' externalizing score ' || CASE WHEN p_size % 2 = 0 THEN 'summary' ELSE 'rated' END, ' ')) AS tokens FROM part),
+_CTX = """d AS (SELECT p_partkey AS row, 'v_' || lower(p_type) || '_' || p_partkey % 30 AS name, 't' || p_size % 6 AS "table", 'd' || p_size % 2 AS domain, p_partkey % 3 || '.0' AS release, list_distinct(string_split(p_name || ' ' || lower(p_type) || ' externalizing score ' || CASE WHEN p_size % 2 = 0 THEN 'summary' ELSE 'rated' END || ' code' || (p_partkey // 8), ' ')) AS tokens FROM part),
 i AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM d) / count(*)) AS idf FROM (SELECT row, unnest(tokens) AS token FROM d) GROUP BY 1), st AS (SELECT token, stem FROM (SELECT token FROM i UNION SELECT unnest(['external', 'scores', 'externally'])) LEFT JOIN LATERAL (SELECT CASE token WHEN 'externalizing' THEN 'external' WHEN 'externally' THEN 'extern' WHEN 'scores' THEN 'scor' WHEN 'summary' THEN 'summary' ELSE token END AS stem) ON true)"""
 
 

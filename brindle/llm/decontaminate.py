@@ -53,7 +53,7 @@ class Length(NamedTuple):
     words: int
     items: list[int]  # places in the list of items
     prints: np.ndarray
-    tables: np.ndarray  # whether the index of a block has the value, by block << 16 | value
+    tables: np.ndarray  # by block << 16 | value: the items there, a bit each if there are eight at most, else whether there are any
     keys: np.ndarray  # of all four indexes, block << 16 | value, in order
     owners: np.ndarray  # places in items, for each key
 
@@ -117,8 +117,9 @@ class Index:
         for top, items in sorted(groups.items()):
             prints = np.array([self._print(at) for at in items], np.uint64)
             keys = (prints.view(np.uint16).reshape(-1, 4)[:, :, None] ^ _NEAR).astype(np.int32) | (np.arange(4, dtype=np.int32) << 16)[:, None]
-            tables = np.zeros(4 << 16, bool)
-            tables[keys.ravel()] = True
+            tables = np.zeros(4 << 16, np.uint8)
+            for place, own in enumerate(keys.reshape(len(items), -1)):
+                tables[own] |= 1 << place if len(items) <= 8 else 1
             order = np.argsort(keys.ravel(), kind="stable")
             owners = np.repeat(np.arange(len(items), dtype=np.int32), 4 * len(_NEAR))[order]
             self.lengths.append(Length(top, items, prints, tables, keys.ravel()[order], owners))
@@ -150,17 +151,24 @@ class Index:
         # The four answers of a window are the four bytes of one number.
         hit = length.tables.take(places, mode="wrap")
         windows = np.flatnonzero(hit.view(np.uint32))
-        row, block = np.nonzero(hit.reshape(-1, 4)[windows])
-        key = places.reshape(-1, 4)[windows[row], block].astype(np.int32)
-        first = np.searchsorted(length.keys, key)
-        n = np.searchsorted(length.keys, key, "right") - first
-        at = np.repeat(windows[row], n)
-        item = length.owners[np.arange(len(at)) + np.repeat(first - np.cumsum(n) + n, n)]
-        near = np.flatnonzero(np.bitwise_count(prints[at] ^ length.prints[item]) <= RADIUS)
+        if len(length.items) <= 8:
+            found = np.bitwise_or.reduce(hit.reshape(-1, 4)[windows], axis=1)
+            row, item = np.nonzero(np.unpackbits(found[:, None], axis=1, bitorder="little"))
+            at = windows[row]
+        else:
+            row, block = np.nonzero(hit.reshape(-1, 4)[windows])
+            key = places.reshape(-1, 4)[windows[row], block].astype(np.int32)
+            first = np.searchsorted(length.keys, key)
+            n = np.searchsorted(length.keys, key, "right") - first
+            at = np.repeat(windows[row], n)
+            item = length.owners[np.arange(len(at)) + np.repeat(first - np.cumsum(n) + n, n)]
+        apart = np.bitwise_count(prints[at] ^ length.prints[item])
+        near = np.flatnonzero(apart <= RADIUS)
         if not near.size:
             return iter(())
-        at, item = np.divmod(np.unique(at[near] * len(length.items) + item[near]), len(length.items))
-        apart = np.bitwise_count(prints[at] ^ length.prints[item])
+        # An item met through several blocks counts once.
+        near = near[np.unique(at[near] * len(length.items) + item[near], return_index=True)[1]]
+        at, item, apart = at[near], item[near], apart[near]
         return zip(at.tolist(), [length.items[k] for k in item.tolist()], apart.tolist())
 
     def matches(self, slab: Slab) -> dict[int, dict[int, Match]]:

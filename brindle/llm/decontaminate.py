@@ -38,7 +38,7 @@ RADIUS = 11
 ITEM_BYTES = 16 << 20
 ITEMS = 20_000
 #: Windows whose bit counts are held at once.
-STEP = 1 << 13
+STEP = 1 << 15
 
 
 class Match(NamedTuple):

@@ -63,3 +63,30 @@ QUERIES = {
     "html_to_units": (html_to_units, None),
     "sentence_counts": (sentence_counts, SENTENCES),
 }
+
+
+def aligned_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of benchmark items in documents that share a run of their words: exact, corrected or fuzzy.
+
+    The pairs are those that quote_location_whole finds; no SQL: the alignment is a matcher's, and a test has its cases.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from brindle.functions import quotes
+    from brindle.plans.corpus import quote_location_whole
+
+    pairs = quote_location_whole(spark, sf).select("doc_id", "item_id").distinct()
+    both = pairs.join(read(spark, sf, "documents", "doc_id", "text"), "doc_id").join(read(spark, sf, "benchmark", "item_id", F.col("text").alias("quote")), "item_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [quotes.aligned(q, t) for q, t in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
+            status, similarity, start, stop = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(similarity, pa.float64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item_id", "status", "similarity", "start", "stop"])
+
+    return both.select("doc_id", "item_id", "text", "quote").mapInArrow(run, "doc_id long, item_id long, status string, similarity double, start long, stop long")
+
+
+QUERIES["aligned_evidence"] = (aligned_evidence, None)

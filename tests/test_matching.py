@@ -137,3 +137,15 @@ def test_similarity_of_titles(spark):
     pairs = [("Same Title", "same  title!"), ("A title of thirty characters or so", "A title of thirty characters or so: more"), ("abcd", "abce"), ("", "x"), (None, None)]
     got = [r.s for r in spark.createDataFrame(pairs, "a string, b string").select(citations.similarity(F.col("a"), F.col("b")).alias("s")).collect()]
     assert got[:2] == [1.0, 0.95] and abs(got[2] - 0.75) < 1e-9 and got[3:] == [0.0, 0.0]
+
+
+def test_aligned_quotes():
+    from brindle.functions.quotes import aligned
+
+    text = "Intro.  The quick brown fox jumps over the lazy dog near the river bank today. The quick brown fox."
+    quote = "the quick brown fox jumps over the lazy dog near the river bank today"
+    assert aligned("The quick brown fox", text, 8, 27) == ("exact", 1.0, 8, 27)
+    assert aligned("THE quick\nbrown fox", text, 70, 80) == ("exact_offset_corrected", 1.0, 79, 98)
+    assert aligned(quote.replace("lazy", "lazi"), text)[0] == "fuzzy" and text[slice(*aligned(quote.replace("lazy", "lazi"), text)[2:])].lower() == quote
+    assert aligned("something else that is nowhere in the whole text", text)[0] == "not_found"
+    assert aligned("", text)[:2] == ("not_found", 0.0) and aligned("x", None)[0] == "not_found"

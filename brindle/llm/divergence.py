@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: 1 + floor(10**9 (count + 2) / (total + 2 terms)) in decimals, exact; null where a language has no terms.
 _SHARE = "CASE WHEN terms > 0 THEN 1 + (CAST({n} + 2 AS DECIMAL(20,0)) * 1000000000) DIV CAST({total} + 2 * terms AS DECIMAL(20,0)) END"
 #: A term's part of the divergence of two shares, each of them below 2**31.
-_APART = "(({p} - {q}) * ({p} - {q})) DIV ({p} + {q})"
+_PART = "(({p} - {q}) * ({p} - {q})) DIV ({p} + {q})"
 
 
 def kept_counts(docs: DataFrame, least_docs: int, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -117,26 +117,33 @@ def _sizes(kept: DataFrame) -> DataFrame:
 def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Partial divergences of the pairs of one cell: (low block, high block, block of terms) of a language."""
     lang, low, high, _ = key
-    heads = rows[rows["term"].isna()]
-    names = [(block, e["source"]) for block, entries in zip(heads["block"], heads["entries"], strict=True) for e in entries]
-    zeros = np.array([e["p"] or 0 for entries in heads["entries"] for e in entries], np.int64)
-    at = {name: k for k, (_, name) in enumerate(names)}
-    side = np.array([block for block, _ in names])
-    body = rows[rows["term"].notna()]
+    heads, body = rows[rows["term"].isna()], rows[rows["term"].notna()]
+    names = [name for who in heads["who"] for name in who]
+    side = np.repeat(heads["block"].to_numpy(), heads["who"].map(len))
+    zeros = np.concatenate(list(heads["p"]))
+    at = {name: k for k, name in enumerate(names)}
     codes, terms = pd.factorize(body["term"])
     share = np.repeat(zeros[:, None], len(terms), axis=1)
-    for code, entries in zip(codes, body["entries"], strict=True):
-        for e in entries:
-            share[at[e["source"]], code] = e["p"]
+    if len(terms):
+        share[[at[name] for who in body["who"] for name in who], np.repeat(codes, body["who"].map(len))] = np.concatenate(list(body["p"]))
     out = []
     for a in np.flatnonzero(side == low):
         others = np.arange(a + 1, len(names)) if low == high else np.flatnonzero(side == high)
         gap, both = share[a] - share[others], share[a] + share[others]
         part = (gap * gap // np.maximum(both, 1)).sum(axis=1)
-        out += [(lang, names[a][1], names[b][1], int(v), len(terms), int(zeros[a]), int(zeros[b])) for b, v in zip(others, part, strict=True)]
+        out += [(lang, names[a], names[b], int(v), len(terms), int(zeros[a]), int(zeros[b])) for b, v in zip(others, part, strict=True)]
     return pd.DataFrame(out, columns=["lang", "source", "item", "part", "seen", "p", "q"])
 
 
+def _listed(share: str) -> Column:
+    """The sources of a block with their shares; 0 stands for the share of a language without terms."""
+    return F.collect_list(F.struct("source", F.coalesce(share, F.lit(0)).alias("p"))).alias("entries")
+
+
+def _apart(slices: DataFrame) -> DataFrame:
+    return slices.withColumns({"who": F.col("entries.source"), "p": F.col("entries.p")}).drop("entries")
+
+
 def pairs(kept: DataFrame) -> DataFrame:
     """(lang, source, item, value): the divergence of each ordered pair of sources of a language."""
     sizes = _sizes(kept)
@@ -145,18 +152,18 @@ def pairs(kept: DataFrame) -> DataFrame:
     dealt = sizes.groupBy("lang").agg(F.ceil(F.count("source") / SOURCE_BLOCK).alias("blocks"))
     sizes = sizes.join(dealt, "lang").withColumn("block", F.expr("pmod(xxhash64(source), blocks)"))
     shares = kept.where("term is not null").join(sizes, ["lang", "source"]).withColumn("p", F.expr(_SHARE.format(n="n", total="total")))
-    slices = shares.groupBy("lang", "blocks", "block", "term").agg(F.collect_list(F.struct("source", "p")).alias("entries"))
-    slices = slices.withColumn("at", F.expr(f"pmod(xxhash64(term), {term_blocks}L)"))
-    heads = sizes.groupBy("lang", "blocks", "block").agg(F.collect_list(F.struct("source", F.col("zero").alias("p"))).alias("entries"))
-    heads = heads.withColumns({"term": F.lit(None).cast("string"), "at": F.explode(F.sequence(F.lit(0), F.lit(term_blocks - 1)).cast("array<bigint>"))})
+    slices = shares.groupBy("lang", "blocks", "block", "term").agg(_listed("p"))
+    slices = _apart(slices).withColumn("at", F.expr(f"pmod(xxhash64(term), {term_blocks}L)"))
+    heads = sizes.groupBy("lang", "blocks", "block").agg(_listed("zero"))
+    heads = _apart(heads).withColumns({"term": F.lit(None).cast("string"), "at": F.explode(F.sequence(F.lit(0), F.lit(term_blocks - 1)).cast("array<bigint>"))})
     sides = slices.unionByName(heads).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     sides = sides.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    sides = sides.select("lang", "low", "high", "at", "block", "term", "entries")
+    sides = sides.select("lang", "low", "high", "at", "block", "term", "who", "p")
     cells = sides.groupBy("lang", "low", "high", "at").applyInPandas(_cell, "lang string, source string, item string, part long, seen long, p long, q long")
     # Along the axis of terms; what no cell has seen of a pair has both shares at their least.
     added = cells.groupBy("lang", "source", "item").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"), F.max("p").alias("p"), F.max("q").alias("q"))
     langs = sizes.select("lang", "terms").distinct()
-    rest = F.expr(f"CASE WHEN terms > 0 THEN part + (terms - seen) * ({_APART.format(p='p', q='q')}) ELSE 0L END")
+    rest = F.expr(f"CASE WHEN terms > 0 THEN part + (terms - seen) * ({_PART.format(p='p', q='q')}) ELSE 0L END")
     found = added.join(langs, "lang").withColumn("value", rest)
     return found.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("pair"), "value").select("lang", "pair.*", "value")
 
@@ -165,7 +172,7 @@ def marked_terms(kept: DataFrame) -> DataFrame:
     """(lang, source, item, value): what each term that a source has more of than its language adds to their divergence."""
     shares = kept.where("term is not null and n > 0").join(_sizes(kept), ["lang", "source"])
     shares = shares.withColumns({"p": F.expr(_SHARE.format(n="n", total="total")), "q": F.expr(_SHARE.format(n="lang_n", total="lang_total"))})
-    return shares.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_APART.format(p="p", q="q")).alias("value"))
+    return shares.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_PART.format(p="p", q="q")).alias("value"))
 
 
 def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.functions import evidence as ev
+from brindle.operators.graph import components
+from brindle.operators.similar import alike, ratio, stars
+from brindle.sources.shared import written
 
 # Title thresholds; how bad findings are; codes of what could not be checked.
 MATCH, PARTIAL, DUPLICATE = 0.90, 0.70, 0.90
@@ -18,17 +18,11 @@ SEVERITY = ["info", "warning", "error"]
 UNVERIFIED = ["no-identifier", "registry-unavailable"]
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
 def similarity(a: Column, b: Column) -> Column:
     """of two titles: 1 if equal, .95 if one of 30 characters begins the other, else the share of matching blocks."""
     x, y = ev.plain_title(a), ev.plain_title(b)
     short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when((F.length(short) >= 30) & long.startswith(short), 0.95).otherwise(_ratio(short, long))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when((F.length(short) >= 30) & long.startswith(short), 0.95).otherwise(ratio(short, long))
 
 
 def matched(citations: DataFrame, studies: DataFrame, screened: DataFrame) -> DataFrame:
@@ -56,31 +50,64 @@ def one_work(rows: DataFrame) -> DataFrame:
     return found.select("doi", F.array_join("s", ",").alias("studies"))
 
 
+def _identities(rows: DataFrame) -> DataFrame:
+    """Entries (id, file, content, doi, pmid, title) by what makes them one study; null where it is not told."""
+    told = lambda c: F.nullif(c, F.lit(""))
+    plain = rows.select("id", told(F.col("file")).alias("file"), told(F.col("content")).alias("content"), told(ev.clean_doi(F.col("doi"))).alias("doi"), F.when(F.col("pmid").rlike(r"^\d+$"), F.col("pmid")).alias("pmid"), ev.plain_title(F.col("title")).alias("title"))
+    return plain.withColumn("long", F.when(F.length("title") >= 20, F.col("title")))
+
+
+def _percent(ratio: Column) -> Column:
+    return F.concat(F.lit("title "), F.round(ratio * 100).cast("int").cast("string"), F.lit("% similar"))
+
+
+def duplicate_links(rows: DataFrame) -> DataFrame:
+    """(a, b, basis): links between entries that look like one study, as many as there are entries, not pairs of them.
+
+    Entries equal in file, content, DOI, number or title are linked to the first of their class; different titles that are
+    at least 0.9 alike are linked once, by the first entry of each. The links' components are the studies.
+    """
+    plain = _identities(rows)
+    links = [stars(plain, F.col(column), basis) for column, basis in (("file", "identical file"), ("content", "identical text"), ("doi", "same DOI"), ("pmid", "same PMID"), ("long", "same title"))]
+    first = plain.where("long is not null").groupBy("long").agg(F.min("id").alias("id"))
+    near = alike(first.select(F.col("long").alias("t")), DUPLICATE)
+    near = near.join(first.select(F.col("long").alias("x"), F.col("id").alias("i")), "x").join(first.select(F.col("long").alias("y"), F.col("id").alias("j")), "y")
+    ahead = F.when(F.col("i") < F.col("j"), F.col("forward")).otherwise(F.col("backward"))
+    links.append(near.withColumn("r", ahead).where(F.col("r") >= DUPLICATE).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), _percent(F.col("r")).alias("basis")))
+    return reduce(DataFrame.unionByName, links)
+
+
+def duplicate_studies(rows: DataFrame) -> DataFrame:
+    """(id, study, links): every entry with the first entry of its study and the number of its own links."""
+    links = written(duplicate_links(rows), "links")
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    found = components(links.select(F.col("a").alias("s"), F.col("b").alias("o"))).select(F.col("v").alias("id"), F.col("component").alias("study"))
+    every = rows.select("id").join(found, "id", "left").join(ends, "id", "left")
+    return every.select("id", F.coalesce("study", "id").alias("study"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def duplicate_basis(rows: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """(a, b, basis) of entries (id, file, content, doi, pmid, title) that look like one study.
 
-    Same file, else same content, then same DOI, same number, same title of 20 characters, or titles at least 0.9 alike
-    among those that share a rare word; bases are joined by commas. Pairs that ``distinct`` lists are resolved.
+    Same file, else same content, then same DOI, same number, same title of 20 characters, or titles at least 0.9 alike;
+    bases are joined by commas. Pairs that ``distinct`` lists are resolved. All pairs of equal entries are put out:
+    duplicate_links has a row an entry instead.
     """
-    plain = rows.select("id", F.nullif("file", F.lit("")).alias("file"), F.nullif("content", F.lit("")).alias("content"), F.nullif(ev.clean_doi(F.col("doi")), F.lit("")).alias("doi"), F.when(F.col("pmid").rlike(r"^\d+$"), F.col("pmid")).alias("pmid"), ev.plain_title(F.col("title")).alias("title"))
-    plain = plain.withColumn("long", F.when(F.length("title") >= 20, F.col("title")))
+    plain = _identities(rows)
 
     def equal(column: str, basis: str, place: int) -> DataFrame:
         side = plain.where(F.col(column).isNotNull()).select("id", column)
         return side.withColumnRenamed("id", "a").join(side.withColumnRenamed("id", "b"), column).where("a < b").select("a", "b", F.lit(place).alias("place"), F.lit(basis).alias("basis"))
 
-    # Titles of 0.9 share most of their words, so any pair shares one of each title's rarest three.
-    words = plain.where("long is not null").select("id", F.explode(F.array_distinct(F.split("long", " "))).alias("word"))
-    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(df, "word").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), 1, 3).alias("rare"))
-    keys = ranked.select("id", F.explode("rare").alias("r")).select("id", "r.word").where("word is not null")
-    near = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "word").where("a < b").select("a", "b").distinct()
-    titled = near.join(plain.select(F.col("id").alias("a"), F.col("long").alias("x")), "a").join(plain.select(F.col("id").alias("b"), F.col("long").alias("y")), "b").where("x != y")
-    alike = titled.select("a", "b", _ratio("x", "y").alias("r")).where(F.col("r") >= DUPLICATE).select("a", "b", F.lit(4).alias("place"), F.concat(F.lit("title "), F.round(F.col("r") * 100).cast("int").cast("string"), F.lit("% similar")).alias("basis"))
+    titles = plain.where("long is not null")
+    pairs = alike(titles.select(F.col("long").alias("t")), DUPLICATE)
+    both = pairs.select("x", "y", F.col("forward").alias("r")).unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("backward").alias("r"))).where(F.col("r") >= DUPLICATE)
+    titled = both.join(titles.select(F.col("id").alias("a"), F.col("long").alias("x")), "x").join(titles.select(F.col("id").alias("b"), F.col("long").alias("y")), "y").where("a < b")
+    near = titled.select("a", "b", F.lit(4).alias("place"), _percent(F.col("r")).alias("basis"))
     files = equal("file", "identical file", 0)
     contents = equal("content", "identical text", 1).join(files.select("a", "b"), ["a", "b"], "left_anti")
     every = files
-    for part in (contents, equal("doi", "same DOI", 2), equal("pmid", "same PMID", 3), equal("long", "same title", 4), alike):
+    for part in (contents, equal("doi", "same DOI", 2), equal("pmid", "same PMID", 3), equal("long", "same title", 4), near):
         every = every.unionByName(part)
     found = every.groupBy("a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "basis"))), lambda x: x["basis"]), ", ").alias("basis"))
     if distinct is None:

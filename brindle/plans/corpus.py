@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from brindle.functions import quotes
 from brindle.functions import text as tx
 from brindle.operators import entities
+from brindle.operators.similar import overlapping
+from brindle.sources.shared import spread
 from brindle.sources.tables import read
 
 
@@ -104,22 +106,18 @@ SELECT CASE WHEN k <= 5 THEN source ELSE 'Other' END AS source, sum(n)::BIGINT A
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different texts whose sampled five-word shingles overlap by half or more of the smaller set.
 
-    Equal texts are one entry, named by its smallest id: hashes of texts are grouped, not the texts. A pair is met in the
-    postings of every shingle that both have, by the smaller id first.
+    Equal texts are one entry, named by its smallest id, as near_duplicate_members tells: hashes of texts are grouped, not
+    the texts.
     """
-    every = read(spark, sf, "documents", "doc_id", "text").where("text is not null")
+    every = spread(read(spark, sf, "documents", "doc_id", "text").where("text is not null"), "doc_id")
     first = every.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    docs = every.join(first, "doc_id", "left_semi")
-    words = docs.select("doc_id", tx.tokens(F.col("text")).alias("w"))
-    five = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda k: F.conv(F.substring(F.md5(F.array_join(F.slice("w", k, F.lit(5)), " ")), 1, 8), 16, 10).cast("long"))
-    hashed = words.select("doc_id", F.when(F.size("w") >= 5, five).otherwise(F.array().cast("array<bigint>")).alias("s"))
-    sets = hashed.select("doc_id", F.array_distinct(F.filter("s", lambda h: h % 8 == 0)).alias("s"))
-    # The outer form keeps the optimizer from pushing a filter on s, and with it all of s, below the projections.
-    postings = sets.select("doc_id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
-    other = postings.select(F.col("doc_id").alias("other_id"), F.col("n").alias("m"), "h")
-    shared = postings.join(other, "h").where("doc_id < other_id").groupBy("doc_id", "other_id").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "m")).alias("smaller"))
-    overlap = F.round(F.col("shared") / F.col("smaller"), 4)
-    return shared.where(F.col("shared") * 2 >= F.col("smaller")).select("doc_id", "other_id", "shared", overlap.alias("overlap"))
+    words = every.join(first, "doc_id", "left_semi").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    five = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda k: F.array_join(F.slice("w", k, F.lit(5)), " "))
+    # The sample of one in eight is by the last of the digits that make the number.
+    hashed = words.where(F.size("w") >= 5).select("doc_id", F.explode(five).alias("s")).select("doc_id", F.substring(F.md5("s"), 1, 8).alias("x")).where(F.substring("x", 8, 1).isin("0", "8"))
+    sets = hashed.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.conv("x", 16, 10).cast("long")).alias("s"))
+    found = overlapping(sets, 0.5)
+    return found.select(F.least("a", "b").alias("doc_id"), F.greatest("a", "b").alias("other_id"), F.col("shared").cast("long"), F.round(F.col("shared") / F.col("smaller"), 4).alias("overlap"))
 
 
 NEAR = """

@@ -193,16 +193,25 @@ def one_work(spark: SparkSession, sf: str) -> DataFrame:
 WORKS = "SELECT doi, string_agg(study::VARCHAR, ',' ORDER BY study) AS studies FROM (SELECT DISTINCT c_custkey AS study, '10.5555/' || c_custkey % 120 AS doi FROM customer UNION SELECT c_custkey, '10.5555/' || c_custkey % 90 FROM customer WHERE c_custkey % 4 = 0) GROUP BY 1 HAVING count(*) > 1"
 
 
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN concat('f', cast(floor(c_custkey / 6) AS int)) END AS file", "concat('t', cast(floor(c_custkey / 4) AS int)) AS content", "CASE WHEN c_custkey % 5 = 0 THEN concat('10.5555/', c_custkey % 50) END AS doi", "cast(c_custkey AS string) AS pmid", "CASE WHEN c_custkey % 10 = 0 THEN concat('A study of the very same thing <i>', c_custkey % 60, '</i>') ELSE 'short' END AS title")
+
+
 def duplicate_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries that look like one study, on what basis, but for those known to be distinct."""
-    rows = read(spark, sf, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN concat('f', cast(floor(c_custkey / 6) AS int)) END AS file", "concat('t', cast(floor(c_custkey / 4) AS int)) AS content", "CASE WHEN c_custkey % 5 = 0 THEN concat('10.5555/', c_custkey % 50) END AS doi", "cast(c_custkey AS string) AS pmid", "CASE WHEN c_custkey % 10 = 0 THEN concat('A study of the very same thing <i>', c_custkey % 60, '</i>') ELSE 'short' END AS title")
     distinct = read(spark, sf, "customer").where("c_custkey % 8 = 1").selectExpr("c_custkey AS b", "c_custkey - 1 AS a")
-    return citations.duplicate_basis(rows, distinct)
+    return citations.duplicate_basis(_entries(spark, sf), distinct)
 
 
 DUPLICATES = None
 
 
+def duplicate_studies(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as entries, by content and by titles as they are spelt: the study of each and how many links it has."""
+    rows = read(spark, sf, "pages", "page_id", "html").select(F.col("page_id").alias("id"), F.lit(None).cast("string").alias("file"), F.sha2("html", 256).alias("content"), F.lit("").alias("doi"), F.lit("").alias("pmid"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    return citations.duplicate_studies(rows)
+
+
 def registry_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of references against a registry's record."""
     return _registry(spark, sf)[1]
@@ -294,6 +303,7 @@ QUERIES = {
     "citation_matches": (citation_matches, MATCHES),
     "one_work": (one_work, WORKS),
     "duplicate_entries": (duplicate_entries, DUPLICATES),
+    "duplicate_studies": (duplicate_studies, None),
     "registry_checks": (registry_checks, REGISTRY),
     "registry_verdict": (registry_verdict, VERDICT),
     "citation_numbers": (citation_numbers, NUMBERS),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written below the shared folder and read again: made once, and read again if an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/brindle/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` where its scan has fewer partitions than there are cores; else as it is, unshuffled."""
+    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)

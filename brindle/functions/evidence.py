@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signs that mean minus; units, their other spellings; words whose number is a label; values of absence.
-MINUS = "[−‒–—‐‑﹣－]"
+from brindle.functions.uniform import canon, canon_each, normal, normal_each
+
+# Units, their other spellings; words whose number is a label; values of absence.
 UNITS = "%|‰|mg/kg|mg/dl|mmol/l|µg|μg|ug|ng|mg|kg|g|ml|µl|μl|dl|l|mmol|µmol|μmol|nmol|mol|nm|µm|μm|mm|cm|km|m|ms|msec|sec|s|min|mins|minutes?|h|hr|hrs|hours?|days?|weeks?|months?|years?|yrs?|hz|khz|mhz|db|°c|bpm|mmhg|kcal|cal|fold|x|points?|pts?|kb|mb|gb|tb"
 ALIASES = {"msec": "ms", "sec": "s", "mins": "min", "minute": "min", "minutes": "min", "hr": "h", "hrs": "h", "hour": "h", "hours": "h", "day": "days", "week": "weeks", "month": "months", "year": "years", "yr": "years", "yrs": "years", "point": "points", "pt": "points", "pts": "points", "ug": "µg", "x": "fold"}
 LABELS = "section|sections|table|tables|figure|figures|fig|appendix|item|items|rq|ec|ic|step|phase|version|v|pmid|pmids|level|question|q|domain|criterion|criteria|wave|arm|chapter|page|pages|ref|refs"
@@ -14,32 +17,16 @@ ABSENT = ["", "nr", "n/r", "na", "n/a", "not reported", "not stated", "none repo
 UNGROUNDED = "NR (not source-grounded)"
 _LINK = r"(?i)https?://\S+|\b10\.\d{4,9}/\S+"
 _QUANTITY = rf"(?i)[<>≤≥±]?\s*(?<![\w.,])(?<![A-Za-z_]-)(?<!(?:{LABELS})\s{{0,3}}[.:#]?\s{{0,3}})[+-]?\d+(?:\.\d+)?(?!\d)(?:\s?(?:{UNITS})(?!\w))?"
-_TOKEN = r"date\d{8}|[<>≤≥±]|(?<![\w.])[+-]?\d+(?:\.\d+)?%?|[a-z]+"
-
-
-def canon(text: Column) -> Column:
-    """signs, comparators, dates, thousands, ranges and percent signs in one form; words broken at lines joined."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\w)-\s*\n\s*(\w)", "$1$2")
-    s = F.regexp_replace(s, MINUS, "-")
-    for a, b in (("<=", "≤"), (">=", "≥"), ("+/-", "±"), ("+-", "±")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    # A date is one token: its parts are marked, filled up to two digits, and joined.
-    s = F.regexp_replace(s, r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b", " DATE$1~$2~$3 ")
-    s = F.regexp_replace(F.regexp_replace(s, r"~(\d)(?=[~ ])", "~0$1"), r"(DATE\d{4})~(\d{2})~(\d{2})", "$1$2$3")
-    for _ in range(2):
-        s = F.regexp_replace(s, r"(?<=\d),(?=\d{3}\b)", "")
-    return F.regexp_replace(F.regexp_replace(s, r"(?<=\d)\s*-\s*(?=\d)", " to "), r"(?<=\d)\s+%", "%")
-
-
-def normal(text: Column) -> Column:
-    """the uniform form's words, numbers, comparators and dates, in lower case, joined by spaces."""
-    s = F.regexp_replace(F.lower(canon(text)), "[‘’“”'\"`´]", "")
-    return F.array_join(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0)), " ")
 
 
 def quantities(text: Column, keep_years: bool = False) -> Column:
     """F16: (op, sign, value, decimals, pct, unit) of a text's quantities; labels, parts of names, links and bare years aren't."""
-    found = F.regexp_extract_all(F.regexp_replace(canon(text), _LINK, " "), F.lit(_QUANTITY), F.lit(0))
+    return _quantities(canon(text), keep_years)
+
+
+def _quantities(spelt: Column, keep_years: bool = False) -> Column:
+    """The quantities of a text in the uniform spelling."""
+    found = F.regexp_extract_all(F.regexp_replace(spelt, _LINK, " "), F.lit(_QUANTITY), F.lit(0))
     number = lambda m: F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1)
     raw = lambda m: F.replace(F.lower(F.regexp_extract(m, r"\d+(?:\.\d+)?\s?(.*)$", 1)), F.lit("μ"), F.lit("µ"))
     alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
@@ -66,10 +53,14 @@ def shown(q: Column) -> Column:
     return F.concat(q["op"], q["sign"], exact, F.when(q["pct"], "%").when(q["unit"] != "", F.concat(F.lit(" "), q["unit"])).otherwise(""))
 
 
+def _let(body: Callable[[Column], Column], **named: Column) -> Column:
+    """``body`` of columns that are made once, before it: expressions of Python can't stand inside another's lambda."""
+    return F.transform(F.array(F.struct(*[c.alias(name) for name, c in named.items()])), body)[0]
+
+
 def missing(value: Column, quote: Column) -> Column:
     """quantities of a value that a quote doesn't hold."""
-    held = quantities(quote, keep_years=True)
-    return F.filter(quantities(value), lambda q: ~F.exists(held, lambda x: same(q, x)))
+    return _let(lambda r: F.filter(r["told"], lambda q: ~F.exists(r["held"], lambda x: same(q, x))), told=quantities(value), held=quantities(quote, keep_years=True))
 
 
 def shares(text: Column) -> Column:
@@ -84,8 +75,8 @@ def shares(text: Column) -> Column:
 
 def unpaired(text: Column, quotes: Column) -> Column:
     """shares of a text whose two numbers no single quote holds."""
-    has = lambda quote, n: F.exists(quantities(quote, keep_years=True), lambda q: ~q["pct"] & (F.floor(q["value"]) == n))
-    return F.filter(shares(text), lambda p: ~F.exists(quotes, lambda x: has(x, p["n"]) & has(x, p["d"])))
+    has = lambda quote, n: F.exists(_quantities(quote, keep_years=True), lambda q: ~q["pct"] & (F.floor(q["value"]) == n))
+    return _let(lambda r: F.filter(r["told"], lambda p: ~F.exists(r["held"], lambda x: has(x, p["n"]) & has(x, p["d"]))), told=shares(text), held=canon_each(quotes))
 
 
 _HEADING = r"(?im)^\s*(?:#+\s*)?(?:[0-9IVX]+(?:\.\d+)*\.?\s+)?(abstract|summary|introduction|background|(?:materials and |patients and |subjects and )?methods?|methodology|experimental(?: section| procedures)?|results(?: and discussion)?|findings|discussion|conclusions?|concluding remarks|limitations|references|acknowledg\w*|supplementary\b.*)\s*[:.]?\s*$"
@@ -111,18 +102,27 @@ def sections(text: Column) -> Column:
     return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("names"), b.alias("body")))
 
 
+def _within(words: Column, text: Column) -> Column:
+    """Whether tokens joined by spaces stand in a row in others."""
+    return (words != "") & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), words, F.lit(" ")))
+
+
 def holds(text: Column, quote: Column) -> Column:
     """Whether a text holds a quote's words and numbers in a row, in the uniform form."""
-    q = normal(quote)
-    return (q != "") & F.concat(F.lit(" "), normal(text), F.lit(" ")).contains(F.concat(F.lit(" "), q, F.lit(" ")))
+    return _within(normal(quote), normal(text))
 
 
 def section_check(claimed: Column, quote: Column, text: Column) -> Column:
-    """whether a quote is in the section claimed: ok, mismatch, unverifiable without such a section, skip without a claim."""
-    wanted, parts = section_names(claimed), sections(text)
-    of = lambda p: F.arrays_overlap(p["names"], wanted)
-    found = F.exists(parts, lambda p: holds(p["body"], quote))
-    return F.when(F.size(wanted) == 0, "skip").when(F.exists(parts, lambda p: of(p) & holds(p["body"], quote)), "ok").when(~F.exists(parts, of), "unverifiable").when(found, "mismatch").otherwise("unverifiable")
+    """whether a quote is in the section claimed: ok, mismatch, unverifiable without such a section, skip without a claim.
+
+    A section holds a quote if it has the quote's words and numbers in a row, in the uniform form.
+    """
+    wanted, parts, q = section_names(claimed), sections(text), normal(quote)
+    bodies = normal_each(F.transform(parts, lambda p: p["body"]))
+    rows = F.arrays_zip(parts.alias("p"), bodies.alias("b"), F.array_repeat(q, F.size(parts)).alias("q"))
+    held = F.transform(rows, lambda x: F.struct(F.arrays_overlap(x["p"]["names"], wanted).alias("of"), _within(x["q"], x["b"]).alias("holds")))
+    any_of = lambda test: F.exists(held, test)
+    return F.when(F.size(wanted) == 0, "skip").when(any_of(lambda p: p["of"] & p["holds"]), "ok").when(~any_of(lambda p: p["of"]), "unverifiable").when(any_of(lambda p: p["holds"]), "mismatch").otherwise("unverifiable")
 
 
 def is_absent(value: Column) -> Column:

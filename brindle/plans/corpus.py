@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import quotes
 from brindle.functions import text as tx
 from brindle.operators import entities
+from brindle.operators.quotations import located
 from brindle.operators.similar import overlapping
 from brindle.sources.shared import spread
 from brindle.sources.tables import read
@@ -200,33 +197,8 @@ FROM d JOIN b ON contains(d.norm, b.norm) WHERE len(string_split(trim(b.norm), '
 
 
 def quote_location_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """benchmark texts in documents: verbatim, in normal form, or by half or more of their six-token runs.
-
-    Candidates share any run with the quote. Quotes of fewer than eight tokens, in which token boundaries can hide every
-    run, are sought in all documents.
-    """
-    docs = read(spark, sf, "documents", "doc_id", "text")
-    items = read(spark, sf, "benchmark", "item_id", F.col("text").alias("quote"))
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            split = [quotes.tokens(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array([sorted(quotes.runs(w)) for w in split], pa.list_(pa.string()))], names=["id", "n", "g"])
-
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [quotes.locate(q, t) for t, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m for m, _ in found], pa.string()), pa.array([c for _, c in found], pa.float64())], names=["doc_id", "item_id", "match", "coverage"])
-
-    schema = "id long, n long, g array<string>"
-    wanted = items.select(F.col("item_id").cast("long"), "quote").mapInArrow(grams, schema)
-    held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(grams, schema).select(F.col("id").alias("doc_id"), F.explode("g").alias("g"))
-    long = wanted.where("n >= 8").select(F.col("id").alias("item_id"), F.explode("g").alias("g"))
-    pairs = held.join(long, "g").select("doc_id", "item_id").distinct()
-    texts = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "quote")
-    short = items.join(wanted.where("n < 8").select(F.col("id").alias("item_id")), "item_id", "left_semi")
-    texts = texts.unionByName(docs.crossJoin(F.broadcast(short)).select("doc_id", "item_id", "text", "quote"))
-    return texts.mapInArrow(located, "doc_id long, item_id long, match string, coverage double").where("match != 'absent'")
+    """benchmark texts in documents: verbatim, in normal form, or by half or more of their six-token runs."""
+    return located(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "benchmark", "item_id", F.col("text").alias("quote")))
 
 
 def quantities_and_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 A classifier, multinomial naive Bayes over hashed words, learns the domains of labelled documents and predicts for every
 document a posterior over domains. Document rates then solve a least-squares problem: with n_d words and posterior p_d,
-the rates r_d >= 0 should make the expected words of every domain, sum of r_d n_d p_dk, meet its target, errors weighed
-by the words the domain has. Of the rates that do, those nearest to one are taken, in the metric that weighs a document
-by its words: a rate is then one less the inner product of p_d with one number a domain, or the least rate. These
-numbers are found by Newton steps until they settle, each one aggregation of a table, made once, of the words of
-documents by rounded posterior; no rates are stored. A solver that doesn't settle fails, and targets that can't be met
-are reported by a warning.
+the rates r_d >= 0 should make the expected words of every domain, sum of r_d n_d p_dk, meet its target. It is solved by
+distributed projected gradient: a step moves every rate against the gradient of the squared error, in the metric that
+weighs a document by its words and scales errors by the domains' Gram matrix, and projects it on [least, most]. Moves
+add up before they are projected, so a rate is one less the inner product of p_d with one number a domain, projected,
+and no rates are stored; of the rates that meet the targets the steps come to those nearest to one. Steps have momentum,
+which starts anew where it leads uphill, and end where errors settle. A step is one aggregation that brings k + 1 numbers
+to the driver: first of the words of documents by rounded posterior, then, from there, of all documents' posteriors as
+they are. What can't be met ends by itself, and by how much the worst domain misses is part of the result.
 
 The budget is, unless given, the smallest number of words at which no domain has to be thinned, so that targets are met
 by repeating what there is too little of. With soft posteriors no rates of one or more meet it: repeating any document
-adds to every domain. So where there is a least rate and no budget, shares of the words are met, whatever their sum. Rates become whole numbers of copies by rounding at random, by a hash of the
-id, so that the expected number is the rate.
+adds to every domain. So where there is a least rate and no budget, shares of the words are met, whatever their sum.
+Rates become whole numbers of copies by rounding at random, by a hash of the id, so that the expected number is the rate.
 
 Defined cases: null and empty texts have no words and the prior as posterior, and stay with one copy; labels that are
 null don't count; domains without labelled documents have the posterior 0 and their target weight is shared by the
@@ -36,16 +38,20 @@ from brindle.llm.storage import cut
 from brindle.llm.words import raw_texts, slabs
 
 BITS = 16
-#: Rounds of the solver, an aggregation each, after which it fails.
-MOST_STEPS = 400
+#: Steps of the solver at most, on rounded and on full posteriors.
+MOST_STEPS, MOST_FULL_STEPS = 300, 30
+#: Steps without progress after which targets count as out of reach.
+PATIENCE = 40
 #: Share of all words by which a domain may miss its target.
 TOLERANCE = 1e-4
-#: Share of all words within which a root counts as found.
-SETTLED = 1e-6
-#: Weights of the change of rates against the errors, tried in order until the targets are met.
-EASES = (1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6, 1e-7)
-#: Documents whose posteriors round to the same multiples of this share a rate.
+#: Share of all words within which the solver's errors count as none.
+SETTLED, SETTLED_FULL = 3e-5, 5e-5
+#: Where shares are met by repeating alone, no document is repeated more often: no budget bounds the rates there.
+MOST_RATE = 100.0
+#: First steps look at documents by posteriors rounded to multiples of this.
 GRID = 1 / 512
+#: Rows of the rounded table that a task adds up.
+TASK_ROWS = 1 << 16
 #: What a document's words share between them, in whole numbers.
 UNIT = 1 << 40
 #: Numbers of words that a text's averaged evidence may count as.
@@ -154,22 +160,24 @@ def posteriors(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
 
 
 class Solution(NamedTuple):
-    slopes: list[float]  # by domain: the rate is one less the posterior's product with them, or least
-    shift: float  # added to every rate before least holds
+    slopes: list[float]  # by domain: the rate is one less the posterior's product with them, projected
+    shift: float  # added to every rate before it is projected
     least: float
     reached: list[float]  # expected words by domain
     goal: list[float]
+    missed: float  # share of all words by which the worst domain misses its goal
+    steps: int
 
 
-def solve(members: DataFrame, targets: list[float], budget: float | None = None, least: float = 0.0) -> Solution:
-    """Rates for a table of (q, w0, w1, ...): rounded posterior, and words in each domain expected of its documents.
+def solve(members: DataFrame, targets: list[float], budget: float | None = None, least: float = 0.0, start: list[float] | None = None, settled: float = SETTLED, most_steps: int = MOST_STEPS) -> Solution:
+    """Rates for a table of (q, w0, w1, ...): a posterior, and words in each domain expected of its documents.
 
-    Errors are weighed by what a domain has. members stays distributed; a step brings k * k + 2 k numbers to the driver.
-    Targets that the solution does not meet within TOLERANCE of all words are reported by a warning.
+    members stays distributed; the first aggregation brings k * k + k numbers to the driver and each step k. Targets that
+    the solution does not meet within TOLERANCE of all words are also reported by a warning.
     """
     k = len(targets)
-    own = [F.col(f"w{i}") for i in range(k)]
-    first = members.agg(*[F.sum(own[i]).alias(f"t{i}") for i in range(k)]).first()
+    own, q = [F.col(f"w{i}") for i in range(k)], [F.col("q")[i] for i in range(k)]
+    first = members.agg(*[F.sum(own[i]).alias(f"t{i}") for i in range(k)], *[F.sum(own[i] * q[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
     have = np.array([first[f"t{i}"] or 0.0 for i in range(k)])
     weight = np.where(have > 0, targets, 0.0)
     weight = weight / weight.sum() if weight.sum() else weight
@@ -177,63 +185,49 @@ def solve(members: DataFrame, targets: list[float], budget: float | None = None,
     free = budget is None and least > 0
     if budget is None:
         budget = float(max((h / w for h, w in zip(have, weight) if w > 0), default=0.0))
-    goal = np.zeros(k) if free else weight * budget
-    scale = np.where(have > 0, have, 1.0)
-    share = weight if free else np.zeros(k)
+    goal, share = (np.zeros(k), weight) if free else (weight * budget, np.zeros(k))
+    gram = np.array([[first[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+    gram = gram - np.outer(share, have) - np.outer(have, share) + have.sum() * np.outer(share, share)
+    scale = np.linalg.pinv((gram + gram.T) / 2, rcond=1e-9, hermitian=True)
 
-    def reach(slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected words by domain, and of the documents above least the words by domain and posterior."""
+    def reach(slopes: np.ndarray) -> np.ndarray:
+        """Expected words by domain."""
         rate = _rate(slopes.tolist(), least, "q", float(share @ slopes))
-        moving = F.when(rate > least, 1.0).otherwise(0.0)
-        row = members.agg(*[F.sum(own[i] * rate).alias(f"r{i}") for i in range(k)], *[F.sum(own[i] * moving).alias(f"m{i}") for i in range(k)], *[F.sum(own[i] * F.col("q")[j] * moving).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-        got = np.array([row[f"r{i}"] or 0.0 for i in range(k)])
-        inner = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-        return got, inner - np.outer([row[f"m{i}"] or 0.0 for i in range(k)], share)
-
-    def errors(got: np.ndarray) -> np.ndarray:
-        return got - share * got.sum() - goal
-
-    slopes = np.zeros(k)
-    reached, inner = reach(slopes)
-    steps = 0
-    for ease in EASES if have.any() else ():
-        # The root of ease * scale * slopes - errors: rates of least change and, as ease goes to zero, of least error.
-        lack = lambda s, got: (ease * scale * s - errors(got)) / np.sqrt(scale)  # noqa: B023, E731
-        now = lack(slopes, reached)
-        while np.abs(now * np.sqrt(scale)).max() > SETTLED * max(budget, reached.sum()):
-            jacobian = np.diag(ease * scale) + inner - np.outer(share, inner.sum(axis=0))
-            move = -np.linalg.solve(jacobian, now * np.sqrt(scale))
-            part = 1.0
-            while True:
-                steps += 1
-                if steps > MOST_STEPS:
-                    raise RuntimeError(f"mixing did not converge: reached {reached.tolist()}, targets {weight.tolist()}")
-                then = slopes + part * move
-                got, inner_then = reach(then)
-                after = lack(then, got)
-                if np.linalg.norm(after) <= (1 - 1e-4 * part) * np.linalg.norm(now):
-                    break
-                part /= 2
-                if part < 1e-6:
-                    break
-            if part < 1e-6:  # rounded posteriors leave nothing to gain
-                break
-            slopes, reached, inner, now = then, got, inner_then, after
-        if np.abs(errors(reached)).max() <= TOLERANCE * max(budget, reached.sum()):
+        row = members.agg(*[F.sum(own[i] * rate).alias(f"r{i}") for i in range(k)]).first()
+        return np.array([row[f"r{i}"] or 0.0 for i in range(k)])
+
+    before = ahead = np.array(start, float) if start else np.zeros(k)
+    best, pace, since, steps = (np.inf, ahead, have), 1.0, 0, 0
+    while steps < most_steps and have.any():
+        steps += 1
+        reached = reach(ahead)
+        error = reached - share * reached.sum() - goal
+        off = np.abs(error).max() / max(budget if not free else 0.0, reached.sum())
+        since = 0 if off < 0.999 * best[0] else since + 1
+        best = min(best, (off, ahead, reached), key=lambda x: x[0])
+        if off <= settled or since >= PATIENCE:
             break
+        now = ahead + scale @ error
+        if error @ (now - before) < 0:  # momentum leads uphill
+            pace = 1.0
+        then = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = now + (pace - 1) / then * (now - before)
+        before, pace = now, then
+    _, slopes, reached = best
     goal = weight * reached.sum() if free else goal
     missed = float(np.abs(reached - goal).max() / max(1.0, goal.sum()))
     if missed > TOLERANCE:
         warnings.warn(f"mixing: targets missed by up to {missed:.4f} of all words: reached {reached.tolist()}, goal {goal.tolist()}", stacklevel=2)
-    return Solution(slopes.tolist(), float(share @ slopes), least, reached.tolist(), goal.tolist())
+    return Solution(slopes.tolist(), float(share @ slopes), least, reached.tolist(), goal.tolist(), missed, steps)
 
 
 def _rate(slopes: list[float], least: float, posterior: str, shift: float = 0.0) -> Column:
-    """The rate of a posterior: one and shift, less its product with the slopes, but no less than least."""
+    """The rate of a posterior: one and shift, less its product with the slopes, no less than least; with a least rate, no more than MOST_RATE."""
     moved = F.lit(max(1.0, least) + shift)
     for i, slope in enumerate(slopes):
         moved = moved - F.col(posterior)[i] * F.lit(float(slope))
-    return F.greatest(moved, F.lit(float(least)))
+    projected = F.greatest(moved, F.lit(float(least)))
+    return F.least(projected, F.lit(max(MOST_RATE, float(least)))) if least > 0 else projected
 
 
 def _rounded() -> Column:
@@ -241,17 +235,23 @@ def _rounded() -> Column:
 
 
 def _solved(found: DataFrame, targets: list[float], budget: float | None, least: float) -> Solution:
-    words = [F.sum(F.col("_n") * F.col("_p")[i]).alias(f"w{i}") for i in range(len(targets))]
-    members = cut(found.where("_n > 0").groupBy(_rounded().alias("q")).agg(*words), "members")
-    return solve(members, targets, budget, least)
+    """Rates of a written table of (_n, _p): steps on rounded posteriors first, then on the full ones."""
+    words = [(F.col("_n") * F.col("_p")[i]).alias(f"w{i}") for i in range(len(targets))]
+    full = found.where("_n > 0").select(F.col("_p").alias("q"), *words)
+    grouped = found.where("_n > 0").select(_rounded().alias("q"), *words).groupBy("q").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(targets))])
+    rounded = cut(grouped, "members")
+    rounded = rounded.coalesce(max(1, -(-rounded.count() // TASK_ROWS)))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the full posteriors tell
+        near = solve(rounded, targets, budget, least)
+    return solve(full, targets, budget, least, near.slopes, SETTLED_FULL, MOST_FULL_STEPS)
 
 
 def _decided(found: DataFrame, solution: Solution, key: Column) -> DataFrame:
     """``found`` with ``mix_rate`` and ``mix_copies``; a text without words has the rate one."""
-    rate = F.when(F.col("_n") > 0, _rate(solution.slopes, solution.least, "_q", solution.shift)).otherwise(1.0)
+    rate = F.when(F.col("_n") > 0, _rate(solution.slopes, solution.least, "_p", solution.shift)).otherwise(1.0)
     chance = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
-    out = found.withColumn("_q", _rounded()).withColumn("mix_rate", rate)
-    return out.withColumn("mix_copies", F.floor(F.col("mix_rate") + chance).cast("int")).drop("_q")
+    return found.withColumn("mix_rate", rate).withColumn("mix_copies", F.floor(F.col("mix_rate") + chance).cast("int"))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -260,21 +260,25 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def rates(docs: DataFrame, model: Model, targets: list[float], budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, posterior, mix_rate, mix_copies), one row per row of docs; copies rounds the rate at random."""
+    """(id, n_words, posterior, mix_rate, mix_copies, mix_missed), one row per row of docs; copies rounds the rate at random.
+
+    mix_missed, the same for all rows, is the share of all words by which the worst domain misses its target.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     found = cut(posteriors(narrow.select("id", _key("id", "text").alias("key"), "text"), model, "text"), "posteriors")
-    out = _decided(found, _solved(found, targets, budget, least), F.col("key"))
-    return out.select("id", F.col("_n").alias("n_words"), F.col("_p").alias("posterior"), "mix_rate", "mix_copies")
+    solution = _solved(found, targets, budget, least)
+    out = _decided(found, solution, F.col("key"))
+    return out.select("id", F.col("_n").alias("n_words"), F.col("_p").alias("posterior"), "mix_rate", "mix_copies", F.lit(solution.missed).alias("mix_missed"))
 
 
 def mixed(docs: DataFrame, model: Model, targets: list[float], budget: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mix takes, with ``mix_rate`` and ``mix_copies``, how often each is to be repeated.
 
-    These two take the place of columns of docs with such names, all others stay. Texts are read and scored twice, once for the sums and once for the rows themselves, rather than shuffled or kept.
+    These two take the place of columns of docs with such names, all others stay. Texts are read and scored twice, once for the posteriors, which are kept, and once for the rows themselves, rather than shuffled.
     """
     text = F.col(f"`{text_col}`").cast("string").alias("text")
-    solution = _solved(posteriors(docs.select(text), model, "text"), targets, budget, least)
+    solution = _solved(cut(posteriors(docs.select(text), model, "text"), "posteriors"), targets, budget, least)
     others = [c for c in docs.columns if c not in ("mix_rate", "mix_copies")]
     packed = docs.select(_packed(others), _key(id_col, text_col).alias("key"), text)
     out = _decided(posteriors(packed, model, "text"), solution, F.col("key"))

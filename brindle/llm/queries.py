@@ -80,7 +80,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = domain_model(docs, table(spark, sf_dir, "labels"), F.col("quality") + 2 * F.col("toxic"), 4)
     found = mixing.rates(docs, model, DOMAIN_TARGETS)
     shares = [F.col("posterior")[k].alias(f"p{k}") for k in range(len(DOMAIN_TARGETS))]
-    return found.select(F.col("id").alias("doc_id"), "n_words", *shares, "mix_rate", "mix_copies")
+    return found.select(F.col("id").alias("doc_id"), "n_words", *shares, "mix_rate", "mix_copies", "mix_missed")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

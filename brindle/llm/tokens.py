@@ -8,9 +8,10 @@ made when first met and kept in a hash table of transitions.
 
 Texts are cut into segments, and these into chunks that all run side by side. A chunk doesn't know the state that it begins
 in, but the machine restarts at every space after another character, so the map from entry state to exit state is
-constant for nearly all chunks. A parallel scan composes the maps: every chunk's map is evaluated at the state that the
-chunk before it leaves, all chunks at once, up to its first restart; where a chunk has none its exit is guessed, and
-evaluated again while the guess before it changes, which is seldom, as states that read the same characters soon agree.
+constant for nearly all chunks. For the others the map is held on the entry states that can occur: those that a chunk
+before them can leave, all chunks adding theirs at once until none is new, which is soon, as states that read the same
+characters soon agree or come round again. Maps are then composed by a parallel prefix scan, doubling the stretch of
+chunks that a map spans in each step, which gives every chunk its true entry state; only then are tokens counted there.
 
 States are made when first met. A machine that has MOST_STATES of them before a segment forgets them all and begins
 anew, so its memory is bounded, whatever the texts: a segment of SEGMENT characters makes twice as many states at most.
@@ -24,7 +25,7 @@ whatever their names.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,20 @@ SEGMENT = 1 << 18
 MOST_STATES = 1 << 19
 _WIDTH = 4096
 _UNKNOWN = 1
+_STATE = (1 << 22) - 1
+#: Entry states at most that all chunks hold because one of them met them late.
+_SPREAD = 16
 #: Subtrees of more pieces than this keep the preceding piece itself, not its class.
 _CLASS_MOST = 60
 
 
+def _led(nodes: np.ndarray, exits: np.ndarray, closed: np.ndarray) -> np.ndarray:
+    """The nodes that nodes with such exit states lead to."""
+    chunk = (nodes >> 22) + 1
+    goes = np.append(closed, False)[chunk]
+    return np.unique(chunk[goes] << 22 | exits[goes])
+
+
 class Transducer:
     def __init__(self, model_file: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -268,23 +279,57 @@ class Transducer:
         head = np.where(fresh.any(axis=0), fresh.argmax(axis=0), size)
         closed = head == size  # no restart: what leaves the chunk depends on what enters it
         leave = run(every, np.where(closed, 0, _UNKNOWN), size)
-        came = np.full(chunks, -1)
-        came[closed] = 0  # the guess
-        waiting = every[head > 0]
-        while len(waiting):
-            enters = np.where(waiting > 0, leave[waiting - 1], entry)
-            stale = came[waiting] != enters
-            own, enters = waiting[stale], enters[stale]
-            if not len(own):
-                break
-            came[own] = enters
-            after = run(own, enters, head[own])
-            leave[own[closed[own]]] = after[closed[own]]
-            # Only chunks behind one whose exit may have changed can be stale again.
-            behind = own[closed[own]] + 1
-            waiting = behind[(behind < chunks) & (head[np.minimum(behind, chunks - 1)] > 0)]
+        enters = np.r_[entry, leave[:-1]]
+        if closed.any():
+            enters, last = self._entries(closed, size, leave, entry, run)
+            leave[-1] = last if closed[-1] else leave[-1]
+        # A chunk's characters before its first restart, now that its entry is known.
+        again = every[(head > 0)]
+        run(again, enters[again], head[again])
         return np.ascontiguousarray(out.T).reshape(-1)[:n], int(leave[-1])
 
+    @staticmethod
+    def _entries(closed: np.ndarray, size: np.ndarray, leave: np.ndarray, entry: int, run: Callable) -> tuple[np.ndarray, int]:
+        """(entry state of every chunk, exit state of the last): maps of closed chunks held on what can enter, and composed.
+
+        A node is a closed chunk with one state that may enter it; it leads to the next chunk's node with the state that
+        leaves it. leave has the exits of the others, and of closed chunks for the state 0.
+        """
+        chunks = len(closed)
+        after = np.flatnonzero(closed)
+        first = after[(after == 0) | ~closed[after - 1]]  # each begins a stretch of closed chunks
+        given = np.where(first > 0, leave[first - 1], entry)
+        known = after << 22  # chunk and entry state in one number
+        exits = leave[after]
+        new = np.setdiff1d(np.r_[first << 22 | given, _led(known, exits, closed)], known)
+        rounds = 0
+        while new.size:
+            left = run(new >> 22, new & _STATE, size[new >> 22])
+            known, exits = np.r_[known, new], np.r_[exits, left]
+            new, rounds = _led(new, left, closed), rounds + 1
+            if rounds >= 4 and rounds & (rounds - 1) == 0:
+                # What still spreads chunk by chunk, as where a text repeats itself, is held by all chunks at once.
+                new = np.union1d(new, (after[:, None] << 22 | np.unique(left)[:_SPREAD]).ravel())
+            new = np.setdiff1d(new, known)
+        order = np.argsort(known)
+        known, exits = known[order], exits[order]
+        # Where a node leads; the end of a stretch leads to itself.
+        chunk = known >> 22
+        goes = np.append(closed, False)[chunk + 1]
+        leads = np.where(goes, np.searchsorted(known, np.where(goes, (chunk + 1) << 22 | exits, 0)), np.arange(len(known)))
+        met = np.zeros(len(known), bool)
+        met[np.searchsorted(known, first << 22 | given)] = True
+        span = 1
+        while span < chunks:  # all nodes that true entries lead to within span chunks; then maps of twice the span
+            met[leads[met]] = True
+            leads = leads[leads]
+            span *= 2
+        true = known[met]
+        out = leave.copy()
+        out[true >> 22] = exits[met]
+        enters = np.r_[entry, out[:-1]]
+        return enters, int(out[-1])
+
     def counts(self, texts: list[bytes | None]) -> list[int]:
         totals = [0] * len(texts)
         group: list[tuple[int, str]] = []

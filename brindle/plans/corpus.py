@@ -173,29 +173,6 @@ SELECT doc_id, item_id, coverage FROM (SELECT *, row_number() OVER (PARTITION BY
 """
 
 
-def quote_location(spark: SparkSession, sf: str) -> DataFrame:
-    """benchmark texts in documents: verbatim, or in normal form; candidates by a shared six-token run."""
-    docs = read(spark, sf, "documents", "doc_id", "text")
-    items = read(spark, sf, "benchmark", "item_id", "text")
-    wanted = items.select("item_id", F.col("text").alias("quote"), tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    wanted = wanted.select("item_id", "quote", F.xxhash64(F.slice("w", 1, 6)).alias("g"))
-    # Runs are hashes; what they propose is verified on the texts.
-    runs = docs.select("doc_id", tx.tokens(F.col("text")).alias("w")).select("doc_id", F.explode_outer(tx.shingle_hashes(F.col("w"), 6)).alias("g")).join(wanted.select("item_id", "g"), "g").select("doc_id", "item_id")
-    # A document is read again only for its candidates.
-    pairs = runs.distinct().join(docs, "doc_id").join(wanted.select("item_id", "quote"), "item_id")
-    exact = F.expr("instr(text, quote)")
-    kind = F.when(exact > 0, "exact").when(F.contains(tx.normal(F.col("text")), tx.normal(F.col("quote"))), "normalized")
-    return pairs.select("doc_id", "item_id", kind.alias("match")).where("match is not null")
-
-
-QUOTES = """
-WITH d AS (SELECT doc_id, text, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS norm FROM documents),
-b AS (SELECT item_id, text AS quote, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS norm FROM benchmark)
-SELECT doc_id, item_id, CASE WHEN contains(text, quote) THEN 'exact' ELSE 'normalized' END AS match
-FROM d JOIN b ON contains(d.norm, b.norm) WHERE len(string_split(trim(b.norm), ' ')) >= 6
-"""
-
-
 def quote_location_whole(spark: SparkSession, sf: str) -> DataFrame:
     """benchmark texts in documents: verbatim, in normal form, or by half or more of their six-token runs."""
     return located(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "benchmark", "item_id", F.col("text").alias("quote")))
@@ -290,7 +267,6 @@ QUERIES = {
     "near_duplicates": (near_duplicates, NEAR),
     "near_duplicate_members": (near_duplicate_members, MEMBERS),
     "relevance_top1_idf": (relevance_top1_idf, RELEVANCE),
-    "quote_location": (quote_location, QUOTES),
     "quote_location_whole": (quote_location_whole, None),
     "quantities_and_pairs": (quantities_and_pairs, QUANTITIES),
     "writing_rules": (writing_rules, WRITING),

@@ -62,20 +62,6 @@ WITH RECURSIVE e AS (SELECT n_name AS s, r_name AS o FROM nation JOIN region ON
 c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON e.s = c.o) SELECT s, o FROM c
 """
 
-def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers and parts joined by large open lines, by component."""
-    lines = read(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_linestatus", "l_quantity").where("l_linestatus = 'O' and l_quantity >= 50")
-    return g.components(lines.select((-F.col("l_suppkey")).alias("s"), F.col("l_partkey").alias("o")))
-
-
-COMPONENTS = """
-WITH RECURSIVE e AS (SELECT DISTINCT -l_suppkey AS s, l_partkey AS o FROM lineitem WHERE l_linestatus = 'O' AND l_quantity >= 50), b AS (SELECT s, o FROM e UNION SELECT o, s FROM e),
-c AS (SELECT s AS v, s AS r FROM b UNION SELECT c.v, b.o FROM c JOIN b ON b.s = c.r)
-SELECT v, min(r) AS component FROM c GROUP BY v
-"""
-
-
-
 def connected_components_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and parts joined by any line, by component; recursive SQL is too slow for it, a test has brute force."""
     lines = read(spark, sf, "lineitem", "l_suppkey", "l_partkey")
@@ -84,7 +70,6 @@ def connected_components_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "connected_components_whole": (connected_components_whole, None),
-    "connected_components": (connected_components, COMPONENTS),
     "triple_shared_entities": (triple_shared_entities, SHARED),
     "triple_optional_union_minus": (triple_optional_union_minus, OPTIONAL),
     "subclass_closure": (subclass_closure, CLOSURE),

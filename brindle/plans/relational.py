@@ -241,22 +241,6 @@ SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.supersedes = a.o_o
 """
 
 
-def referential_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of parts or suppliers that don't exist, and orders without a line, as violations."""
-    lines = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    parts = read(spark, sf, "part", F.col("p_partkey").alias("l_partkey")).where("l_partkey % 7 != 0")
-    row = lambda df, rule, key: df.select(F.lit(rule).alias("rule"), key.alias("key")).groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
-    missing = row(lines.join(parts, "l_partkey", "left_anti"), "unknown_part", F.col("l_partkey"))
-    empty = row(read(spark, sf, "orders", F.col("o_orderkey").alias("l_orderkey")).join(lines, "l_orderkey", "left_anti"), "order_without_lines", F.col("l_orderkey"))
-    return missing.unionByName(empty)
-
-
-VIOLATIONS = """
-SELECT 'unknown_part' AS rule, l_partkey AS key, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_partkey % 7 <> 0) GROUP BY 2
-UNION ALL SELECT 'order_without_lines', o_orderkey, count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 2
-"""
-
-
 def referential_violations_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of parts or of suppliers that don't exist, and orders without a line, as violations."""
     lines = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -335,25 +319,6 @@ FROM part LEFT JOIN (SELECT l_partkey, avg(l_quantity) AS used FROM lineitem GRO
 """
 
 
-def jaccard_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """how alike order priorities are in the part types that their orders hold."""
-    lines = read(spark, sf, "lineitem", "l_orderkey", "l_partkey").join(read(spark, sf, "part", F.col("p_partkey").alias("l_partkey"), "p_type", "p_size"), "l_partkey")
-    held = lines.join(read(spark, sf, "orders", F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus"), "l_orderkey").where("o_orderstatus = 'P'")
-    once = held.select("o_orderpriority", F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("e")).distinct()
-    sizes = once.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    shared = once.join(once.withColumnRenamed("o_orderpriority", "other"), "e").where("o_orderpriority < other").groupBy("o_orderpriority", "other").agg(F.count(F.lit(1)).alias("shared"))
-    joined = shared.join(sizes, "o_orderpriority").join(sizes.select(F.col("o_orderpriority").alias("other"), F.col("n").alias("m")), "other")
-    return joined.select("o_orderpriority", "other", "shared", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 4).alias("jaccard"))
-
-
-JACCARD = """
-WITH o AS (SELECT DISTINCT o_orderpriority, p_type || '/' || p_size AS e FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'),
-c AS (SELECT o_orderpriority, count(*) AS n FROM o GROUP BY 1),
-s AS (SELECT a.o_orderpriority, b.o_orderpriority AS other, count(*) AS shared FROM o a JOIN o b ON a.e = b.e AND a.o_orderpriority < b.o_orderpriority GROUP BY 1, 2)
-SELECT s.o_orderpriority, other, shared, round(shared / (c.n + d.n - shared), 4) AS jaccard FROM s JOIN c ON c.o_orderpriority = s.o_orderpriority JOIN c d ON d.o_orderpriority = s.other
-"""
-
-
 def jaccard_sets_whole(spark: SparkSession, sf: str) -> DataFrame:
     """how alike order priorities are in the part types that their orders hold, orders of every status."""
     lines = read(spark, sf, "lineitem", "l_orderkey", "l_partkey").join(read(spark, sf, "part", F.col("p_partkey").alias("l_partkey"), "p_type", "p_size"), "l_partkey")
@@ -418,13 +383,11 @@ QUERIES = {
     "year_histogram_gap_filled": (year_histogram_gap_filled, HISTOGRAM),
     "review_sheet_join": (review_sheet_join, SHEET),
     "current_not_superseded": (current_not_superseded, CURRENT),
-    "referential_violations": (referential_violations, VIOLATIONS),
     "referential_violations_whole": (referential_violations_whole, VIOLATIONS_WHOLE),
     "cascade_identity": (cascade_identity, CASCADE),
     "snapshot_diff": (snapshot_diff, DIFF),
     "cooccurrence_pairs": (cooccurrence_pairs, PAIRS),
     "free_capacity": (free_capacity, FREE),
-    "jaccard_sets": (jaccard_sets, JACCARD),
     "jaccard_sets_whole": (jaccard_sets_whole, JACCARD_WHOLE),
     "contract_validation": (contract_validation, CONTRACT),
     "oplog_fold": (oplog_fold, OPLOG),

@@ -41,9 +41,9 @@ TABLES = {
     "io_constraint": "SELECT p_partkey AS spec, concat('at most ', p_size) AS limits FROM {part} WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, 'not empty' FROM {part} WHERE p_size % 10 = 0",
     "failure": "SELECT o_orderkey AS f, o_custkey AS r, CASE WHEN o_orderkey % 9 > 0 THEN concat('fails ', o_orderkey) END AS statement, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS condition, CASE WHEN o_orderkey % 3 = 0 THEN 'noise' END AS symptom, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 = 1 END AS silent, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS severity, CASE WHEN o_orderkey % 6 = 0 THEN 'retry' END AS mitigation FROM {orders}",
     "referenced_by": "SELECT DISTINCT o_custkey AS r, o_orderkey % 40 AS work FROM {orders}",
-    "work": "SELECT doc_id AS work, CASE WHEN doc_id % 3 > 0 THEN concat('Work ', doc_id) END AS title, CASE WHEN doc_id % 2 = 0 THEN concat('10.5555/w', doc_id) END AS doi FROM {documents} WHERE doc_id < 35",
+    "work": "SELECT doc_id AS work, CASE WHEN doc_id % 3 > 0 THEN concat('Work ', doc_id) END AS title, CASE WHEN doc_id % 2 = 0 THEN concat('10.5555/w', doc_id) END AS doi FROM {documents}",
     "attested_at": "SELECT o_custkey AS r, o_orderkey % 120 AS loc FROM {orders} WHERE o_orderkey % 2 = 0",
-    "locator": "SELECT doc_id AS loc, doc_id % 40 AS work, CASE WHEN doc_id % 5 > 0 THEN concat('page ', doc_id) END AS place FROM {documents} WHERE doc_id < 120",
+    "locator": "SELECT doc_id AS loc, doc_id % 40 AS work, CASE WHEN doc_id % 5 > 0 THEN concat('page ', doc_id) END AS place FROM {documents}",
     "release": "SELECT c_custkey AS r, CASE WHEN c_custkey % 5 > 0 THEN concat('2.', c_nationkey) END AS version, CASE WHEN c_custkey % 3 > 0 THEN 2000 + c_nationkey END AS released FROM {customer}",
     "observation": "SELECT event_id AS o, user_id AS r, cast(ts AS date) AS moment, event_type AS property, cast(cast(floor(value) AS bigint) AS string) AS value, CASE WHEN event_id % 2 = 0 THEN 'log' END AS source FROM {events}",
     "resolution": "SELECT p_partkey AS a, concat('id:', p_partkey) AS identifier, CASE WHEN p_size % 3 > 0 THEN 'resolved' ELSE 'failed' END AS status, p_type AS route, CASE WHEN p_size % 2 = 0 THEN p_brand END AS source, CASE WHEN p_size % 4 > 0 THEN 2000 + p_size END AS moment FROM {part}",

@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.operators import spans
+from brindle.sources.formats import masked
 from brindle.sources.tables import read
 
 
-def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of 800 characters or less, or one sentence, of every document, with a sentence of overlap."""
-    return spans.chunked(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", 800).withColumnRenamed("id", "doc_id")
-
-
 def span_repair(spark: SparkSession, sf: str) -> DataFrame:
     """a document's middle word claimed seven characters from where it stands, set right."""
     docs = read(spark, sf, "documents", "doc_id", "text").where("length(text) > 0")
@@ -27,15 +22,8 @@ def mask_spans(spark: SparkSession, sf: str) -> DataFrame:
     """documents with runs of capitals and addresses blanked to their length."""
     pattern = r"[A-Z]{4,}|[a-z0-9._]+@[a-z0-9]+\.[a-z]+"
 
-    @F.pandas_udf(T.StringType())
-    def masked(text):
-        import re
-
-        found = re.compile(pattern)
-        return text.map(lambda t: spans.mask(t, [m.span() for m in found.finditer(t)]) if t else t)
-
     docs = read(spark, sf, "documents", "doc_id", "text").where(F.col("text").rlike(pattern))
-    return docs.select("doc_id", masked("text").alias("masked"), F.length("text").alias("length"))
+    return docs.select("doc_id", masked(F.col("text"), pattern).alias("masked"), F.length("text").alias("length"))
 
 
 def html_to_units(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +45,6 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
 SENTENCES = r"SELECT lang, sum(len(regexp_extract_all(text, '[.!?]\s+[A-Z]')))::BIGINT AS ends FROM documents GROUP BY 1"
 
 QUERIES = {
-    "chunk_overlap": (chunk_overlap, None),
     "span_repair": (span_repair, None),
     "mask_spans": (mask_spans, None),
     "html_to_units": (html_to_units, None),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import evidence as ev
 from brindle.operators.graph import components
+from brindle.operators.ordered import dense_ranks
 from brindle.operators.similar import alike, ratio, stars
 from brindle.sources.shared import written
 
@@ -163,12 +164,9 @@ def report_verdict(references: DataFrame, findings: DataFrame, offline: bool = F
 
 def citation_order(keys: DataFrame, citations: DataFrame) -> DataFrame:
     """(key, number) of references by their first citation (key, position); those never cited have no number."""
-    first = citations.groupBy("key").agg(F.min("position").alias("position"))
-    # The rank of a first position is the number of first positions up to it: a running count over a table of references.
-    from pyspark.sql import Window
-
-    numbered = first.join(keys, "key", "left_semi").withColumn("number", F.dense_rank().over(Window.orderBy("position")))
-    return keys.select("key").distinct().join(numbered.select("key", "number"), "key", "left")
+    first = citations.groupBy("key").agg(F.min("position").alias("position")).join(keys, "key", "left_semi")
+    numbered = dense_ranks(first, "position").select("key", F.col("number").cast("int"))
+    return keys.select("key").distinct().join(numbered, "key", "left")
 
 
 def clearance(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.sources.shared import shared_dir
+from brindle.sources.shared import written
 
 
 def triples(*parts: DataFrame) -> DataFrame:
@@ -26,27 +26,103 @@ def pattern(graph: DataFrame, predicate: str, s: str, o: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read again."""
+    return written(df, "graph")
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """Distinct (s, o) reachable by one edge or more; paths double each round until none is new."""
-    have = _cut(edges.select("s", "o").distinct())
-    n = have.count()
+def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+    """Distinct (s, o) reachable by one edge or more, by deltas: a round joins only the paths that the last one found.
+
+    New paths are put before and behind all that are known, so paths double each round and those of a cycle come round
+    once; what is known is taken off by an anti-join, and a round's result is written.
+    """
+    have = new = _cut(edges.select("s", "o").where("s is not null and o is not null").distinct())
     for _ in range(most):
-        longer = have.alias("a").join(have.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
-        have = _cut(have.unionByName(longer).distinct())
-        now = have.count()
-        if now == n:
+        behind = new.alias("a").join(have.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
+        ahead = have.alias("a").join(new.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
+        new = _cut(behind.unionByName(ahead).distinct().join(have, ["s", "o"], "left_anti"))
+        if new.isEmpty():
             return have
-        n = now
+        have = _cut(have.unionByName(new))
     raise RuntimeError("the closure did not settle")
 
 
+#: Predicates that say what others mean.
+SCHEMA = ["subClassOf", "subPropertyOf", "equivalentClass", "equivalentProperty", "inverseOf", "domain", "range"]
+#: Types of properties, and the predicate of chains: (property, propertyChainAxiom, "p q").
+TRANSITIVE, SYMMETRIC, FUNCTIONAL, CHAIN, SAME = "TransitiveProperty", "SymmetricProperty", "FunctionalProperty", "propertyChainAxiom", "sameAs"
+
+
+def same_nodes(triples: DataFrame) -> DataFrame:
+    """(v, component): nodes that sameAs makes equal, by the smallest of them."""
+    return components(triples.where(F.col("p") == SAME).select("s", "o").where("s != o"))
+
+
+def represented(triples: DataFrame, classes: DataFrame) -> DataFrame:
+    """Triples with every node as the first of its class of equal nodes."""
+    for end in ("s", "o"):
+        triples = triples.join(classes.select(F.col("v").alias(end), F.col("component").alias("_first")), end, "left").withColumn(end, F.coalesce("_first", end)).drop("_first")
+    return triples.select("s", "p", "o").distinct()
+
+
+def saturated(triples: DataFrame, most: int = 64) -> DataFrame:
+    """Triples (s, p, o) with all that their schema entails, to a fix-point over deltas.
+
+    Rules: subclasses and subproperties with their equivalents, inverses, domains and ranges, symmetric and transitive
+    properties, chains of two, functional properties and sameAs. Equal nodes are one node, the first by name, while rules
+    run, so that n of them don't make n * n triples; sameAs triples lead from each to it, and the result names it in
+    their place. A round applies the rules to what the last one added; the schema's own closures come first.
+    """
+    classes = _cut(same_nodes(triples))
+    base = _cut(represented(triples.where(F.col("p") != SAME), classes))
+    merged = classes
+    for _ in range(most):
+        found, equal = _rules(base, most)
+        if equal.isEmpty():
+            links = merged.where("v != component").select(F.col("v").alias("s"), F.lit(SAME).alias("p"), F.col("component").alias("o"))
+            return found.unionByName(links).distinct()
+        # A functional property made nodes equal: classes grow, and rules run on the nodes that are left.
+        more = components(equal)
+        merged = _cut(merged.join(more.select(F.col("v").alias("component"), F.col("component").alias("_up")), "component", "left").select("v", F.coalesce("_up", "component").alias("component")).unionByName(more.join(merged.select("v"), "v", "left_anti").select("v", "component")))
+        base = _cut(represented(base, more))
+    raise RuntimeError("equal nodes did not settle")
+
+
+def _rules(base: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(saturated triples, (s, o) of nodes that functional properties make equal) over nodes that are no equals yet."""
+    of = lambda p: base.where(F.col("p") == p).select("s", "o")
+    both = lambda p: of(p).unionByName(of(p).select(F.col("o").alias("s"), F.col("s").alias("o")))
+    above = closure(of("subClassOf").unionByName(both("equivalentClass")))
+    wider = closure(of("subPropertyOf").unionByName(both("equivalentProperty")))
+    typed = lambda kind: base.where((F.col("p") == "type") & (F.col("o") == kind)).select(F.col("s").alias("p"))
+    turned = both("inverseOf").unionByName(typed(SYMMETRIC).select(F.col("p").alias("s"), F.col("p").alias("o"))).distinct()
+    steps = of(CHAIN).select(F.col("s").alias("_p"), F.split("o", " ")[0].alias("_a"), F.split("o", " ")[1].alias("_b"))
+    steps = _cut(steps.unionByName(typed(TRANSITIVE).select(F.col("p").alias("_p"), F.col("p").alias("_a"), F.col("p").alias("_b"))).distinct())
+    have = new = _cut(base.where(~F.col("p").isin(*SCHEMA, CHAIN)).distinct())
+    for _ in range(most):
+        rename = lambda pairs: new.join(pairs.select(F.col("s").alias("p"), F.col("o").alias("_p")), "p")  # noqa: B023, E731
+        got = rename(wider).select("s", F.col("_p").alias("p"), "o")
+        got = got.unionByName(rename(turned).select(F.col("o").alias("s"), F.col("_p").alias("p"), F.col("s").alias("o")))
+        for rule, end in (("domain", "s"), ("range", "o")):
+            got = got.unionByName(rename(of(rule)).select(F.col(end).alias("s"), F.lit("type").alias("p"), F.col("_p").alias("o")))
+        got = got.unionByName(new.where("p = 'type'").join(above.select(F.col("s").alias("o"), F.col("o").alias("_c")), "o").select("s", "p", F.col("_c").alias("o")))
+        first = lambda rows: rows.select(F.col("s").alias("_s"), F.col("p").alias("_a"), F.col("o").alias("_m"))
+        then = lambda rows: rows.select(F.col("s").alias("_m"), F.col("p").alias("_b"), F.col("o").alias("_o"))
+        for a, b in ((new, have), (have, new)):
+            pairs = first(a).join(steps, "_a").join(then(b), ["_m", "_b"])
+            got = got.unionByName(pairs.select(F.col("_s").alias("s"), F.col("_p").alias("p"), F.col("_o").alias("o")))
+        new = _cut(got.distinct().join(have, ["s", "p", "o"], "left_anti"))
+        if new.isEmpty():
+            break
+        have = _cut(have.unionByName(new))
+    else:
+        raise RuntimeError("rules did not settle")
+    held = have.join(typed(FUNCTIONAL), "p", "left_semi").groupBy("s", "p").agg(F.min("o").alias("first"), F.count_distinct("o").alias("n")).where("n > 1")
+    equal = have.join(held.select("s", "p", "first"), ["s", "p"]).where("o != first").select(F.col("o").alias("s"), F.col("first").alias("o")).distinct()
+    schema = base.where(F.col("p").isin(*SCHEMA, CHAIN))
+    return have.unionByName(schema).distinct(), _cut(equal)
+
+
 def components(edges: DataFrame, most: int = 64) -> DataFrame:
     """(v, component): the smallest vertex that each vertex of (s, o) edges reaches in either direction.
 

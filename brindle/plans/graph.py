@@ -68,9 +68,37 @@ def connected_components_whole(spark: SparkSession, sf: str) -> DataFrame:
     return g.components(lines.select((-F.col("l_suppkey")).alias("s"), F.col("l_partkey").alias("o")))
 
 
+def saturated_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in nations in regions, with all that a transitive relation, a chain, a subproperty, a domain and equal nodes entail."""
+    customers = read(spark, sf, "customer", "c_custkey", "c_nationkey")
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    nations = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    twins = customers.where("c_custkey % 100 = 1").select(name.alias("s"), F.lit("sameAs").alias("p"), F.concat(F.lit("c"), (F.col("c_custkey") - 1).cast("string")).alias("o"))
+    schema = spark.createDataFrame([("within", "type", "TransitiveProperty"), ("livesIn", "propertyChainAxiom", "livesIn within"), ("livesIn", "subPropertyOf", "knownIn"), ("livesIn", "domain", "Person"), ("Person", "subClassOf", "Agent")], "s string, p string, o string")
+    nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    parts = [
+        schema, twins, g.triple(customers, name, "livesIn", nation),
+        g.triple(nations, F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "within", F.col("r_name")),
+        g.triple(nations.select("r_name").distinct(), F.col("r_name"), "within", F.lit("WORLD")),
+    ]
+    return g.saturated(g.triples(*parts))
+
+
+SATURATED = """
+WITH names AS (SELECT c_custkey, c_nationkey, 'c' || c_custkey AS own, CASE WHEN c_custkey % 100 = 1 THEN 'c' || (c_custkey - 1) WHEN c_custkey % 100 = 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer) THEN 'c' || (c_custkey + 1) END AS twin FROM customer),
+named AS (SELECT *, least(own, coalesce(twin, own)) AS node FROM names),
+places AS (SELECT 'n' || n_nationkey AS s, r_name AS o FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT r_name, 'WORLD' FROM nation JOIN region ON r_regionkey = n_regionkey),
+within AS (SELECT s, o FROM places UNION SELECT a.s, b.o FROM places a JOIN places b ON b.s = a.o),
+lives AS (SELECT DISTINCT node AS s, 'n' || c_nationkey AS o FROM named), everywhere AS (SELECT s, o FROM lives UNION SELECT l.s, w.o FROM lives l JOIN within w ON w.s = l.o)
+SELECT s, 'within' AS p, o FROM within UNION ALL SELECT s, 'livesIn', o FROM everywhere UNION ALL SELECT s, 'knownIn', o FROM everywhere
+UNION ALL SELECT DISTINCT s, 'type', c FROM lives, (SELECT unnest(['Person', 'Agent']) AS c) UNION ALL SELECT own, 'sameAs', node FROM named WHERE own <> node UNION ALL SELECT 'c' || (c_custkey - 1), 'sameAs', node FROM named WHERE c_custkey % 100 = 1 AND node <> 'c' || (c_custkey - 1) AND c_custkey - 1 NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT * FROM (VALUES ('within', 'type', 'TransitiveProperty'), ('livesIn', 'propertyChainAxiom', 'livesIn within'), ('livesIn', 'subPropertyOf', 'knownIn'), ('livesIn', 'domain', 'Person'), ('Person', 'subClassOf', 'Agent'))
+"""
+
 QUERIES = {
     "connected_components_whole": (connected_components_whole, None),
     "triple_shared_entities": (triple_shared_entities, SHARED),
     "triple_optional_union_minus": (triple_optional_union_minus, OPTIONAL),
     "subclass_closure": (subclass_closure, CLOSURE),
+    "saturated_graph": (saturated_graph, SATURATED),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import entities, verdicts
+from brindle.operators import corrections, entities, verdicts
 from brindle.sources.tables import read
 
 
@@ -366,7 +366,44 @@ SELECT id, count(*) AS ops, arg_max(value, k) FILTER (op = 'set') AS value, coal
 """
 
 
+def _renamings(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of four: the first is renamed to the second, that to the third, that to the fourth; some first ones have two names."""
+    own = read(spark, sf, "customer", F.col("c_custkey").alias("old"))
+    return own.where("old % 4 < 3").withColumn("new", F.col("old") + 1).unionByName(own.where("old % 40 = 0").withColumn("new", F.col("old") + 2))
+
+
+def rekeyed_everywhere(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: every foreign key of customers after chains of renamings, and the keys that could not be renamed."""
+    tables = {"customer": (read(spark, sf, "customer", F.col("c_custkey").alias("id"), F.col("c_custkey").alias("key")), ["key"]), "orders": (read(spark, sf, "orders", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key")), ["key"])}
+    done, problems = corrections.rekeyed(tables, _renamings(spark, sf))
+    rows = problems.select(F.col("problem").alias("place"), F.col("key").alias("id"), "key")
+    for name, rekeyed in done.items():
+        rows = rows.unionByName(rekeyed.select(F.lit(name).alias("place"), "id", "key"))
+    return rows
+
+
+REKEYED = """
+WITH ends AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 3 OR c_custkey % 40 = 0 THEN c_custkey ELSE least(c_custkey - c_custkey % 4 + 3, (SELECT max(c_custkey) + 1 FROM customer)) END AS e FROM customer)
+SELECT 'clash' AS place, c_custkey AS id, c_custkey AS key FROM customer WHERE c_custkey % 40 = 0
+UNION ALL SELECT 'customer', k, e FROM ends UNION ALL SELECT 'orders', o_orderkey, coalesce(e, o_custkey) FROM orders LEFT JOIN ends ON k = o_custkey
+"""
+
+
+def segment_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: by market segment, the nations of customers in debt and of others: shared, and those of either side only."""
+    rows = read(spark, sf, "customer", "c_mktsegment", "c_nationkey", "c_acctbal")
+    found = corrections.set_algebra(rows.where("c_acctbal < 0"), rows.where("c_acctbal >= 0"), "c_mktsegment", "c_nationkey")
+    return found.select("c_mktsegment", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("shared", "only_left", "only_right")])
+
+
+SEGMENTS = """
+WITH s AS (SELECT c_mktsegment, coalesce(list(DISTINCT c_nationkey) FILTER (c_acctbal < 0), []) AS l, coalesce(list(DISTINCT c_nationkey) FILTER (c_acctbal >= 0), []) AS r FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1)
+SELECT c_mktsegment, array_to_string(list_sort(list_intersect(l, r)), ',') AS shared, array_to_string(list_sort(list_filter(l, lambda x: NOT list_contains(r, x))), ',') AS only_left, array_to_string(list_sort(list_filter(r, lambda x: NOT list_contains(l, x))), ',') AS only_right FROM s
+"""
+
 QUERIES = {
+    "rekeyed_everywhere": (rekeyed_everywhere, REKEYED),
+    "segment_nations": (segment_nations, SEGMENTS),
     "weighted_verdict_score": (weighted_verdict_score, VERDICTS),
     "best_mapping_per_key": (best_mapping_per_key, BEST),
     "canonical_surface": (canonical_surface, CANONICAL),

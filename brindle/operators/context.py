@@ -102,6 +102,80 @@ def scores(mentions: DataFrame, rows: DataFrame, least_hits: int = 2, rare: int
     return found.select("mention", "row", "name", "table", "domain", "study", "release", F.round(score, 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
+# Weights of what wordings and names tell; tokens from which a question is long; what the names of items, of
+# answers that were not given and of a respondent's variables end in or hold; what labels of administration say; how labels
+# and papers word a metric, and a respondent.
+RESPONDENT, OTHER_RESPONDENT, METRIC, OTHER_METRIC = 0.10, -0.18, 0.08, -0.05
+ADMINISTRATION, UNASKED, ITEM, QUESTION, LONG_QUESTION = -0.22, -0.06, -0.10, -0.18, -0.20
+LONG_TOKENS = 12
+ITEM_NAME = r"___\d+$|_q\d+$|_\d{1,3}$"
+NO_ANSWER_NAME = r"_(?:dk|nr|refuse[d]?|na)$"
+ADMINISTRATION_LABEL = (
+    r"(?i)\bversion\b|\blanguage\b|\bitmcnt\b|\bitem count\b|\btheta\b|date ?finished|date and time|\btimestamp\b|administ\w*|"
+    r"number (?:of )?(?:miss\w*|answer\w*|valid\w*|item\w*|total\w*|question\w*)|number with|\bmissing\b|complete\?|completed\?|"
+    r"\bvalidity\b|\bqc\b|quality control|\bflags?\b|\bissues?\b|\badmin\b|don'?t know|no lo s|\brefus\w*|prefer not to|decline[ds]? to answer"
+)
+LABEL_METRICS = {"fully_corrected": r"fully[\s-]*corrected|\bfc\b", "age_corrected": r"age[\s-]*corrected", "uncorrected": r"uncorrected", "t_score": r"t[\s-]*scores?\b|tscore", "percentile": r"percentile", "prorated": r"prorated", "raw": r"\braw\b", "sum": r"\bsum\b|\btotal\b", "mean": r"\bmean\b|\baverage\b", "z_score": r"\bz[\s-]*scores?\b|standardi[sz]ed", "computed": r"computed"}
+PAPER_METRICS = {"fully_corrected": r"fully[\s-]*corrected", "age_corrected": r"age[\s-]*corrected|age[\s-]*adjusted", "uncorrected": r"uncorrected", "t_score": r"t[\s-]*scores?\b", "percentile": r"percentile", "prorated": r"prorated", "raw": r"\braw\s+scores?\b", "sum": r"\bsum\s+scores?\b|\btotal\s+scores?\b|\bsum\s+of\b", "mean": r"\bmean\b|\baverage\b", "z_score": r"\bz[\s-]*scores?\b|standardi[sz]ed"}
+QUALIFIERS = ["prorated", "percentile", "theta", "computed"]
+LABEL_RESPONDENTS = {"parent": r"\[parent\]|\bparent(?:al)?[\s-]*report|\bcaregiver\b|\bparent\b", "youth": r"\[youth\]|\byouth[\s-]*report|\bchild[\s-]*report|\bself[\s-]*report|\byouth\b", "teacher": r"\bteacher\b"}
+NAME_RESPONDENTS = {"parent": r"_p(?:_|$)", "youth": r"_y(?:_|$)"}
+PAPER_RESPONDENTS = {"parent": r"\bparent(?:s|al|ing)?[\s-]*(?:report|rated|reported|version)?\b|\bcaregiver\b|\bprimary caregiver\b", "youth": r"\byouth[\s-]*(?:report|rated|reported)?\b|\bchild(?:ren)?[\s-]*(?:report|rated|reported|completed)\b|\bself[\s-]*report\b|\badolescent[\s-]*report\b", "teacher": r"\bteacher[\s-]*(?:report|rated|reported)?\b"}
+
+
+def _named(text: Column, patterns: dict[str, str]) -> Column:
+    """All names whose pattern a text holds."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){rx}"), F.lit(name)) for name, rx in patterns.items()]))
+
+
+def _first_named(text: Column, patterns: dict[str, str]) -> Column:
+    return F.get(_named(text, patterns), 0)
+
+
+def _sole_named(text: Column, patterns: dict[str, str]) -> Column:
+    """What one pattern alone names: a wording that names several says nothing."""
+    found = _named(text, patterns)
+    return F.when(F.size(found) == 1, F.get(found, 0))
+
+
+def row_cues(rows: DataFrame) -> DataFrame:
+    """(row, respondent, metrics, penalty, question): what a dictionary row's name and label tell, typed.
+
+    penalty is for names of items and labels of administration; question is what a label that is a question loses, more
+    the longer it is, unless a mention is a question too.
+    """
+    name, label = F.coalesce("name", F.lit("")), F.coalesce("label", F.lit(""))
+    n = F.size("tokens")
+    long = F.least(F.lit(1.0), (n - LONG_TOKENS) / LONG_TOKENS) * LONG_QUESTION
+    asks = F.regexp_replace(label, r"\s+$", "").endswith("?")
+    respondent = F.coalesce(_first_named(label, LABEL_RESPONDENTS), _first_named(F.lower(name), NAME_RESPONDENTS))
+    penalty = F.when(name.rlike(ITEM_NAME), ITEM).otherwise(0.0) + F.when(label.rlike(ADMINISTRATION_LABEL) | name.rlike(NO_ANSWER_NAME), ADMINISTRATION).otherwise(0.0)
+    question = F.when(asks, QUESTION + F.when(n > LONG_TOKENS, long).otherwise(0.0)).otherwise(0.0)
+    return rows.select("row", respondent.alias("respondent"), _named(label, LABEL_METRICS).alias("metrics"), penalty.alias("penalty"), question.alias("question"))
+
+
+def mention_cues(mentions: DataFrame) -> DataFrame:
+    """(mention, wanted, asked, is_question): the respondent that a paper names, in the wording before the context, its metrics, and whether it asks."""
+    text = F.concat_ws(" ", "text", F.nullif("auxiliary", F.lit("")))
+    context = F.coalesce("context", F.lit(""))
+    stated = [F.nullif("respondent", F.lit(""))] if "respondent" in mentions.columns else []
+    wanted = F.coalesce(*stated, _sole_named(text, PAPER_RESPONDENTS), _sole_named(context, PAPER_RESPONDENTS))
+    return mentions.select("mention", wanted.alias("wanted"), _named(F.concat(text, F.lit(" "), context), PAPER_METRICS).alias("asked"), F.coalesce(F.col("text").contains("?"), F.lit(False)).alias("is_question"))
+
+
+def cued(found: DataFrame, mentions: DataFrame, rows: DataFrame) -> DataFrame:
+    """scores with all that wordings and names tell of respondent, metric, administration, item, question, length and qualifier.
+
+    ``found`` of scores has the four terms of words; cues are taken once a row and once a mention and met where both are.
+    """
+    both = found.join(row_cues(rows), "row").join(mention_cues(mentions), "mention")
+    who = F.when(F.col("respondent") == F.col("wanted"), RESPONDENT).when(F.col("respondent") != F.col("wanted"), OTHER_RESPONDENT).otherwise(0.0)
+    metric = F.when(F.size("asked") == 0, 0.0).when(F.arrays_overlap("asked", "metrics"), METRIC).when(F.size("metrics") > 0, OTHER_METRIC).otherwise(0.0)
+    unasked = F.exists("metrics", lambda m: m.isin(*QUALIFIERS) & ~F.array_contains("asked", m))
+    terms = who + metric + F.col("penalty") + F.when(F.col("is_question"), 0.0).otherwise(F.col("question")) + F.when(unasked, UNASKED).otherwise(0.0)
+    return both.withColumn("score", F.round(F.col("score") + terms, 6)).select(*found.columns)
+
+
 def merged_releases(found: DataFrame) -> DataFrame:
     """One candidate a study and variable: the best of its releases, with the list of them."""
     best = F.max_by(F.struct("table", "domain", "score", "coverage"), F.struct("score", -F.col("row"))).alias("x")

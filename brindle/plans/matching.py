@@ -129,7 +129,30 @@ FREQUENCIES = f"WITH {_CTX} SELECT token, df, round(idf, 6) AS idf FROM i"
 
 def context_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """What wordings of papers name in the dictionary; no SQL: stems and folds; a test has brute force."""
-    return context.decided(context.merged_releases(context.scores(_asked(spark, sf), _dictionary(spark, sf))))
+    asked, rows = _asked(spark, sf), _dictionary(spark, sf)
+    return context.decided(context.merged_releases(context.cued(context.scores(asked, rows), asked, rows)))
+
+
+def context_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """what names and labels of a dictionary and wordings of papers tell: respondent, metrics, administration, items, questions."""
+    rows = read(spark, sf, "part").selectExpr("p_partkey AS row", "concat('fes', CASE p_size % 3 WHEN 0 THEN '_p_' WHEN 1 THEN '_y_' ELSE '_x_' END, 'ss', CASE p_size % 4 WHEN 0 THEN '_12' WHEN 1 THEN '_dk' ELSE '_fc' END) AS name", "concat(p_name, CASE p_size % 5 WHEN 0 THEN ' total score prorated' WHEN 1 THEN ' T-Scores' WHEN 2 THEN ' number answered' ELSE '' END, CASE WHEN p_size % 7 = 0 THEN ' [Youth]' ELSE '' END, CASE WHEN p_size % 6 = 0 THEN ' one two three four five six seven eight nine ten?' ELSE '' END) AS label")
+    mentions = read(spark, sf, "part").selectExpr("p_partkey AS mention", "concat(p_name, CASE WHEN p_size % 2 = 0 THEN ' parent-reported' ELSE '' END, CASE WHEN p_size % 9 = 0 THEN '?' ELSE '' END) AS text", "CASE WHEN p_size % 3 = 0 THEN 'T-score' ELSE '' END AS auxiliary", "CASE WHEN p_size % 5 = 0 THEN 'youth-rated mean of the sum scores' END AS context")
+    own = context.row_cues(context.dictionary(rows))
+    both = own.join(context.mention_cues(mentions), F.col("row") == F.col("mention"))
+    return both.select("row", "respondent", F.array_join("metrics", ",").alias("metrics"), F.round("penalty", 6).alias("penalty"), F.round("question", 6).alias("question"), "wanted", F.array_join("asked", ",").alias("asked"), "is_question")
+
+
+CUES = """
+WITH p AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda t: length(t) > 2)) AS own FROM part),
+c AS (SELECT *, own + CASE p_size % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END + 10 AS n FROM p)
+SELECT p_partkey AS row, CASE WHEN p_size % 7 = 0 THEN 'youth' WHEN p_size % 3 = 0 THEN 'parent' WHEN p_size % 3 = 1 THEN 'youth' END AS respondent,
+       CASE p_size % 5 WHEN 0 THEN 'prorated,sum' WHEN 1 THEN 't_score' ELSE '' END AS metrics,
+       round(CASE WHEN p_size % 4 = 0 THEN -0.10 ELSE 0 END + CASE WHEN p_size % 5 = 2 OR p_size % 4 = 1 THEN -0.22 ELSE 0 END, 6)::DOUBLE AS penalty,
+       round(CASE WHEN p_size % 6 = 0 THEN -0.18 + CASE WHEN n > 12 THEN least(1.0, (n - 12) / 12.0) * -0.20 ELSE 0 END ELSE 0 END, 6)::DOUBLE AS question,
+       CASE WHEN p_size % 2 = 0 THEN 'parent' WHEN p_size % 5 = 0 THEN 'youth' END AS wanted,
+       concat_ws(',', CASE WHEN p_size % 3 = 0 THEN 't_score' END, CASE WHEN p_size % 5 = 0 THEN 'sum,mean' END) AS asked, p_size % 9 = 0 AS is_question
+FROM c
+"""
 
 
 def instrument_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,6 +190,7 @@ QUERIES = {
     "text_abbreviations": (text_abbreviations, ABBREVIATIONS),
     "context_frequencies": (context_frequencies, FREQUENCIES),
     "context_decisions": (context_decisions, None),
+    "context_cues": (context_cues, CUES),
     "instrument_index": (instrument_index, INSTRUMENTS),
     "release_choice": (release_choice, RELEASES),
 }

@@ -109,11 +109,11 @@ def encoded(vectors: DataFrame, dims: int, scale: int, width: int = WIDTH) -> Da
     return cut(vectors.mapInArrow(encode, _ENCODED), "subvectors")
 
 
-def starts(vectors: DataFrame, clusters: int, scale: int) -> np.ndarray:
+def starts(vectors: DataFrame, clusters: int, dims: int, scale: int) -> np.ndarray:
     """The vectors of the ``clusters`` smallest sha256 of ``1:<id>``."""
     order = F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")), 256)
     first = vectors.where("id is not null").orderBy(order, "vector").limit(clusters).collect()
-    return whole(np.array([row["vector"] for row in first], np.float64).reshape(len(first), -1), scale)
+    return whole(np.array([row["vector"] for row in first], np.float64).reshape(len(first), dims), scale)
 
 
 def moved(chunks: DataFrame, centroids: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -156,7 +156,7 @@ def clustered(rows: DataFrame, clusters: int = 16, rounds: int = 3, dims: int =
     vectors = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = vectors.where((F.size("vector") == dims) & finite)
-    centroids = starts(vectors, clusters, scale)
+    centroids = starts(vectors, clusters, dims, scale)
     shape = "id long, cluster int, distance long, cluster_inertia long, inertia long, centroid array<long>"
     if not len(centroids):  # none has an id: nothing to be near to
         return vectors.sparkSession.createDataFrame([], shape)

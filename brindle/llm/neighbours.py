@@ -8,11 +8,11 @@ leaves are compared exactly, in double precision.
 Every row goes to its bucket of leaves once, and no more: a task holds one bucket, about ``BUCKET_ROWS`` rows, while queries
 stream by, each with the list of leaves it wants there. Of rows with the
 same vector only the ``k`` + 1 smallest ids are indexed, as no others can be among the nearest of any row; equal
-queries are searched once. The sample has at most ``SAMPLE_ROWS`` rows, leaves have about ``LEAF_ROWS`` rows of the table
+queries are searched once. The sample has at most ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES``, leaves have about ``LEAF_ROWS`` rows of the table
 while the table has fewer than ``SAMPLE_ROWS * LEAF_ROWS / 2`` rows, and grow with it beyond.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
-another length than most; fewer than ``k`` candidates give fewer rows; an empty table gives an empty result; rows of one
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of
+different lengths are searched apart, each length by itself; fewer than ``k`` candidates give fewer rows; an empty table gives an empty result; rows of one
 id are one query and one candidate, with the best score of any of their vectors; ties go to smaller ids; other columns
 are ignored, whatever their names.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +35,10 @@ TREES = 3
 SHARE = 0.95
 LEAF_ROWS = 256
 SAMPLE_ROWS = 65_536
+#: Bytes of the sample's vectors; the trees' normals, fewer than one for two of its rows and tree, follow it.
+SAMPLE_BYTES = 64 << 20
 BUCKET_ROWS = 65_536
+RESULT = "query_id long, rank int, id long, score double"
 #: Queries of a task that are compared at once.
 STEP = 4096
 
@@ -118,8 +122,7 @@ def valid(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     sound = F.forall("v", lambda x: x.isNotNull() & (x == x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(sound, F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("v") == sizes[0]["n"]) if sizes else rows
+    return rows
 
 
 def _placed(rows: DataFrame, shared, buckets: int) -> DataFrame:
@@ -225,16 +228,32 @@ def _compared(k: int):
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, share: float = SHARE, seed: int = 11) -> DataFrame:
-    """(query_id, rank, id, score): for every row for which ``is_query`` (over a column ``id``) holds, its ``k`` nearest."""
-    spark = table.sparkSession
+    """(query_id, rank, id, score): for every row for which ``is_query`` (over a column ``id``) holds, its ``k`` nearest.
+
+    A cosine is of vectors of one length, so each length is an index of its own.
+    """
     rows = valid(table, id_col, vector_col)
+    lengths = sorted(row["n"] for row in rows.select(F.size("v").alias("n")).distinct().collect())
+    parts = [_of_length(rows.where(F.size("v") == n), is_query, k, trees, share, seed) for n in lengths]
+    found = reduce(DataFrame.unionByName, parts) if parts else table.sparkSession.createDataFrame([], RESULT)
+    if len(parts) < 2:
+        return found
+    # An id with vectors of several lengths is one query, and one candidate with its best score.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int")
+    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score")).select("query_id", place.alias("rank"), "id", "score")
+    return best.where(F.col("rank") <= k)
+
+
+def _of_length(rows: DataFrame, is_query: Column, k: int, trees: int, share: float, seed: int) -> DataFrame:
+    """The ``k`` nearest among rows (id, v) of one length."""
+    spark = rows.sparkSession
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     index = cut(rows.withColumn("r", rank).where(F.col("r") <= k + 1).select("id", "v"), "vectors")
     n = index.count()
-    schema = "query_id long, rank int, id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
-    sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+        return spark.createDataFrame([], RESULT)
+    most = max(256, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * len(index.select("v").first()["v"]))))
+    sample = index.orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
     units = _units(_matrix(sample["v"].combine_chunks()))
     leaf = max(2, round(min(LEAF_ROWS, max(8, n / 64)) * len(units) / n))
     random = np.random.default_rng(seed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import mentions as m
+from brindle.operators import mentions as m, synthesis
 from brindle.operators import roles
 from brindle.sources.tables import read
 
@@ -240,7 +240,58 @@ def claim_sides(spark: SparkSession, sf: str) -> DataFrame:
 
 CLAIMS = "SELECT l_partkey AS claim, count(DISTINCT l_orderkey) FILTER (l_returnflag <> 'R') AS supporting, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'R') AS contradicting, coalesce(string_agg(DISTINCT CASE WHEN l_discount = 0 THEN 'no effect size' WHEN l_tax > 0.06 THEN 'subgroup' END, '; '  ORDER BY CASE WHEN l_discount = 0 THEN 'no effect size' WHEN l_tax > 0.06 THEN 'subgroup' END), '') AS caveats FROM lineitem GROUP BY 1"
 
+_KINDS = ["declared", "model", "study", "measure", "finding", "involves"]
+_ROLES = ["predictor", "outcome", "mediator", "moderator", "covariate"]
+
+
+def _facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as facts: orders are papers, parts constructs, suppliers variables."""
+    lines = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("l_partkey") + F.col("l_linenumber")) % 6)
+    role = F.when(F.col("l_suppkey") % 3 == 0, F.get(F.array(*[F.lit(r) for r in _ROLES]), F.col("l_suppkey") % 5)).when(F.col("l_linenumber") < 4, F.get(F.array(*[F.lit(r) for r in _ROLES]), F.col("l_linenumber") % 5))
+    direction = F.when(F.col("l_partkey") % 4 == 0, "positive").when(F.col("l_returnflag") == "R", "negative").when(F.col("l_returnflag") == "A", "null").when(F.col("l_returnflag") == "N", "positive")
+    facts = lines.select(kind.alias("kind"), F.col("l_orderkey").alias("paper"), (F.col("l_partkey") % 500).alias("construct"), F.col("l_suppkey").alias("variable"), role.alias("role"), direction.alias("direction"))
+    facts = facts.withColumns({"construct": F.when(F.col("kind").isin("study", "measure", "finding", "involves"), F.col("construct")), "variable": F.when(~F.col("kind").isin("study", "finding"), F.col("variable"))})
+    return facts, read(spark, sf, "supplier").where("s_suppkey % 2 = 0").selectExpr("s_suppkey AS variable", "concat('t', s_nationkey) AS table")
+
+
+def synthesis_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Constructs, variables and links between them over all papers, counted at all levels in one pass, with their verdicts."""
+    return synthesis.synthesis(*_facts(spark, sf))[0]
+
+
+def synthesis_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of the whole synthesis."""
+    return synthesis.synthesis(*_facts(spark, sf))[1]
+
+
+_SYNTHESIS = f"""
+WITH raw AS (SELECT {_KINDS}[(l_partkey + l_linenumber) % 6 + 1] AS kind, l_orderkey AS paper, l_partkey % 500 AS part, l_suppkey AS supplier, CASE WHEN l_suppkey % 3 = 0 THEN {_ROLES}[l_suppkey % 5 + 1] WHEN l_linenumber < 4 THEN {_ROLES}[l_linenumber % 5 + 1] END AS role,
+             CASE WHEN l_partkey % 4 = 0 THEN 'positive' WHEN l_returnflag = 'R' THEN 'negative' WHEN l_returnflag = 'A' THEN 'null' WHEN l_returnflag = 'N' THEN 'positive' END AS direction FROM lineitem),
+f AS (SELECT kind, paper, CASE WHEN kind NOT IN ('declared', 'model') THEN part END AS construct, CASE WHEN kind NOT IN ('study', 'finding') THEN supplier END AS variable, role, direction FROM raw),
+lv AS (SELECT CASE WHEN grouping(construct) = 1 AND grouping(variable) = 1 THEN 'all' WHEN grouping(variable) = 1 THEN 'construct' WHEN grouping(construct) = 1 THEN 'variable' ELSE 'link' END AS level, construct, variable, count(DISTINCT paper) AS papers,
+       count(DISTINCT paper) FILTER (kind = 'declared') AS declared, count(DISTINCT paper) FILTER (kind = 'measure') AS measured, count(DISTINCT paper) FILTER (kind = 'involves') AS involved, count(*) FILTER (kind = 'declared') AS uses, count(*) FILTER (kind = 'finding') AS findings
+       FROM f GROUP BY GROUPING SETS ((construct), (variable), (construct, variable), ())),
+l AS (SELECT * FROM lv WHERE level = 'all' OR (level = 'construct' AND construct IS NOT NULL) OR (level = 'variable' AND variable IS NOT NULL) OR (level = 'link' AND construct IS NOT NULL AND variable IS NOT NULL)),
+c AS (SELECT DISTINCT construct, paper, CASE WHEN kind = 'finding' THEN coalesce(direction, 'unspecified') END AS direction FROM f WHERE construct IS NOT NULL),
+a AS (SELECT construct, count(DISTINCT paper) FILTER (direction IS NOT NULL) AS directed, count(*) FILTER (direction = 'positive') AS positive, count(*) FILTER (direction = 'negative') AS negative, count(*) FILTER (direction = 'null') AS neutral FROM c GROUP BY 1),
+cv AS (SELECT construct, CASE WHEN positive + negative + neutral = 0 THEN 0.0 ELSE round_even(greatest(positive, negative, neutral) / (positive + negative + neutral), 3) END AS agreement,
+       CASE WHEN directed = 0 THEN 'no_directional_finding' WHEN directed < 2 THEN 'insufficient_papers' WHEN positive > 0 AND negative > 0 THEN 'divergent' WHEN positive + negative + neutral > 0 AND greatest(positive, negative, neutral) / (positive + negative + neutral) >= 0.7 THEN 'consensus' ELSE 'mixed' END AS verdict FROM a),
+p AS (SELECT DISTINCT variable, paper, CASE WHEN kind IN ('declared', 'model') THEN coalesce(role, 'unspecified') WHEN role IN ('mediator', 'moderator') THEN role ELSE 'unspecified' END AS role FROM f WHERE variable IS NOT NULL),
+n AS (SELECT variable, count(DISTINCT paper) AS papers FROM p GROUP BY 1), s AS (SELECT * FROM p WHERE role <> 'unspecified'), o AS (SELECT variable, paper, count(*) AS roles FROM s GROUP BY 1, 2),
+r AS (SELECT s.variable, role, count(*) AS n, count(*) FILTER (roles = 1) AS alone, count(*) OVER (PARTITION BY s.variable) AS claimed, row_number() OVER (PARTITION BY s.variable ORDER BY count(*) DESC, role) AS k FROM s JOIN o USING (variable, paper) GROUP BY 1, 2),
+vv AS (SELECT variable, role AS dominant_role, round_even(coalesce(n, 0) / papers, 3) AS agreement, CASE WHEN papers < 2 THEN 'insufficient_papers' WHEN n / papers >= 0.7 AND alone / papers >= 0.7 THEN 'consistent_role' WHEN claimed > 1 THEN 'contested_role' WHEN role IS NOT NULL THEN 'mixed' ELSE 'unspecified_role' END AS verdict FROM n LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (variable)),
+w AS (SELECT l.*, coalesce(cv.agreement, vv.agreement) AS agreement, coalesce(cv.verdict, vv.verdict) AS verdict, dominant_role, CASE WHEN s_suppkey % 2 = 0 THEN 't' || s_nationkey END AS "table"
+      FROM l LEFT JOIN cv ON level = 'construct' AND cv.construct = l.construct LEFT JOIN vv ON level = 'variable' AND vv.variable = l.variable LEFT JOIN supplier ON level = 'variable' AND s_suppkey = l.variable)
+"""
+LEVELS = _SYNTHESIS + "SELECT level, construct, variable, papers, declared, measured, involved, uses, findings, agreement, verdict, dominant_role, \"table\" FROM w"
+TOTALS = _SYNTHESIS + """SELECT max(papers) FILTER (level = 'all') AS papers, max(uses) FILTER (level = 'all') AS variable_uses, max(findings) FILTER (level = 'all') AS findings, count(*) FILTER (level = 'variable') AS distinct_variables, count(*) FILTER (level = 'construct') AS distinct_constructs, count(*) FILTER (level = 'link') AS links,
+count(*) FILTER (level = 'variable' AND "table" IS NOT NULL) AS variables_with_table, count(*) FILTER (level = 'construct' AND verdict = 'consensus') AS consensus_constructs, count(*) FILTER (level = 'construct' AND verdict = 'divergent') AS divergent_constructs,
+count(*) FILTER (verdict = 'consistent_role' AND dominant_role = 'mediator') AS consistent_mediators, count(*) FILTER (verdict = 'consistent_role' AND dominant_role = 'moderator') AS consistent_moderators, count(*) FILTER (verdict = 'contested_role') AS contested_roles FROM w"""
+
 QUERIES = {
+    "synthesis_levels": (synthesis_levels, LEVELS),
+    "synthesis_totals": (synthesis_totals, TOTALS),
     "mention_groups": (mention_groups, GROUPS),
     "mention_sentences": (mention_sentences, SENTENCES),
     "unified_mappings": (unified_mappings, UNIFIED),

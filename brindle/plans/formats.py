@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.sources import files, formats
+from brindle.sources import files, formats, turtle
 from brindle.sources.shared import shared_dir
 from brindle.sources.tables import read
 
@@ -104,6 +104,34 @@ def triple_files(spark: SparkSession, sf: str) -> DataFrame:
 TRIPLES = r"""SELECT 'http://x/c' || c_custkey AS s, 'http://x/in' AS p, CASE WHEN c_custkey % 2 = 0 THEN 'http://x/n' || c_nationkey ELSE '"' || c_name || ' \"q\""' END AS o FROM customer"""
 
 
+def turtle_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph in Turtle, with prefixes, blank nodes, lists and typed literals, read, written as Turtle and read again."""
+    form = "@prefix x: <http://x/> .\n# customer %s\nx:c%s a x:Customer ; x:name \"%s\"@en, '''it's \"%s\"''' ; x:balance %se0 ; x:key %s ;\n  x:at [ x:nation x:n%s ; x:good %s ] ; x:tags ( x:%s \"%s\"^^x:tag ) ;\n."
+    key = F.col("c_custkey").cast("string")
+    good = F.when(F.col("c_acctbal") > 0, "true").otherwise("false")
+    text = F.format_string(form, key, key, "c_name", key, F.col("c_acctbal").cast("string"), key, F.col("c_nationkey").cast("string"), good, F.lower("c_mktsegment"), (F.col("c_custkey") % 7).cast("string"))
+    source, copy = _path(spark, "turtle"), _path(spark, "turtle")
+    read(spark, sf, "customer").select(text.alias("value")).write.text(source)
+    turtle.write_turtle(turtle.graph_files(spark, f"{source}/*.txt"), copy)
+    found = turtle.graph_files(spark, f"{copy}/*.txt").where("problem is null")
+    inner = found.where("s like '_:%'").select(F.col("s").alias("b"), F.col("p").alias("q"), F.col("o").alias("v"))
+    bare = found.where("s not like '_:%'").join(inner, F.col("o") == F.col("b"), "left")
+    # A blank node is told by what it leads to; the rest of a list, a blank node again, by its first.
+    rest = inner.select(F.col("b").alias("r"), F.col("v").alias("w")).where(F.col("q") == turtle.RDF + "first")
+    told = bare.join(rest, F.col("v") == F.col("r"), "left")
+    return told.select("s", "p", F.when(F.col("b").isNull(), F.col("o")).otherwise(F.concat(F.lit("["), F.regexp_replace("q", "^.*[#/]", ""), F.lit(" "), F.coalesce("w", "v"), F.lit("]"))).alias("o"))
+
+
+TURTLE = """
+WITH c AS (SELECT *, 'http://x/c' || c_custkey AS s FROM customer)
+SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://x/Customer' AS o FROM c UNION ALL SELECT s, 'http://x/name', '"' || c_name || '"@en' FROM c
+UNION ALL SELECT s, 'http://x/name', '"it''s \\"' || c_custkey || '\\""' FROM c UNION ALL SELECT s, 'http://x/balance', '"' || c_acctbal || 'e0"^^<http://www.w3.org/2001/XMLSchema#double>' FROM c
+UNION ALL SELECT s, 'http://x/key', '"' || c_custkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>' FROM c UNION ALL SELECT s, 'http://x/at', '[nation http://x/n' || c_nationkey || ']' FROM c
+UNION ALL SELECT s, 'http://x/at', '[good "' || CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END || '"^^<http://www.w3.org/2001/XMLSchema#boolean>]' FROM c
+UNION ALL SELECT s, 'http://x/tags', '[first http://x/' || lower(c_mktsegment) || ']' FROM c UNION ALL SELECT s, 'http://x/tags', '[rest "' || c_custkey % 7 || '"^^<http://x/tag>]' FROM c
+"""
+
+
 def article_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of articles in two forms of XML, with headings, captions and tables in their order."""
     rows = read(spark, sf, "part").selectExpr("p_partkey", "concat('<article><front><article-title>On ', p_name, '</article-title><abstract><p>We  saw</p></abstract></front><body><sec><title>Methods</title><p>Used ', p_brand, '</p><fig><caption><p>Fig ', p_size, '</p></caption></fig><table><tr><td>1</td><td>2</td></tr></table></sec></body></article>') AS jats", "concat('<TEI><text><body><div><head>Intro</head><p>', p_name, '  here</p></div><div><head>End</head><p>', p_type, '</p></div></body></text></TEI>') AS tei")
@@ -165,6 +193,7 @@ SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 2
 """
 
 QUERIES = {
+    "turtle_graph": (turtle_graph, TURTLE),
     "csv_round_trip": (csv_round_trip, CSV),
     "json_files": (json_files, JSONS),
     "results_log": (results_log, LOG),

@@ -128,11 +128,11 @@ UNION ALL SELECT 'share', round(100.0::DOUBLE * count(*) FILTER (o_orderstatus =
 
 
 def reverse_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Which fields have a value that exactly eight parts have."""
-    return claims.having(read(spark, sf, "part"), 8, ["p_brand", "p_type", "p_size", "p_name"])
+    """Which fields have a value that exactly eight orders have."""
+    return claims.having(read(spark, sf, "orders"), 8, ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-REVERSE = "SELECT field, value FROM (SELECT 'p_brand' AS field, p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', p_size::VARCHAR FROM part UNION ALL SELECT 'p_name', p_name FROM part) GROUP BY 1, 2 HAVING count(*) = 8"
+REVERSE = "SELECT field, value FROM (SELECT 'o_custkey' AS field, o_custkey::VARCHAR AS value FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders) GROUP BY 1, 2 HAVING count(*) = 8"
 
 
 def review_flow(spark: SparkSession, sf: str) -> DataFrame:

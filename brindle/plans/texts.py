@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import spans
+from brindle.operators import markdown, spans
 from brindle.sources.formats import masked
 from brindle.sources.tables import read
 
@@ -44,7 +44,25 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 SENTENCES = r"SELECT lang, sum(len(regexp_extract_all(text, '[.!?]\s+[A-Z]')))::BIGINT AS ends FROM documents GROUP BY 1"
 
+def markdown_units(spark: SparkSession, sf: str) -> DataFrame:
+    """what reports in Markdown claim: sentences, table rows and captions, without code, comments, lists of references and appendices."""
+    form = "---\ntitle: x\n---\n# On %s\nWe saw %s in Fig. 2 there. It was\n```\nNo claim at all here.\n```\n- about %s of them et al. Then more text came.\n<!-- nor this one here -->\n\n| Name | Size | Kind |\n|---|:--:|---|\n| %s | %s | |\n| x | | y | z |\n![A figure of %s](a.png)\n**Table 3.** Sizes of all\n## References\n1. Not a claim of any kind.\n| a | b |\n| c | d |\n## End\nToo short.\nBut this is kept here\n<!-- sidecar: a.md sha256=" + "0" * 64 + " -->\nNothing is kept after that."
+    size = F.col("p_size").cast("string")
+    rows = read(spark, sf, "part").select("p_partkey", F.format_string(form, "p_brand", "p_name", size, "p_type", size, "p_brand").alias("text"))
+    return markdown.units(rows, "p_partkey", "text").withColumnRenamed("id", "p_partkey")
+
+
+MARKDOWN = """
+WITH u AS (SELECT p_partkey, unnest([
+  {'at': 8, 'part': 0, 'kind': 'prose', 'location': 'On ' || p_brand, 'text': 'We saw ' || p_name || ' in Fig. 2 there.'}, {'at': 8, 'part': 1, 'kind': 'prose', 'location': 'On ' || p_brand, 'text': 'It was about ' || p_size || ' of them et al. Then more text came.'},
+  {'at': 14, 'part': 1, 'kind': 'table', 'location': 'On ' || p_brand, 'text': 'Name: ' || p_type || '; Size: ' || p_size}, {'at': 14, 'part': 2, 'kind': 'table', 'location': 'On ' || p_brand, 'text': 'Name: x; Kind: y'},
+  {'at': 15, 'part': 0, 'kind': 'caption', 'location': 'On ' || p_brand, 'text': 'A figure of ' || p_brand}, {'at': 16, 'part': 0, 'kind': 'caption', 'location': 'On ' || p_brand, 'text': 'Table 3. Sizes of all'},
+  {'at': 20, 'part': 0, 'kind': 'table', 'location': 'References', 'text': 'a: c; b: d'}, {'at': 23, 'part': 1, 'kind': 'prose', 'location': 'End', 'text': 'But this is kept here'}]) AS u FROM part)
+SELECT p_partkey, u.at, u.part, u.kind, u.location, u.text FROM u
+"""
+
 QUERIES = {
+    "markdown_units": (markdown_units, MARKDOWN),
     "span_repair": (span_repair, None),
     "mask_spans": (mask_spans, None),
     "html_to_units": (html_to_units, None),

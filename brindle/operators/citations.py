@@ -117,6 +117,41 @@ def duplicate_basis(rows: DataFrame, distinct: DataFrame | None = None) -> DataF
     return found.join(resolved, ["a", "b"], "left_anti")
 
 
+#: Fields that an entry of a corpus must have, in the order in which they are told.
+REQUIRED = ["title", "authors", "year", "abstract", "full_text"]
+
+
+def completeness(entries: DataFrame) -> DataFrame:
+    """V4: (id, needs, guessed, status): what an entry (id, title, authors, year, abstract, full_text, doi, guesses) lacks.
+
+    needs lists the empty required fields; an entry with a DOI that only lacks its text is ``retrieve``, others that lack
+    something ``needs``; one that lacks nothing but has guessed fields is ``verify``, else ``ok``.
+    """
+    empty = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    needs = F.array_compact(F.array(*[F.when(empty(c), F.lit(c)) for c in REQUIRED]))
+    told = entries.withColumns({"needs": needs, "guessed": F.coalesce("guesses", F.array().cast("array<string>"))})
+    only_text = (F.size("needs") == 1) & (F.get("needs", 0) == "full_text") & ~empty("doi")
+    status = F.when(only_text, "retrieve").when(F.size("needs") > 0, "needs").when(F.size("guessed") > 0, "verify").otherwise("ok")
+    return told.select("id", F.array_join("needs", ", ").alias("needs"), F.array_join("guessed", ", ").alias("guessed"), status.alias("status"))
+
+
+def corpus_gate(complete: DataFrame, links: DataFrame, distinct: DataFrame, verdict: DataFrame) -> DataFrame:
+    """V4: (entries, incomplete, no_text, guessed, unresolved, verdict): whether a corpus may be reviewed.
+
+    Incomplete entries and pairs that look like one study and are not known to be distinct fail it; so does the verdict of
+    its identifiers (one row, FAIL, INCOMPLETE or PASS), which is asked only of complete entries. links: (a, b) either way.
+    """
+    pair = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_pairs = pair(links).join(pair(distinct), ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("unresolved"))
+    lacks = F.col("needs") != ""
+    counts = complete.agg(F.count(F.lit(1)).alias("entries"), F.count_if(lacks).alias("incomplete"), F.count_if(F.array_contains(F.split("needs", ", "), "full_text")).alias("no_text"), F.count_if(~lacks & (F.col("guessed") != "")).alias("guessed"))
+    # Three tables of one row each.
+    one = F.lit(1).alias("_")
+    whole = counts.select("*", one).join(open_pairs.select("*", one), "_").join(verdict.select(F.col("verdict").alias("identifiers"), one), "_").drop("_")
+    told = F.when((F.col("incomplete") > 0) | (F.col("unresolved") > 0) | (F.col("identifiers") == "FAIL"), "FAIL").when(F.col("identifiers") != "PASS", "INCOMPLETE").otherwise("PASS")
+    return whole.withColumn("verdict", told)
+
+
 def overlaps(reports: DataFrame, grouped: DataFrame, distinct: DataFrame) -> DataFrame:
     """(basis, reports) of reports that may be of one study, by a shared trial id or first author and sample size.
 

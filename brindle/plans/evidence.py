@@ -212,6 +212,32 @@ def duplicate_studies(spark: SparkSession, sf: str) -> DataFrame:
     return citations.duplicate_studies(rows)
 
 
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as entries of a corpus."""
+    return citations.completeness(read(spark, sf, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 11 > 0 THEN c_name END AS title", "CASE WHEN c_custkey % 7 > 0 THEN 'A, B' ELSE ' ' END AS authors", "CASE WHEN c_custkey % 5 > 0 THEN 2000 + c_nationkey END AS year", "c_mktsegment AS abstract", "CASE WHEN c_custkey % 4 > 0 THEN 'text' ELSE '' END AS full_text", "CASE WHEN c_custkey % 3 > 0 THEN '10.5/x' END AS doi", "CASE WHEN c_custkey % 6 = 1 THEN array('year', 'title') END AS guesses"))
+
+
+def corpus_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: what each entry of a corpus lacks, and what is to be done about it."""
+    return _corpus(spark, sf)
+
+
+_NEEDS = """SELECT c_custkey AS id, concat_ws(', ', CASE WHEN c_custkey % 11 = 0 THEN 'title' END, CASE WHEN c_custkey % 7 = 0 THEN 'authors' END, CASE WHEN c_custkey % 5 = 0 THEN 'year' END, CASE WHEN trim(coalesce(c_mktsegment, '')) = '' THEN 'abstract' END, CASE WHEN c_custkey % 4 = 0 THEN 'full_text' END) AS needs,
+CASE WHEN c_custkey % 6 = 1 THEN 'year, title' ELSE '' END AS guessed, c_custkey % 3 > 0 AS has_doi FROM customer"""
+COMPLETE = f"SELECT id, needs, guessed, CASE WHEN needs = 'full_text' AND has_doi THEN 'retrieve' WHEN needs <> '' THEN 'needs' WHEN guessed <> '' THEN 'verify' ELSE 'ok' END AS status FROM ({_NEEDS})"
+
+
+def corpus_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: whether the corpus may be reviewed: complete, without open duplicates, its identifiers verified."""
+    links = read(spark, sf, "customer").where("c_custkey % 9 = 0").selectExpr("c_custkey AS a", "c_custkey + 1 AS b")
+    distinct = read(spark, sf, "customer").where("c_custkey % 18 = 0").selectExpr("c_custkey + 1 AS a", "c_custkey AS b")
+    return citations.corpus_gate(_corpus(spark, sf), links, distinct, registry_verdict(spark, sf))
+
+
+CORPUS_VERDICT = f"""SELECT count(*) AS entries, count(*) FILTER (needs <> '') AS incomplete, count(*) FILTER (needs LIKE '%full_text') AS no_text, count(*) FILTER (needs = '' AND guessed <> '') AS guessed,
+(SELECT count(*) FROM customer WHERE c_custkey % 18 = 9) AS unresolved, 'FAIL' AS identifiers, 'FAIL' AS verdict FROM ({_NEEDS})"""
+
+
 def registry_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of references against a registry's record."""
     return _registry(spark, sf)[1]
@@ -304,6 +330,8 @@ QUERIES = {
     "one_work": (one_work, WORKS),
     "duplicate_entries": (duplicate_entries, DUPLICATES),
     "duplicate_studies": (duplicate_studies, None),
+    "corpus_completeness": (corpus_completeness, COMPLETE),
+    "corpus_verdict": (corpus_verdict, CORPUS_VERDICT),
     "registry_checks": (registry_checks, REGISTRY),
     "registry_verdict": (registry_verdict, VERDICT),
     "citation_numbers": (citation_numbers, NUMBERS),

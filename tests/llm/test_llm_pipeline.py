@@ -92,4 +92,4 @@ def test_columns_of_queries(spark, folder):
     assert queries.op1_toxicity(spark, where).dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
     assert queries.op7_quality(spark, where).columns == ["doc_id", "held_out", "score", "predicted"]
     assert queries.op8_licenses(spark, where).columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 14)}

@@ -96,12 +96,12 @@ def waterfall(terms: DataFrame, stages: list[DataFrame]) -> DataFrame:
 def compacted(iris: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(iri, curie) by the longest namespace that the IRI begins with; null where none is.
 
-    prefixes: (prefix, namespace), a registry of bounded size. Namespaces end after ``/``, ``#`` or ``_``, so an IRI's own
+    prefixes: (prefix, namespace). Namespaces end after ``/``, ``#`` or ``_``, so an IRI's own
     starts of that kind are looked up by equality, longest first.
     """
     ends = F.filter(F.sequence(F.lit(1), F.length("iri") - 1), lambda k: F.substring("iri", k, F.lit(1)).isin("/", "#", "_"))
     starts = iris.distinct().select("iri", F.explode(F.transform(ends, lambda k: F.substring("iri", F.lit(1), k))).alias("namespace"))
-    best = starts.join(F.broadcast(prefixes), "namespace").groupBy("iri").agg(F.max_by(F.struct("prefix", "namespace"), F.length("namespace")).alias("x"))
+    best = starts.join(prefixes, "namespace").groupBy("iri").agg(F.max_by(F.struct("prefix", "namespace"), F.length("namespace")).alias("x"))
     curie = F.concat("x.prefix", F.lit(":"), F.expr("substring(iri, length(x.namespace) + 1)"))
     return iris.distinct().join(best, "iri", "left").select("iri", curie.alias("curie"))
 
@@ -110,7 +110,7 @@ def expanded(curies: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(curie, iri) of CURIEs by their prefix, whatever its case; null for an unknown one."""
     prefix = F.lower(F.substring_index("curie", ":", 1))
     known = prefixes.select(F.lower("prefix").alias("_p"), "namespace")
-    return curies.distinct().join(F.broadcast(known), prefix == F.col("_p"), "left").select("curie", F.concat("namespace", F.expr("substring(curie, instr(curie, ':') + 1)")).alias("iri"))
+    return curies.distinct().join(known, prefix == F.col("_p"), "left").select("curie", F.concat("namespace", F.expr("substring(curie, instr(curie, ':') + 1)")).alias("iri"))
 
 
 IRI = r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]+$"

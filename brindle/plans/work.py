@@ -213,7 +213,7 @@ def body_links(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 2 = 0 THEN 'question' ELSE 'dataset' END AS type", f"{body} AS body")
     found = rows.select("o_orderkey", "type", F.explode(ln.links(F.col("body"))).alias("x")).select("o_orderkey", "type", "x.*")
     allowed = spark.createDataFrame([("question", "tests"), ("dataset", "produces"), ("question", "cites"), ("dataset", "cites")], "type string, edge string")
-    bad = found.join(F.broadcast(allowed.withColumn("ok", F.lit(True))), ["type", "edge"], "left")
+    bad = found.join(allowed.withColumn("ok", F.lit(True)), ["type", "edge"], "left")
     problem = F.when(F.col("edge").isNull(), F.concat(F.lit("cannot parse "), "line")).when(F.col("ok").isNull(), F.concat("type", F.lit(" cannot "), "edge"))
     return bad.select("o_orderkey", "edge", "target", problem.alias("problem"))
 

@@ -284,14 +284,14 @@ vv AS (SELECT variable, role AS dominant_role, round_even(coalesce(n, 0) / paper
 w AS (SELECT l.*, coalesce(cv.agreement, vv.agreement) AS agreement, coalesce(cv.verdict, vv.verdict) AS verdict, dominant_role, CASE WHEN s_suppkey % 2 = 0 THEN 't' || s_nationkey END AS "table"
       FROM l LEFT JOIN cv ON level = 'construct' AND cv.construct = l.construct LEFT JOIN vv ON level = 'variable' AND vv.variable = l.variable LEFT JOIN supplier ON level = 'variable' AND s_suppkey = l.variable)
 """
-LEVELS = _SYNTHESIS + "SELECT level, construct, variable, papers, declared, measured, involved, uses, findings, agreement, verdict, dominant_role, \"table\" FROM w"
-TOTALS = _SYNTHESIS + """SELECT max(papers) FILTER (level = 'all') AS papers, max(uses) FILTER (level = 'all') AS variable_uses, max(findings) FILTER (level = 'all') AS findings, count(*) FILTER (level = 'variable') AS distinct_variables, count(*) FILTER (level = 'construct') AS distinct_constructs, count(*) FILTER (level = 'link') AS links,
+SYNTHESIS_LEVELS = _SYNTHESIS + "SELECT level, construct, variable, papers, declared, measured, involved, uses, findings, agreement, verdict, dominant_role, \"table\" FROM w"
+SYNTHESIS_TOTALS = _SYNTHESIS + """SELECT max(papers) FILTER (level = 'all') AS papers, max(uses) FILTER (level = 'all') AS variable_uses, max(findings) FILTER (level = 'all') AS findings, count(*) FILTER (level = 'variable') AS distinct_variables, count(*) FILTER (level = 'construct') AS distinct_constructs, count(*) FILTER (level = 'link') AS links,
 count(*) FILTER (level = 'variable' AND "table" IS NOT NULL) AS variables_with_table, count(*) FILTER (level = 'construct' AND verdict = 'consensus') AS consensus_constructs, count(*) FILTER (level = 'construct' AND verdict = 'divergent') AS divergent_constructs,
 count(*) FILTER (verdict = 'consistent_role' AND dominant_role = 'mediator') AS consistent_mediators, count(*) FILTER (verdict = 'consistent_role' AND dominant_role = 'moderator') AS consistent_moderators, count(*) FILTER (verdict = 'contested_role') AS contested_roles FROM w"""
 
 QUERIES = {
-    "synthesis_levels": (synthesis_levels, LEVELS),
-    "synthesis_totals": (synthesis_totals, TOTALS),
+    "synthesis_levels": (synthesis_levels, SYNTHESIS_LEVELS),
+    "synthesis_totals": (synthesis_totals, SYNTHESIS_TOTALS),
     "mention_groups": (mention_groups, GROUPS),
     "mention_sentences": (mention_sentences, SENTENCES),
     "unified_mappings": (unified_mappings, UNIFIED),

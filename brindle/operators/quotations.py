@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import quotes, uniform
+from brindle.sources.shared import spread
 
 #: Quotes of fewer tokens are sought letter by letter: edges of a word or number can change all their runs.
 SHORT = 8
@@ -97,7 +98,8 @@ def located(docs: DataFrame, items: DataFrame) -> DataFrame:
     Long quotes meet documents by the hash of any six-token run. Short ones make automata, a block of them at a time, and
     documents stream through each. What is met is decided on the texts. Null and empty quotes are nowhere.
     """
-    docs, items = docs.select(F.col("doc_id").cast("long"), "text"), items.select(F.col("item_id").cast("long"), "quote")
+    docs = spread(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    items = items.select(F.col("item_id").cast("long"), "quote")
     shape = "id long, n long, g array<long>"
     wanted = items.mapInArrow(_runs, shape)
     long = wanted.where(F.col("n") >= SHORT).select(F.col("id").alias("item_id"), F.explode("g").alias("g"))

@@ -76,3 +76,18 @@ def test_files_and_round_trip(spark, tmp_path):
     plain = lambda rows: sorted(t for t in rows if "_:" not in t[0] + t[2])
     assert plain(again) == plain(lines) and len(again) == len(lines) == triples.count()
     assert literal('a"\\\n', "EN") == '"a\\"\\\\\\n"@en'
+
+
+def test_blank_nodes_over_files(spark, tmp_path):
+    """A blank node keeps what leads to it when a graph is written in several files."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(f"http://s/{k}", "http://p", f"_:n{k}") for k in range(40)] + [(f"_:n{k}", "http://q", f'"{k}"') for k in range(40)]
+        for name in ("a", "b"):
+            turtle.write_turtle(spark.createDataFrame(rows, "s string, p string, o string"), f"{tmp_path}/{name}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = turtle.graph_files(spark, f"{tmp_path}/[ab]/*.txt").collect()
+    assert len({r.file for r in read}) > 2 and not any(r.problem for r in read)
+    held = {r.s: r.o for r in read if r.p == "http://q"}
+    assert len(held) == 80 and sorted(held[r.o] for r in read if r.p == "http://p") == sorted(f'"{k}"' for k in range(40) for _ in "ab")

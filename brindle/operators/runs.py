@@ -101,13 +101,19 @@ def cards(edges: DataFrame, entities: DataFrame, assays: DataFrame, sets: DataFr
 def roles_of_variables(uses: DataFrame, variables: DataFrame) -> DataFrame:
     """(use, variable) by a variable's wording, else by its measure; several of them are settled by the stated role.
 
-    uses: (use, name, role); variables: (variable, wording, measure, role). What stays open with several is null.
+    uses: (use, name, role); variables: (variable, wording, measure, role). What stays open with several is null. Names are
+    counted before uses are joined, so a name that many variables have is one row for a use. A use that stands for several
+    rows is judged by all of them.
     """
 
     def by(key: str) -> DataFrame:
-        met = uses.join(variables.select("variable", F.col(key).alias("name"), F.col("role").alias("own")), "name")
-        counts = met.groupBy("use").agg(F.count_distinct("variable").alias("n"), F.min("variable").alias("v"), F.count_distinct(F.when(F.col("own") == F.col("role"), F.col("variable"))).alias("m"), F.min(F.when(F.col("own") == F.col("role"), F.col("variable"))).alias("w"))
-        return counts.select("use", F.when(F.col("n") == 1, F.col("v")).when(F.col("m") == 1, F.col("w")).alias(key), F.lit(True).alias(f"_{key}"))
+        # Only whether a name, or a name in a role, has one variable is asked: the least and the greatest tell.
+        ends = [F.min("variable").alias("low"), F.max("variable").alias("high")]
+        named = variables.groupBy(F.col(key).alias("name")).agg(*ends)
+        roled = variables.groupBy(F.col(key).alias("name"), F.col("role")).agg(F.min("variable").alias("role_low"), F.max("variable").alias("role_high"))
+        met = uses.join(named, "name").join(roled, ["name", "role"], "left")
+        found = met.groupBy("use").agg(*[f(c).alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.min, "role_low"), (F.max, "role_high"))])
+        return found.select("use", F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("role_low") == F.col("role_high"), F.col("role_low")).alias(key), F.lit(True).alias(f"_{key}"))
 
     found = uses.join(by("wording"), "use", "left").join(by("measure"), "use", "left")
     return found.select("use", F.when(F.col("_wording"), F.col("wording")).otherwise(F.col("measure")).alias("variable"))

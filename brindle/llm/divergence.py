@@ -11,7 +11,8 @@ term, however often a term occurs. Terms that neither side of a cell holds add t
 at the end by their number, and no row is made of them.
 
 What bounds it: a task that counts holds FLUSH terms; a cell holds about SOURCE_BLOCK sources a side and TERM_BLOCK
-terms, both by hash. Only the largest number of terms of a language comes to the driver. The result has a row for each
+terms, both by hash. Only the largest number of terms of a language comes to the driver; counts of sources and the cells'
+parts are written, so that no plan that the driver holds has another one within it. The result has a row for each
 ordered pair of sources of a language, as is asked.
 
 Defined cases: null texts, languages and sources are empty strings; each row is a document, repeated ids and rows
@@ -107,11 +108,11 @@ def kept_counts(docs: DataFrame, least_docs: int, lang_col: str = "lang", source
     return cut(found.where(F.col("term").isNull() | (F.col("lang_docs") >= least_docs)).drop("docs", "lang_docs"), "terms")
 
 
-def _sizes(kept: DataFrame) -> DataFrame:
-    """(lang, source, total, zero, lang_total, terms): a row for each source, zero being its share of a term it lacks."""
+def sizes_of(kept: DataFrame) -> DataFrame:
+    """(lang, source, total, zero, lang_total, terms), written: a row for each source, zero being its share of a term it lacks."""
     sources = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if(F.col("term").isNotNull() & F.col("first")).alias("terms"))
-    return sources.join(langs, "lang").withColumn("zero", F.expr(_SHARE.format(n="0", total="total")))
+    return cut(sources.join(langs, "lang").withColumn("zero", F.expr(_SHARE.format(n="0", total="total"))), "sizes")
 
 
 def _cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -144,9 +145,8 @@ def _apart(slices: DataFrame) -> DataFrame:
     return slices.withColumns({"who": F.col("entries.source"), "p": F.col("entries.p")}).drop("entries")
 
 
-def pairs(kept: DataFrame) -> DataFrame:
+def pairs(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lang, source, item, value): the divergence of each ordered pair of sources of a language."""
-    sizes = _sizes(kept)
     terms_most = sizes.agg(F.max("terms")).first()[0] or 0
     term_blocks = max(TERM_BLOCKS, -(-terms_most // TERM_BLOCK))
     dealt = sizes.groupBy("lang").agg(F.ceil(F.count("source") / SOURCE_BLOCK).alias("blocks"))
@@ -159,7 +159,7 @@ def pairs(kept: DataFrame) -> DataFrame:
     sides = slices.unionByName(heads).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     sides = sides.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     sides = sides.select("lang", "low", "high", "at", "block", "term", "who", "p")
-    cells = sides.groupBy("lang", "low", "high", "at").applyInPandas(_cell, "lang string, source string, item string, part long, seen long, p long, q long")
+    cells = cut(sides.groupBy("lang", "low", "high", "at").applyInPandas(_cell, "lang string, source string, item string, part long, seen long, p long, q long"), "cells")
     # Along the axis of terms; what no cell has seen of a pair has both shares at their least.
     added = cells.groupBy("lang", "source", "item").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"), F.max("p").alias("p"), F.max("q").alias("q"))
     langs = sizes.select("lang", "terms").distinct()
@@ -168,9 +168,9 @@ def pairs(kept: DataFrame) -> DataFrame:
     return found.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("pair"), "value").select("lang", "pair.*", "value")
 
 
-def marked_terms(kept: DataFrame) -> DataFrame:
+def marked_terms(kept: DataFrame, sizes: DataFrame) -> DataFrame:
     """(lang, source, item, value): what each term that a source has more of than its language adds to their divergence."""
-    shares = kept.where("term is not null and n > 0").join(_sizes(kept), ["lang", "source"])
+    shares = kept.where("term is not null and n > 0").join(sizes, ["lang", "source"])
     shares = shares.withColumns({"p": F.expr(_SHARE.format(n="n", total="total")), "q": F.expr(_SHARE.format(n="lang_n", total="lang_total"))})
     return shares.where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_PART.format(p="p", q="q")).alias("value"))
 
@@ -178,7 +178,8 @@ def marked_terms(kept: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` rows, all of them, and the ``top`` first ``term`` rows of a source."""
     kept = kept_counts(docs, least_docs, lang_col, source_col, text_col)
+    sizes = sizes_of(kept)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.withColumns({"part": F.lit(part), "rank": F.row_number().over(order)})
-    found = ranked(pairs(kept), "pair").unionByName(ranked(marked_terms(kept), "term").where(F.col("rank") <= top))
+    found = ranked(pairs(kept, sizes), "pair").unionByName(ranked(marked_terms(kept, sizes), "term").where(F.col("rank") <= top))
     return found.select("lang", "source", "part", "item", "value", "rank")

@@ -102,14 +102,14 @@ def sections(text: Column) -> Column:
     return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("names"), b.alias("body")))
 
 
-def _within(words: Column, text: Column) -> Column:
+def within(words: Column, text: Column) -> Column:
     """Whether tokens joined by spaces stand in a row in others."""
     return (words != "") & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
 def holds(text: Column, quote: Column) -> Column:
     """Whether a text holds a quote's words and numbers in a row, in the uniform form."""
-    return _within(normal(quote), normal(text))
+    return within(normal(quote), normal(text))
 
 
 def section_check(claimed: Column, quote: Column, text: Column) -> Column:
@@ -120,7 +120,7 @@ def section_check(claimed: Column, quote: Column, text: Column) -> Column:
     wanted, parts, q = section_names(claimed), sections(text), normal(quote)
     bodies = normal_each(F.transform(parts, lambda p: p["body"]))
     rows = F.arrays_zip(parts.alias("p"), bodies.alias("b"), F.array_repeat(q, F.size(parts)).alias("q"))
-    held = F.transform(rows, lambda x: F.struct(F.arrays_overlap(x["p"]["names"], wanted).alias("of"), _within(x["q"], x["b"]).alias("holds")))
+    held = F.transform(rows, lambda x: F.struct(F.arrays_overlap(x["p"]["names"], wanted).alias("of"), within(x["q"], x["b"]).alias("holds")))
     any_of = lambda test: F.exists(held, test)
     return F.when(F.size(wanted) == 0, "skip").when(any_of(lambda p: p["of"] & p["holds"]), "ok").when(~any_of(lambda p: p["of"]), "unverifiable").when(any_of(lambda p: p["holds"]), "mismatch").otherwise("unverifiable")
 

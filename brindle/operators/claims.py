@@ -83,8 +83,13 @@ def value_statuses(values: DataFrame, quotes: DataFrame, studies: DataFrame) ->
     values: (id, study, value); quotes: (id, study, quote); studies: (study, text). A quote counts if it is of the value's
     study and stands in its text; then the value's quantities must be in the quotes, and its shares within one of them.
     """
-    own = quotes.withColumnRenamed("study", "of").join(values.select("id", "study"), "id").join(studies.withColumnRenamed("study", "of"), "of", "left")
-    good = (F.col("study").isNull() | (F.col("of") == F.col("study"))) & ev.holds(F.coalesce("text", F.lit("")), F.col("quote"))
+    own = quotes.withColumnRenamed("study", "of").join(values.select("id", "study"), "id")
+    # Texts are made uniform once, and searched once for each different quote of a study.
+    uniform = studies.select(F.col("study").alias("of"), ev.normal(F.coalesce("text", F.lit(""))).alias("words"))
+    asked = own.select("of", "quote").distinct().withColumn("sought", ev.normal(F.col("quote")))
+    found = asked.join(uniform, "of").select("of", "quote", ev.within(F.col("sought"), F.col("words")).alias("stands"))
+    own = own.join(found, ["of", "quote"], "left")
+    good = (F.col("study").isNull() | (F.col("of") == F.col("study"))) & F.coalesce("stands", F.lit(False))
     held = own.select("id", "quote", good.alias("good")).groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("good"), F.col("quote")))).alias("good"), F.count_if(~F.col("good")).alias("bad"))
     found = values.join(held, "id", "left").withColumn("good", F.coalesce("good", F.array().cast("array<string>")))
     lost, apart = F.size(ev.missing(F.col("value"), F.array_join("good", "\n"))), F.size(ev.unpaired(F.col("value"), F.col("good")))

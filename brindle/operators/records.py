@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.graph import closure, components
+from brindle.sources.shared import written
 
 
 def merged(rows: DataFrame, key: str, scalars: list[str], lists: list[str]) -> DataFrame:
@@ -120,9 +121,24 @@ def wave_measures(variables: DataFrame) -> DataFrame:
 
     variables: (variable, paper, stripped, wordings, derivation, resolved).
     """
-    left = variables.select(F.col("variable").alias("s"), "paper", F.col("stripped").alias("k"), F.col("derivation").alias("d"), F.col("resolved").alias("r"))
-    right = variables.select(F.col("variable").alias("o"), "paper", F.explode("wordings").alias("k"), F.col("derivation").alias("d2"), F.col("resolved").alias("r2"))
-    pairs = left.join(right, ["paper", "k"]).where("s != o and d <=> d2 and (r is null or r2 is null or r = r2)").select("s", "o")
+    key = ["paper", "k", "d"]
+    rest = [F.col("derivation").alias("d"), F.col("resolved").alias("r")]
+    left = variables.select("variable", "paper", F.col("stripped").alias("k"), *rest)
+    right = variables.select("variable", "paper", F.explode("wordings").alias("k"), *rest)
+    # All of one key and resolved variable link alike: classes meet, and two variables or more that meet are one measure.
+    classes = lambda side, x: side.where("paper is not null and k is not null").groupBy(*key, "r").agg(F.min("variable").alias(f"{x}_first"), F.max("variable").alias(f"{x}_last")).select(*[F.col(c).alias(f"{x}_{c}") for c in [*key, "r"]], f"{x}_first", f"{x}_last")
+    a, b = classes(left, "a"), classes(right, "b")
+    same = (F.col("a_paper") == F.col("b_paper")) & (F.col("a_k") == F.col("b_k")) & F.col("a_d").eqNullSafe(F.col("b_d"))
+    met = a.join(b, same & F.col("a_r").eqNullSafe(F.col("b_r")))
+    met = met.unionByName(a.where("a_r is null").join(b.where("b_r is not null"), same)).unionByName(a.where("a_r is not null").join(b.where("b_r is null"), same))
+    met = written(met.where("least(a_first, b_first) < greatest(a_last, b_last)"), "classes")
+
+    def members(side: DataFrame, x: str) -> DataFrame:
+        hubs = met.select(*[F.col(f"{x}_{c}") for c in [*key, "r", "first"]]).distinct()
+        of = (F.col("paper") == F.col(f"{x}_paper")) & (F.col("k") == F.col(f"{x}_k")) & F.col("d").eqNullSafe(F.col(f"{x}_d")) & F.col("r").eqNullSafe(F.col(f"{x}_r"))
+        return side.join(hubs, of).select(F.col("variable").alias("s"), F.col(f"{x}_first").alias("o"))
+
+    pairs = met.select(F.col("a_first").alias("s"), F.col("b_first").alias("o")).unionByName(members(left, "a")).unionByName(members(right, "b")).where("s != o")
     found = components(pairs)
     return variables.select("variable").join(found.select(F.col("v").alias("variable"), "component"), "variable", "left").select("variable", F.coalesce("component", "variable").alias("measure"))
 

@@ -2,7 +2,8 @@
 
 Lines are told apart once. What is in code, a comment, the front matter, behind an appendix or below the heading of the
 references is no claim; a table's rows below it are. A paragraph is a run of plain lines, a table one of table lines, and
-both are aggregated by the number of lines that are none of theirs before them. A window holds the lines of one text.
+both are aggregated by the number of lines that are none of theirs before them. A window holds the lines of one text; texts
+are dealt out before they are cut into lines, so that lines are not shuffled.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import dealt
+
 # The line that begins an appendix; headings of references; what begins a caption; abbreviations whose dot
 # ends no sentence; words that a sentence needs.
 APPENDIX = r"^<!-- sidecar: \S+ sha256=[0-9a-f]{64} -->$"
@@ -24,7 +27,8 @@ WORDS = 3
 
 def lines(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k, s, kind, heading, listed) of the lines that count; heading is the last one before, listed if it is of references."""
-    each = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, r"\r\n|\r|\n")).alias("k", "raw")).select("id", "k", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("s"))
+    whole_texts = dealt(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    each = whole_texts.select("id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("k", "raw")).select("id", "k", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("s"))
     before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("id")
     opens = F.max(F.when((F.col("k") == 0) & (F.col("s") == "---"), True)).over(whole)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.sources import files, formats, turtle
-from brindle.sources.shared import shared_dir
+from brindle.sources.shared import dealt, shared_dir
 from brindle.sources.tables import read
 
 
@@ -134,7 +134,7 @@ UNION ALL SELECT s, 'http://x/tags', '[first http://x/' || lower(c_mktsegment) |
 
 def article_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of articles in two forms of XML, with headings, captions and tables in their order."""
-    rows = read(spark, sf, "part").selectExpr("p_partkey", "concat('<article><front><article-title>On ', p_name, '</article-title><abstract><p>We  saw</p></abstract></front><body><sec><title>Methods</title><p>Used ', p_brand, '</p><fig><caption><p>Fig ', p_size, '</p></caption></fig><table><tr><td>1</td><td>2</td></tr></table></sec></body></article>') AS jats", "concat('<TEI><text><body><div><head>Intro</head><p>', p_name, '  here</p></div><div><head>End</head><p>', p_type, '</p></div></body></text></TEI>') AS tei")
+    rows = dealt(read(spark, sf, "part"), "p_partkey").selectExpr("p_partkey", "concat('<article><front><article-title>On ', p_name, '</article-title><abstract><p>We  saw</p></abstract></front><body><sec><title>Methods</title><p>Used ', p_brand, '</p><fig><caption><p>Fig ', p_size, '</p></caption></fig><table><tr><td>1</td><td>2</td></tr></table></sec></body></article>') AS jats", "concat('<TEI><text><body><div><head>Intro</head><p>', p_name, '  here</p></div><div><head>End</head><p>', p_type, '</p></div></body></text></TEI>') AS tei")
     return rows.select("p_partkey", formats.article_text(F.col("jats")).alias("article"), formats.tei_text(F.col("tei")).alias("tei"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import written
+
 _WRAP = r"([A-Za-z]+)-[ \t]*\n[ \t]*([A-Za-z]+)"
 #: Where a mention without a start stands.
 LAST = 10**12
@@ -33,7 +35,8 @@ def reading_form(surface: Column, known: Column | None = None) -> Column:
         return F.when(has(joined) & ~has(kept), joined).when(has(kept), kept).when(whole, kept).otherwise(joined)
 
     undone = F.aggregate(breaks, plain, lambda s, x: F.replace(s, x["w"], fixed(x)))
-    return F.trim(F.regexp_replace(F.regexp_replace(undone, r"(\w)-[ \t]*\n[ \t]*(\w)", "$1-$2"), r"\s+", " "))
+    joined = F.when(plain.contains("\n"), F.regexp_replace(undone, r"(\w)-[ \t]*\n[ \t]*(\w)", "$1-$2")).otherwise(plain)
+    return F.trim(F.regexp_replace(joined, r"\s+", " "))
 
 
 def keyed(mentions: DataFrame, entity: str = "entity", known: Column | None = None) -> DataFrame:
@@ -46,6 +49,11 @@ def keyed(mentions: DataFrame, entity: str = "entity", known: Column | None = No
 KEY = ["form", "label", "referent"]
 
 
+def _read_once(keyed_rows: DataFrame, *columns: str) -> DataFrame:
+    """Mentions with their keys, their reading and some columns, written: readings cost most, and are needed twice."""
+    return written(keyed_rows.select(*dict.fromkeys([*KEY, "reading", "position", *columns])), "mentions")
+
+
 def canonical(keyed_rows: DataFrame, key: list[str]) -> DataFrame:
     """A2: the group's reading that is most common, then longest, then first; counted before it is chosen."""
     counts = keyed_rows.groupBy(*key, "reading").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"))
@@ -57,10 +65,11 @@ def groups(keyed_rows: DataFrame) -> DataFrame:
 
     Scores are rounded half to even; the mapping is that of the highest score among mapped mentions, the first of equals.
     """
+    keyed_rows = _read_once(keyed_rows, "judge_score", "source_model", "ontology_id", "sentence")
     mapped = F.when(F.coalesce("ontology_id", F.lit("")) != "", F.struct(F.coalesce("judge_score", F.lit(0.0)), -F.col("position")))
     scores = [F.bround(f("judge_score"), 3).alias(f"judge_score_{n}") for n, f in (("max", F.max), ("avg", F.avg), ("min", F.min))]
     model = F.nullif(F.col("source_model"), F.lit(""))
-    found = keyed_rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("mention_count"), F.count_distinct(model).alias("consensus_count"), *scores, F.max_by("ontology_id", mapped).alias("ontology_id"), F.count_distinct("sentence").alias("sentences"), F.array_join(F.array_sort(F.collect_set(model)), ",").alias("source_models"))
+    found = keyed_rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("mention_count"), F.size(F.collect_set(model)).cast("long").alias("consensus_count"), *scores, F.max_by("ontology_id", mapped).alias("ontology_id"), F.count_distinct("sentence").alias("sentences"), F.array_join(F.array_sort(F.collect_set(model)), ",").alias("source_models"))
     return found.join(canonical(keyed_rows, KEY), KEY)
 
 
@@ -81,6 +90,7 @@ def mapping_quality(provenance: Column, iri: Column, label: Column) -> Column:
 def unified(keyed_rows: DataFrame, fields: list[str]) -> DataFrame:
     """A3: every mention with the mapping of its group's best one, the first of equals; no mention is lost."""
     quality = mapping_quality(F.col("concept_mapping_provenance"), F.col("ontology_id"), F.col("ontology_label"))
+    keyed_rows = _read_once(keyed_rows, *keyed_rows.columns)
     best = keyed_rows.groupBy(*KEY).agg(F.max_by(F.struct(*fields), F.struct(quality, -F.col("position"))).alias("_best"))
     return keyed_rows.join(best, KEY).select(*[c for c in keyed_rows.columns if c not in fields], *[F.col(f"_best.{f}").alias(f) for f in fields])
 
@@ -89,7 +99,7 @@ def corpus_index(keyed_rows: DataFrame) -> DataFrame:
     """A5: forms and labels over documents: counts, ids that tools gave, whether these differ, specificity if unanimous."""
     own = F.when(~F.coalesce(F.col("concept_mapping_provenance").isin("llm_knowledge", "validation_failed"), F.lit(False)), F.nullif(F.trim("ontology_id"), F.lit("")))
     key = ["form", "label"]
-    rows = keyed_rows.withColumn("_id", own)
+    rows = _read_once(keyed_rows, "doc", "concept_mapping_provenance", "ontology_id", "specificity").withColumn("_id", own)
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("mention_count"), F.count_distinct("doc").alias("document_count"), F.array_sort(F.collect_set("_id")).alias("ids"), F.array_sort(F.collect_set("specificity")).alias("specifics"))
     found = counts.join(canonical(rows, key), key)
     return found.select(*key, "surface", "mention_count", "document_count", F.array_join("ids", ",").alias("ontology_ids"), (F.size("ids") > 1).alias("ontology_conflict"), F.when(F.size("specifics") == 1, F.col("specifics")[0]).alias("specificity"))
@@ -104,6 +114,7 @@ def corpus_totals(keyed_rows: DataFrame) -> DataFrame:
 
 def in_order(keyed_rows: DataFrame) -> DataFrame:
     """Groups by where they first stand, each with its id ``surface|label``; without a start they come last."""
+    keyed_rows = _read_once(keyed_rows, "start")
     first = keyed_rows.groupBy(*KEY).agg(F.min(F.coalesce("start", F.lit(LAST))).alias("first"))
     found = first.join(canonical(keyed_rows, KEY), KEY)
     identity = F.concat("surface", F.lit("|"), F.col("label"), F.when(F.col("referent") != "", F.concat(F.lit("|referent="), "referent")).otherwise(""))

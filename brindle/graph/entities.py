@@ -47,6 +47,11 @@ def _keyed(t: T, e: str, key: str) -> DataFrame:
     return as_(t["entity"], e=e, key=key)
 
 
+def _keyed_of(t: T, rows: DataFrame, e: str, key: str) -> DataFrame:
+    """Keys of the entities that rows name: often few, which are then sent to the rows, so that these need no sort."""
+    return _keyed(t, e, key).join(rows.select(e).distinct(), e, "left_semi")
+
+
 def _dois(rows: DataFrame, t: T) -> DataFrame:
     return rows.join(t["source"].select("pub", "doi"), "pub", "left")
 
@@ -164,7 +169,7 @@ def tier_distribution(t: T) -> DataFrame:
 def _claims(t: T) -> DataFrame:
     """Claims with their current versions and the keys of cause and effect."""
     versions = t["causal_version"].drop("rel")
-    return t["causal"].join(versions, "v").join(_keyed(t, "cause", "cause_key"), "cause").join(_keyed(t, "effect", "effect_key"), "effect")
+    return t["causal"].join(versions, "v").join(_keyed_of(t, t["causal"], "cause", "cause_key"), "cause").join(_keyed_of(t, t["causal"], "effect", "effect_key"), "effect")
 
 
 def claims_of(t: T, key: str | None = None) -> DataFrame:
@@ -222,7 +227,8 @@ def participants_of(t: T, cls: str = "Drug") -> DataFrame:
 
 def first_seen(t: T) -> DataFrame:
     """CQ17: the year in which each entity first appears, and in how many dated papers it is."""
-    found = t["entity_source"].join(_dated(t), "pub").groupBy("e").agg(F.min("year").alias("first"), F.count_distinct("pub").alias("papers"))
+    dated = _dated(t).groupBy("pub").agg(F.min("year").alias("year"))
+    found = t["entity_source"].distinct().join(dated, "pub").groupBy("e").agg(F.min("year").alias("first"), F.count(F.lit(1)).alias("papers"))
     return found.join(t["entity"].select("e", "key"), "e")
 
 

@@ -22,8 +22,8 @@ def weighted_scores(rows: DataFrame, key: list[str], unit: int = 1) -> DataFrame
 
 def consensus(claims: DataFrame) -> DataFrame:
     """Verdict on each construct from distinct (paper, direction) claims, directions positive, negative or null."""
-    once = claims.select("construct", "paper", "direction").distinct()
-    by_paper = once.groupBy("construct", "paper").agg(*[F.count_if(F.col("direction") == d).alias(name) for d, name in (("positive", "positive"), ("negative", "negative"), ("null", "neutral"))])
+    said = lambda d: F.max(F.when(F.col("direction") == d, 1).otherwise(0)).cast("long")
+    by_paper = claims.groupBy("construct", "paper").agg(*[said(d).alias(name) for d, name in (("positive", "positive"), ("negative", "negative"), ("null", "neutral"))])
     counts = by_paper.groupBy("construct").agg(F.count(F.lit(1)).alias("papers"), *[F.sum(c).alias(c) for c in ("positive", "negative", "neutral")])
     share = F.greatest("positive", "negative", "neutral") / (F.col("positive") + F.col("negative") + F.col("neutral"))
     verdict = F.when(F.col("papers") < 2, "insufficient_papers").when((F.col("positive") > 0) & (F.col("negative") > 0), "divergent").when(share >= 0.7, "consensus").otherwise("mixed")

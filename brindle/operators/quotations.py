@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,25 @@ SHORT = 8
 BLOCK_BYTES, BLOCK_QUOTES = 8 << 20, 100_000
 
 
+#: Bytes of texts that a task takes apart at once: tokens as Python's strings are many times as large.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE_BYTES of a column's texts, or of one text."""
+    start = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if k > start and size + n > SLICE_BYTES:
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, g): number of tokens, and the hashes of the distinct six-token runs."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         split = [uniform.tokens(t, True) for t in uniform.folded(pd.Series(batch.column(1).to_pylist(), dtype=object))]
         hashed = []
         for words in split:
@@ -34,7 +51,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         source, rows = quotes.Source(None), []
         for text, quote in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             source = source if text == source.text else quotes.Source(text)
@@ -79,7 +96,7 @@ def _spotted(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
             for run in [words, *quotes.run_keys(words)] if words else ():
                 tokens.setdefault(f" {' '.join(run)} ", set()).add(item)
         by_letters, by_tokens = automaton(letters), automaton(tokens) if tokens else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, items = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = {i for _, found in by_letters.iter(text or "") for i in found}

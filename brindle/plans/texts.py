@@ -80,13 +80,14 @@ def aligned_evidence(spark: SparkSession, sf: str) -> DataFrame:
     import pyarrow as pa
 
     from brindle.functions import quotes
+    from brindle.operators.quotations import slices
     from brindle.plans.corpus import quote_location_whole
 
     pairs = quote_location_whole(spark, sf).select("doc_id", "item_id").distinct()
     both = pairs.join(read(spark, sf, "documents", "doc_id", "text"), "doc_id").join(read(spark, sf, "benchmark", "item_id", F.col("text").alias("quote")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             found = [quotes.aligned(q, t) for q, t in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
             status, similarity, start, stop = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(similarity, pa.float64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["doc_id", "item_id", "status", "similarity", "start", "stop"])

@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 or more stays: that with the smallest id."""
+    """One document of each group of five-word similarity 0.8 or more, met by SimHash and by cells, stays: that with the smallest id."""
     return alike.clean(docs)
 
 

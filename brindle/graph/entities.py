@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.graph.tables import as_, listed, squeezed
-from brindle.operators.graph import closure
+from brindle.operators.graph import closure, stretches
 
 # The classes below each class that questions are about.
 CELLS = ["Astrocyte", "CellSubtype", "CellType", "EpendymalCell", "ExcitatoryNeuron", "GlialCell", "InhibitoryNeuron", "Interneuron", "Microglia", "MotorNeuron", "NeuralCellType", "NeuralStemCell", "Neuron", "Oligodendrocyte", "ProjectionNeuron", "SensoryNeuron"]
@@ -183,13 +183,18 @@ def claims_of(t: T, key: str | None = None) -> DataFrame:
 
 def chains(t: T) -> DataFrame:
     """CQ13, W10: relations of a causal chain, each with the number of the chain's relations before it."""
-    paths = closure(as_(t["next_relation"], rel="s", following="o")).where("s != o")
-    members = t["chain_relation"].distinct()
-    before = as_(members, chain="chain", rel="s").join(paths, "s").select("chain", F.col("o").alias("rel"), "s")
-    counts = before.join(members, ["chain", "rel"]).groupBy("chain", "rel").agg(F.count_distinct("s").alias("position"))
+    told, paths = stretches(as_(t["next_relation"], rel="s", following="o"))
+    places = told.select(F.col("v").alias("rel"), "head", "place")
+    members = t["chain_relation"].distinct().join(places, "rel", "left").select("chain", "rel", F.coalesce("head", "rel").alias("head"), F.coalesce("place", F.lit(0)).alias("place"))
+    first = F.row_number().over(Window.partitionBy("chain", "head").orderBy("place")).cast("long") - 1
+    members = members.withColumn("position", first)
+    if paths is not None:
+        sizes = members.groupBy("chain", "head").agg(F.count(F.lit(1)).alias("n"))
+        reached = as_(sizes, chain="chain", head="s", n="n").join(paths, "s").groupBy("chain", F.col("o").alias("head")).agg(F.sum(F.when(F.col("s") != F.col("o"), F.col("n")).otherwise(0)).alias("more"), F.max(F.when(F.col("s") == F.col("o"), F.col("n") - 1)).alias("ring"))
+        members = members.join(reached, ["chain", "head"], "left").withColumn("position", F.coalesce("ring", "position") + F.coalesce("more", F.lit(0)))
     ends = t["causal"].join(_keyed(t, "cause", "cause_key"), "cause").join(_keyed(t, "effect", "effect_key"), "effect").select("rel", "cause_key", "effect_key")
-    found = members.join(t["chain"], "chain").join(counts, ["chain", "rel"], "left").join(ends, "rel")
-    return found.select("chain", F.col("label").alias("chain_label"), "rel", F.coalesce("position", F.lit(0)).alias("position"), "cause_key", "effect_key")
+    found = members.join(t["chain"], "chain").join(ends, "rel")
+    return found.select("chain", F.col("label").alias("chain_label"), "rel", "position", "cause_key", "effect_key")
 
 
 def estimates(t: T, below: float | None = None) -> DataFrame:

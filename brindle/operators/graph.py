@@ -47,6 +47,35 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
+def stretches(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(v, head, place) of nodes behind the head of an unbranched stretch, and (s, o) of heads whose stretches reach others; None if none does.
+
+    An edge that is its source's only one and its target's only one lies on a stretch; every other leads from the last
+    node of a stretch to the head of one, so what is reachable follows from places and from the closure over heads.
+    Nodes are told their heads by doubling, a row a node and round. What isn't told is a ring of such edges, whose nodes
+    are stretches of one. Nodes that are not in the first table are heads; edges from a node to itself are left out.
+    """
+    each = edges.select("s", "o").where("s != o").distinct()
+    many = lambda end: each.groupBy(end).agg(F.count(F.lit(1)).alias(f"_{end}"))
+    each = _cut(each.join(many("s"), "s").join(many("o"), "o").select("s", "o", ((F.col("_s") == 1) & (F.col("_o") == 1)).alias("plain")))
+    rows = _cut(each.where("plain").select(F.col("o").alias("v"), F.col("s").alias("head"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("open")))
+    before, left = None, rows.count()
+    # A round tells some nodes of each stretch that has any left, so if it tells none, only rings are left.
+    while left and left != before:
+        ahead = rows.select(F.col("v").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"), F.col("open").alias("_open"))
+        moved = rows.where("open").join(ahead, "head", "left").select("v", F.coalesce("_head", "head").alias("head"), (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"), F.coalesce("_open", F.lit(False)).alias("open"))
+        rows = _cut(rows.where("not open").unionByName(moved))
+        before, left = left, rows.where("open").count()
+    told = rows.where("not open").select("v", "head", "place")
+    between = each.where("not plain").select("s", "o")
+    if left:
+        between = between.unionByName(each.where("plain").join(rows.where("open").select(F.col("v").alias("o")), "o", "left_semi").select("s", "o"))
+    if between.isEmpty():
+        return told, None
+    own = told.select(F.col("v").alias("s"), "head")
+    return told, closure(between.join(own, "s", "left").select(F.coalesce("head", "s").alias("s"), "o"))
+
+
 #: Predicates that say what others mean.
 SCHEMA = ["subClassOf", "subPropertyOf", "equivalentClass", "equivalentProperty", "inverseOf", "domain", "range"]
 #: Types of properties, and the predicate of chains: (property, propertyChainAxiom, "p q").

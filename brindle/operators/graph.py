@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.sources.shared import written
+from brindle.sources.shared import unsent, written
 
 
 def triples(*parts: DataFrame) -> DataFrame:
@@ -160,10 +160,10 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     both = _cut(edges.select("s", "o").unionByName(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct())
     label = _cut(both.groupBy(F.col("s").alias("v")).agg(F.least(F.min("o"), F.col("s")).alias("component")))
     for _ in range(most):
-        near = both.join(label, F.col("o") == F.col("v")).groupBy("s").agg(F.min("component").alias("near"))
-        lower = label.join(near, F.col("v") == F.col("s")).select("v", F.least("component", "near").alias("c"), F.col("component").alias("was"))
+        near = both.join(unsent(label), F.col("o") == F.col("v")).groupBy("s").agg(F.min("component").alias("near"))
+        lower = label.join(unsent(near), F.col("v") == F.col("s")).select("v", F.least("component", "near").alias("c"), F.col("component").alias("was"))
         own = label.select(F.col("v").alias("c"), F.col("component").alias("up"))
-        then = _cut(lower.join(own, "c", "left").select("v", F.least("c", F.coalesce("up", "c")).alias("component"), "was"))
+        then = _cut(lower.join(unsent(own), "c", "left").select("v", F.least("c", F.coalesce("up", "c")).alias("component"), "was"))
         if then.where("component != was").isEmpty():
             return then.select("v", "component")
         label = then.select("v", "component")

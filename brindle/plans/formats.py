@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.sources import files, formats, turtle
-from brindle.sources.shared import dealt, shared_dir
+from brindle.sources.shared import dealt, shared_dir, written
 from brindle.sources.tables import read
 
 
@@ -111,9 +111,9 @@ def turtle_graph(spark: SparkSession, sf: str) -> DataFrame:
     good = F.when(F.col("c_acctbal") > 0, "true").otherwise("false")
     text = F.format_string(form, key, key, "c_name", key, F.col("c_acctbal").cast("string"), key, F.col("c_nationkey").cast("string"), good, F.lower("c_mktsegment"), (F.col("c_custkey") % 7).cast("string"))
     source, copy = _path(spark, "turtle"), _path(spark, "turtle")
-    read(spark, sf, "customer").select(text.alias("value")).write.text(source)
+    read(spark, sf, "customer").select(text.alias("value")).write.option("maxRecordsPerFile", turtle.SUBJECTS).text(source)
     turtle.write_turtle(turtle.graph_files(spark, f"{source}/*.txt"), copy)
-    found = turtle.graph_files(spark, f"{copy}/*.txt").where("problem is null")
+    found = written(turtle.graph_files(spark, f"{copy}/*.txt").where("problem is null").select("s", "p", "o"), "triples")
     inner = found.where("s like '_:%'").select(F.col("s").alias("b"), F.col("p").alias("q"), F.col("o").alias("v"))
     bare = found.where("s not like '_:%'").join(inner, F.col("o") == F.col("b"), "left")
     # A blank node is told by what it leads to; the rest of a list, a blank node again, by its first.
